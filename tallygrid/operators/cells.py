@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 
@@ -21,7 +23,8 @@ from ..model import Layout
 from ..plans.spec import Axis, ViewSpec, total_sets
 from .elements import flatten
 
-TOTAL_RULES = ("documented", "observed", "none")
+# Low bits summed apart from the rest in exact sums of whole units.
+HALF_BITS = 20
 
 
 def view_filter(layout: Layout, spec: ViewSpec) -> Column:
@@ -40,10 +43,37 @@ def axis_label(layout: Layout, spec: ViewSpec, axis: Axis) -> Column:
     return renamed(layout, axis.attribute, mapping)
 
 
+def fixed_scale(measure: str) -> int | None:
+    """The number of decimals of a ``fixed(n)`` measure, None for any other."""
+    match = re.fullmatch(r"fixed\((\d+)\)", measure)
+    return int(match.group(1)) if match else None
+
+
 def measured(layout: Layout, measure: str) -> Column:
-    """The number to sum. ``decimal(18,2)`` sums exactly and in any order, ``double`` as the input is."""
+    """The number to sum, in the form :func:`summed` takes.
+
+    ``double`` sums the input as it is. ``fixed(2)`` is for numbers of at most two decimals and sums whole hundredths,
+    which is exact, the same in any order, and cheaper than decimals. ``decimal(p,s)`` casts to that type.
+    """
     column = F.col(layout.value)
-    return column if measure == "double" else column.cast(measure)
+    if measure == "double":
+        return column
+    scale = fixed_scale(measure)
+    return column.cast(measure) if scale is None else F.rint(column * F.lit(float(10**scale))).cast("bigint")
+
+
+def summed(measure: str) -> Column:
+    """The sum of the column ``value`` made by :func:`measured`.
+
+    Whole units are summed as two 64-bit halves, so the sum of any number of rows stays exact without decimals per row.
+    """
+    scale = fixed_scale(measure)
+    if scale is None:
+        return F.sum("value").alias("value")
+    high, low = F.shiftright("value", HALF_BITS), F.col("value").bitwiseAND(F.lit((1 << HALF_BITS) - 1))
+    whole = F.sum(high).cast("decimal(19,0)") * F.lit(1 << HALF_BITS).cast("decimal(8,0)")
+    units = whole + F.sum(low).cast("decimal(19,0)")
+    return (units * F.lit(Decimal(1).scaleb(-scale))).alias("value")
 
 
 def labelled(df: DataFrame, layout: Layout, spec: ViewSpec, measure: str = "double",
@@ -67,10 +97,10 @@ def _core_filter(layout: Layout, spec: ViewSpec) -> Column:
     return reduce(and_, tests) if tests else F.lit(True)
 
 
-def cell_sums(rows: DataFrame, spec: ViewSpec, keep: Sequence[str] = ()) -> DataFrame:
+def cell_sums(rows: DataFrame, spec: ViewSpec, measure: str = "double", keep: Sequence[str] = ()) -> DataFrame:
     """One row per cell. Each task sums its own rows first, so only cells are shuffled."""
     keys = [F.col(f"`{c}`") for c in (*keep, *spec.columns)]
-    return rows.groupBy(*keys).agg(F.sum("value").alias("value"))
+    return rows.groupBy(*keys).agg(summed(measure))
 
 
 def with_totals(cells: DataFrame, spec: ViewSpec, rule: str = "documented", keep: Sequence[str] = ()) -> DataFrame:
@@ -118,11 +148,15 @@ def _variants(spec: ViewSpec, rule: str) -> list[tuple[int, ...]]:
 def fan_out(df: DataFrame, layout: Layout, specs: Sequence[ViewSpec], measure: str = "double") -> DataFrame:
     """Every value row under every view that takes it: ``view, col_keys, row_keys, value``.
 
-    All views are served by one pass over the input. Rows no view takes are filtered out before the fan-out.
+    All views are served by one pass over the input. Rows no view takes are filtered out first, and rows that agree
+    in every attribute any of the views reads are summed first, so the fan-out copies sums and not rows.
     """
     core = reduce(or_, [_core_filter(layout, s) for s in specs])
     rows = flatten(df.filter(core), layout) if layout.is_nested(df) else df
     rows = rows.filter(reduce(or_, [view_filter(layout, s) for s in specs]))
+    read = {a.attribute for s in specs for a in s.axes} | {n for s in specs for n in s.filters}
+    shared = [F.col(f"`{n}`") for n in layout.attributes if n in read]
+    rows = rows.select(*shared, measured(layout, measure).alias("value")).groupBy(*shared).agg(summed(measure))
     entries = []
     for spec in specs:
         long_renames = [n for n, m in spec.renames.items() if len(m) > LITERAL_RENAME_LIMIT]
@@ -135,7 +169,7 @@ def fan_out(df: DataFrame, layout: Layout, specs: Sequence[ViewSpec], measure: s
         )
         entries.append(F.when(view_filter(layout, spec), entry))
     return (
-        rows.select(measured(layout, measure).alias("value"), F.explode(F.array(*entries)).alias("_cell"))
+        rows.select("value", F.explode(F.array(*entries)).alias("_cell"))
         .filter(F.col("_cell").isNotNull())
         .select("_cell.*", "value")
     )

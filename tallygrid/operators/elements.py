@@ -17,7 +17,10 @@ def flatten(df: DataFrame, layout: Layout) -> DataFrame:
     if not layout.is_nested(df):
         return df
     kept = [c for c in df.columns if c != layout.points]
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.posexplode(layout.points).alias(layout.pos, "_point")).select(
+    # The outer form followed by a filter: the plain form makes the optimizer test the size of the array in an extra
+    # filter, which computes a derived array a second time.
+    exploded = df.select(*[F.col(f"`{c}`") for c in kept], F.posexplode_outer(layout.points).alias(layout.pos, "_point"))
+    return exploded.filter(F.col(layout.pos).isNotNull()).select(
         *[F.col(f"`{c}`") for c in kept],
         layout.pos,
         *[F.col("_point")[name].alias(name) for name in (*layout.perimeter, layout.value)],
@@ -95,27 +98,16 @@ def deduplicated(df: DataFrame, layout: Layout) -> DataFrame:
     compared with its successor only, and the survivors are put back in order.
     """
     labels = layout.perimeter
-    width = F.size(layout.points)
     keyed = F.transform(
-        layout.points,
-        lambda p, i: F.struct(
-            F.struct(*[p[n].alias(n) for n in labels]).alias("labels"), i.alias("at"), p[layout.value].alias("number")
-        ),
+        layout.points, lambda p, i: F.struct(F.struct(*[p[n].alias(n) for n in labels]).alias("labels"), i.alias("at"))
     )
-    staged = df.withColumn("_sorted", F.array_sort(keyed))
-    staged = staged.withColumn("_next", F.slice("_sorted", F.lit(2), F.greatest(width, F.lit(1))))
-    staged = staged.withColumn("_pairs", F.arrays_zip("_sorted", "_next"))
-    kept = F.filter("_pairs", lambda p: p["_next"].isNull() | ~p["_sorted"]["labels"].eqNullSafe(p["_next"]["labels"]))
-    staged = staged.withColumn(
-        "_kept",
-        F.array_sort(F.transform(kept, lambda p: F.struct(
-            p["_sorted"]["at"].alias("at"), p["_sorted"]["labels"].alias("labels"), p["_sorted"]["number"].alias("number")
-        ))),
-    )
-    back = F.transform(
-        "_kept", lambda p: F.struct(*[p["labels"][n].alias(n) for n in labels], p["number"].alias(layout.value))
-    )
-    return staged.withColumn(layout.points, back).drop("_sorted", "_next", "_pairs", "_kept")
+    staged = df.withColumn("_sorted", F.sort_array(keyed))
+    following = F.slice("_sorted", F.lit(2), F.greatest(F.size(layout.points), F.lit(1)))
+    staged = staged.withColumn("_next", following).withColumn("_pairs", F.arrays_zip("_sorted", "_next"))
+    last = F.filter("_pairs", lambda p: p["_next"].isNull() | ~p["_sorted"]["labels"].eqNullSafe(p["_next"]["labels"]))
+    kept = F.sort_array(F.transform(last, lambda p: p["_sorted"]["at"]))
+    back = F.transform(kept, lambda at: F.get(layout.points, at))
+    return staged.withColumn(layout.points, back).drop("_sorted", "_next", "_pairs")
 
 
 def deduplicated_rows(df: DataFrame, layout: Layout, order: list[str]) -> DataFrame:

@@ -33,6 +33,7 @@ def local_session(cpus: int | str = "*", app: str = "tallygrid", **extra: str) -
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
     )
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     for name, setting in {**SESSION_DEFAULTS, **extra}.items():
         builder = builder.config(name, setting)
     return builder.getOrCreate()

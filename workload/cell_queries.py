@@ -12,7 +12,7 @@ from tallygrid.plans.spec import ViewSpec
 from tallygrid.plans.view import all_views, register_transform, view_cells
 
 from .inputs import (
-    FLAGS, FLAGS_SQL, LINES, LINES_SQL, MONEY, ORDER_LINES, ORDERS, flagged_lines, lines, order_lines, orders, total,
+    FLAGS, FLAGS_SQL, LINES, LINES_SQL, CENTS, MONEY, ORDER_LINES, ORDERS, flagged_lines, lines, order_lines, orders, total,
 )
 from .registry import query
 
@@ -67,7 +67,7 @@ def value_rows(spark, sf):
         core_label(LINES, "METRIC").alias("core_metric"),
         value_label(LINES, "BAND").alias("band"),
         value_label(LINES, "DESK").alias("desk"),
-        F.col("value").cast(MONEY).cast("double").alias("value"),
+        F.col("value").cast(CENTS).cast("double").alias("value"),
     )
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tallygrid.model import Layout
 from tallygrid.operators.elements import point
 
-# Money and quantities have two decimals; summing them as decimals is exact in any order.
-MONEY = "decimal(18,2)"
+# Money and quantities have two decimals; they are summed exactly.
+MONEY = "fixed(2)"
+CENTS = "decimal(18,2)"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tallygrid.plans.spec import ViewSpec
 from tallygrid.plans.view import view_cells
 
 from .inputs import (
-    EVENTS, EVENTS_SQL, FLAGS, FLAGS_SQL, LINES, LINES_SQL, MONEY, PAIRS, PAIRS_SQL, event_day, events, flagged_lines,
+    EVENTS, EVENTS_SQL, FLAGS, FLAGS_SQL, LINES, LINES_SQL, CENTS, MONEY, PAIRS, PAIRS_SQL, event_day, events, flagged_lines,
     lines, pairs, table, total,
 )
 from .registry import query
@@ -23,7 +23,7 @@ CENT = "CAST(CAST({0} AS DECIMAL(18,2)) AS DOUBLE)"
 
 
 def cents(name: str = "value"):
-    return F.col(name).cast(MONEY).cast("double").alias(name)
+    return F.col(name).cast(CENTS).cast("double").alias(name)
 
 
 NEWEST_SQL = f"SELECT * FROM ({EVENTS_SQL}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
@@ -280,7 +280,7 @@ def baseline_diff(spark, sf):
     """The newest version of a pair against its first one, which is stored as the baseline of the pair."""
     first, last = _first_last(spark, sf)
     newest = last.unionByName(el.copied(first, PAIRS, key=F.concat("pair_key", F.lit("-SOD"))))
-    rows = diff.against_baseline(newest, PAIRS, measure=MONEY)
+    rows = diff.against_baseline(newest, PAIRS, measure=CENTS)
     return rows.withColumn("value", F.col("value").cast("double"))
 
 
