@@ -46,10 +46,10 @@ def running_cells(log: DataFrame, layout: Layout, spec: ViewSpec, measure: str =
         variants.append(F.struct(F.lit(level).alias("level"), *labels))
     keys = [F.col(f"`{k}`") for k in cell_keys(spec, keep)]
     spread = rows.select(*[F.col(f"`{k}`") for k in keep], F.inline(F.array(*variants)), "value")
-    summed = spread.groupBy(*keys).agg(summed(measure))
+    sums = spread.groupBy(*keys).agg(summed(measure))
     hidden = (F.col("level") == 0) & F.lit(spec.is_hidden)
     value = F.col("value") if measure == "double" else F.col("value").cast("double")
-    return summed.select(*keys, value.alias("value"), (F.col("level") > 0).alias("is_total"), hidden.alias("hidden"))
+    return sums.select(*keys, value.alias("value"), (F.col("level") > 0).alias("is_total"), hidden.alias("hidden"))
 
 
 def run_updates(cells: DataFrame, feed: str, checkpoint: str, rate: int | None = None) -> StreamingQuery | None:
