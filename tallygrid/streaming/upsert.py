@@ -45,17 +45,17 @@ def _from_long(column: Column, kind: T.DataType) -> Column:
 
 
 def _newest_per_batch(order: list[str]):
-    """Mark, per batch of rows, the newest version of each key (spread 0) and spread the others, whatever their key."""
+    """Mark, per batch of rows, the newest version of each key and epoch (spread 0); spread the others, whatever their
+    key."""
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             rows = rows.sort_values(["key", *order], kind="stable", ignore_index=True)
             rows = rows.drop_duplicates(["key", *order], ignore_index=True)
-            replaced = rows["key"].eq(rows["key"].shift(-1))
-            same_epoch = rows["epoch"].eq(rows["epoch"].shift(-1))
+            following = rows[["key", "epoch"]].shift(-1)
+            replaced = rows["key"].eq(following["key"]) & rows["epoch"].eq(following["epoch"])
             rows["spread"] = (1 + pd.Series(rows.index % SPREAD)).where(replaced, 0).astype("int64")
             rows["owner"] = rows["key"].mask(replaced, "")
-            rows["undone"] = replaced & same_epoch
             yield rows
 
     return reduce
@@ -71,7 +71,7 @@ def _replace(order: list[str]):
         if spread > 0:
             for rows in batches:
                 yield rows.assign(sign=1)[columns]
-                yield rows[rows["undone"]].assign(sign=-1)[columns]
+                yield rows.assign(sign=-1)[columns]
             return
         held = tuple(state.get) if state.exists else None
         arrived = {version[:-1]: version for rows in batches for version in zip(*[rows[c].tolist() for c in columns[1:-1]])}
@@ -109,7 +109,7 @@ def changelog_stream(df: DataFrame, layout: Layout, epoch: str | None = None) ->
     )
     longs = ", ".join(f"{c} bigint" for c in order)
     reduced = coded.mapInPandas(
-        _newest_per_batch(order), f"key string, {longs}, body string, spread bigint, owner string, undone boolean"
+        _newest_per_batch(order), f"key string, {longs}, body string, spread bigint, owner string"
     )
     log = reduced.groupBy("owner", "spread").applyInPandasWithState(
         _replace(order), f"key string, {longs}, body string, sign int", f"{longs}, body string", "append", "NoTimeout"
