@@ -85,6 +85,17 @@ def vanished_axis_records(previous: DataFrame, current: DataFrame, spec: ViewSpe
     )
 
 
+def header_records(headers: DataFrame) -> DataFrame:
+    """One record per view with its label names and description, from ``view, row_labels, col_labels, description``."""
+    return headers.select(
+        F.col("view").alias("viewName"),
+        F.lit(HEADER).alias("command"),
+        F.col("row_labels").alias("rowKeys"),
+        F.col("col_labels").alias("colKeys"),
+        "description",
+    )
+
+
 def as_json(records: DataFrame) -> DataFrame:
     """Records as JSON text in a ``value`` column, ready for a text or message sink."""
     return records.select(F.to_json(F.struct(*records.columns)).alias("value"))

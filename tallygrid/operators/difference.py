@@ -48,7 +48,7 @@ def against_baseline(newest: DataFrame, layout: Layout, suffix: str = BASELINE_S
     """Every element minus ``factor`` times its baseline, the element stored under the key plus ``suffix``.
 
     Elements without a baseline stay as they are, and so do the baselines themselves. ``newest`` holds the newest
-    version per key. Points are matched on all labels other than the key.
+    version per key and is read three times; pass a stored or checkpointed table. Points are matched on all labels.
     """
     width = len(suffix)
     key = F.col(f"`{layout.key}`")
@@ -62,6 +62,5 @@ def against_baseline(newest: DataFrame, layout: Layout, suffix: str = BASELINE_S
         *labels,
         scaled.cast(own.schema[layout.value].dataType).alias(layout.value),
     )
-    owners = newest.select(key).distinct()
-    matched = baselines.join(owners, layout.key, "left_semi")
+    matched = baselines.join(newest.select(key), layout.key, "left_semi")
     return own.unionByName(matched).groupBy(key, *labels).agg(F.sum(layout.value).alias(layout.value))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -81,6 +82,41 @@ def snapshot(feed: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.select(*[F.col(f"`{k}`") for k in keys], "_newest.*")
 
 
+def compact(spark: SparkSession, feed: str, states: str, keys: list[str]) -> int:
+    """Fold the micro-batches published since the last call into a new full state, and return its last batch.
+
+    Reads the newest state and only the newer folders of the feed; both are partition-pruned.
+    """
+    before = _newest_state(spark, states)
+    after = spark.read.parquet(feed)
+    if before is not None:
+        after = after.filter(F.col("batch") > before[0])
+    last = after.agg(F.max("batch")).first()[0]
+    if last is None:
+        return before[0]
+    merged = after if before is None else before[1].unionByName(after)
+    snapshot(merged, keys).write.mode("overwrite").parquet(f"{states}/batch={last}")
+    return last
+
+
+def _newest_state(spark: SparkSession, states: str) -> tuple[int, DataFrame] | None:
+    try:
+        found = spark.read.parquet(states)
+    except AnalysisException:
+        return None
+    last = found.agg(F.max("batch")).first()[0]
+    return last, found.filter(F.col("batch") == last)
+
+
+def current_state(spark: SparkSession, feed: str, states: str, keys: list[str]) -> DataFrame:
+    """What a consumer gets on attaching: the newest full state, brought up to date with the feed after it."""
+    after = spark.read.parquet(feed)
+    before = _newest_state(spark, states)
+    if before is None:
+        return snapshot(after, keys)
+    return snapshot(before[1].unionByName(after.filter(F.col("batch") > before[0])), keys)
+
+
 def epoch_changes(cells: DataFrame, keys: list[str], epoch: str, closed: DataFrame | None = None) -> DataFrame:
     """Updates and deletes that each closed epoch brings over the one before it.
 

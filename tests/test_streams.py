@@ -127,6 +127,23 @@ def test_epoch_changes(spark):
     assert {r["epoch"] for r in sc.epoch_changes(cells, ["k"], "epoch", closed).collect()} == {0, 2}
 
 
+def test_compacted_states(spark):
+    rows = versions(150)
+    work = new_work_dir(spark, "compact")
+    spec = ViewSpec("v", rows=("TENOR",), cols=("CCY",))
+    keys = sc.cell_keys(spec)
+    for part in (rows[:50], rows[50:100], rows[100:]):
+        el.flatten(frame(spark, part), LAYOUT).write.mode("append").parquet(f"{work}/in")
+        schema = spark.read.parquet(f"{work}/in").schema
+        cells = sc.running_cells(stream_files(spark, f"{work}/in", schema), LAYOUT, spec, "fixed(2)")
+        sc.run_updates(cells, f"{work}/feed", f"{work}/cp").awaitTermination()
+        expected = tuples(sc.snapshot(spark.read.parquet(f"{work}/feed"), keys))
+        assert tuples(sc.current_state(spark, f"{work}/feed", f"{work}/states", keys)) == expected
+        last = sc.compact(spark, f"{work}/feed", f"{work}/states", keys)
+        assert sc.compact(spark, f"{work}/feed", f"{work}/states", keys) == last
+        assert tuples(sc.current_state(spark, f"{work}/feed", f"{work}/states", keys)) == expected
+
+
 def test_rates():
     assert [sc.rate_interval(r) for r in range(6)] == [
         None, "600 milliseconds", "450 milliseconds", "300 milliseconds", "150 milliseconds", "150 milliseconds"

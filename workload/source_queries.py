@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallygrid.operators.elements import attribute_catalog
+from tallygrid.operators.changes import as_json, header_records
 from tallygrid.operators.grid import wide
+from tallygrid.operators.ordering import numbered
 from tallygrid.plans.spec import ViewSpec
 from tallygrid.plans.view import view_cells
 from tallygrid.session import new_work_dir
@@ -62,10 +64,9 @@ WHERE l.val IS NOT NULL
 """)
 def view_defs(spark, sf):
     items = _definitions(spark, sf)
-    per_view = items.groupBy("view").agg(
-        F.sort_array(F.collect_list(F.struct("file", "block", "line", "item", "val"))).alias("entries")
-    )
-    return per_view.select("view", F.posexplode("entries").alias("pos", "e")).select("view", "e.item", "e.val", "pos")
+    chunk = F.struct("file", "block", F.floor(F.col("line") / 4096))
+    placed = numbered(items, ["view"], ["file", "block", "line"], chunk, "pos")
+    return placed.select("view", "item", "val", "pos")
 
 
 @query("""
@@ -83,6 +84,20 @@ def view_header(spark, sf):
     )
 
 
+@query("""
+SELECT 'P' || CAST(p_partkey AS VARCHAR) AS "viewName", 'DIM' AS command,
+       CASE WHEN p_size > 1 THEN p_name ELSE 'P' || CAST(p_partkey AS VARCHAR) END AS description,
+       CASE WHEN p_size > 1 THEN 1 ELSE 2 END AS row_levels
+FROM part
+""")
+def view_header_records(spark, sf):
+    """The header record of each view as JSON text, read back into columns."""
+    text = as_json(header_records(defs.view_headers(_definitions(spark, sf))))
+    schema = "viewName string, command string, rowKeys array<string>, colKeys array<string>, description string"
+    back = text.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return back.select("viewName", "command", "description", F.size("rowKeys").alias("row_levels"))
+
+
 @query("SELECT 'P' || CAST(p_partkey AS VARCHAR) AS view FROM part")
 def view_names(spark, sf):
     return defs.view_names(_definitions(spark, sf))

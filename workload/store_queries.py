@@ -12,6 +12,7 @@ from tallygrid.operators.drill import drill, drill_from
 from tallygrid.operators.ordering import numbered
 from tallygrid.plans.spec import ViewSpec
 from tallygrid.plans.view import view_cells
+from tallygrid.session import checkpointed
 
 from .inputs import (
     EVENTS, EVENTS_SQL, FLAGS, FLAGS_SQL, LINES, LINES_SQL, CENTS, MONEY, PAIRS, PAIRS_SQL, event_day, events, flagged_lines,
@@ -217,10 +218,11 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 FROM lineitem
 """)
 def point_positions(spark, sf):
-    """Positions of the lines of an order, numbered per line number first so that no order is one task's work."""
+    """Positions of the lines of an order, counted per range of lines first so that no order is one task's work."""
     source = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     order = ["l_linenumber", "l_partkey", "l_suppkey"]
-    return numbered(source, ["l_orderkey"], order, F.col("l_linenumber"), "pos")
+    chunk = F.struct("l_linenumber", F.floor(F.col("l_partkey") / 10_000))
+    return numbered(source, ["l_orderkey"], order, chunk, "pos")
 
 
 FIRST_LAST_SQL = f"""
@@ -230,12 +232,13 @@ FIRST_LAST_SQL = f"""
 
 
 def _first_last(spark, sf):
+    """The first and the newest version per pair, found in one pass and kept, as both are read more than once."""
     source = pairs(spark, sf)
     rest = [c for c in source.columns if c != "pair_key"]
     seq = F.struct("ts", "event_id")
-    both = source.groupBy("pair_key").agg(
+    both = checkpointed(source.groupBy("pair_key").agg(
         F.min_by(F.struct(*rest), seq).alias("first"), F.max_by(F.struct(*rest), seq).alias("last")
-    )
+    ))
     return both.select("pair_key", "first.*"), both.select("pair_key", "last.*")
 
 
