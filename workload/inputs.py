@@ -83,7 +83,7 @@ FLAGS = Layout(
 def flagged_lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_shipdate", "l_partkey", "l_returnflag", "l_linestatus",
-        F.date_format("l_shipdate", "yyyy").alias("SHIP_YEAR"), "l_extendedprice",
+        F.year("l_shipdate").cast("string").alias("SHIP_YEAR"), "l_extendedprice",
     )
 
 
@@ -113,7 +113,7 @@ EVENTS = Layout(
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
-        "user_id", "ts", "event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("DAY"), "value"
+        "user_id", "ts", "event_id", "event_type", F.to_date("ts").cast("string").alias("DAY"), "value"
     )
 
 

@@ -20,7 +20,7 @@ def _feed(spark, sf, *more):
     """The events as a stream of versions."""
     schema = table(spark, sf, "events").schema
     source = stream_files(spark, f"{sf}/events.parquet", schema)
-    day = F.date_format("ts", "yyyy-MM-dd").alias("DAY")
+    day = F.to_date("ts").cast("string").alias("DAY")
     return source.select("user_id", "ts", "event_id", "event_type", day, "value", *more)
 
 
