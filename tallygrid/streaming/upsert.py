@@ -1,7 +1,8 @@
 """Streams of element versions turned into an append-only change log.
 
-State per key is the newest version. When a newer one arrives, the old numbers leave with the opposite sign and the
-new ones enter, so a running sum over the log always equals the sum over the newest versions.
+State is the newest version per key, kept in buckets of keys so that a task handles keys in bulk. When a newer version
+arrives, the old numbers leave with the opposite sign and the new ones enter, so a running sum over the log always
+equals the sum over the newest versions.
 
 Before the shuffle, each task reduces its rows to the newest version per key and batch of rows. Versions that are
 already superseded there need no state: they enter and leave on their own, spread over ``SPREAD`` groups. A key with
@@ -16,13 +17,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..model import Layout
 from ..operators.elements import flatten
 
+# Groups that share the versions superseded within a batch of rows.
 SPREAD = 256
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def _as_long(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
@@ -45,8 +50,8 @@ def _from_long(column: Column, kind: T.DataType) -> Column:
 
 
 def _newest_per_batch(order: list[str]):
-    """Mark, per batch of rows, the newest version of each key and epoch (spread 0); spread the others, whatever their
-    key."""
+    """Per batch of rows, leave the newest version of each key and epoch in its bucket and spread the others over
+    negative buckets, whatever their key."""
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -54,48 +59,62 @@ def _newest_per_batch(order: list[str]):
             rows = rows.drop_duplicates(["key", *order], ignore_index=True)
             following = rows[["key", "epoch"]].shift(-1)
             replaced = rows["key"].eq(following["key"]) & rows["epoch"].eq(following["epoch"])
-            rows["spread"] = (1 + pd.Series(rows.index % SPREAD)).where(replaced, 0).astype("int64")
-            rows["owner"] = rows["key"].mask(replaced, "")
+            rows["bucket"] = rows["bucket"].mask(replaced, -1 - pd.Series(rows.index % SPREAD))
             yield rows
 
     return reduce
 
 
-def _replace(order: list[str]):
-    """Apply the new versions of one key to its state."""
+class _KeepNewest(StatefulProcessor):
+    """The newest version per key, in a map per bucket of keys. A bucket is one call, so keys are handled in bulk."""
+
+    def __init__(self, order: list[str], state_schema: str) -> None:
+        self._columns = ["key", *order, "body"]
+        self._state_schema = state_schema
 
-    columns = ["key", *order, "body", "sign"]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._newest = handle.getMapState("newest", "key string", self._state_schema)
 
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        owner, spread = group
-        if spread > 0:
-            for rows in batches:
-                yield rows.assign(sign=1)[columns]
-                yield rows.assign(sign=-1)[columns]
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] < 0:
+            for superseded in rows:
+                yield superseded[self._columns].assign(sign=1)
+                yield superseded[self._columns].assign(sign=-1)
             return
-        held = tuple(state.get) if state.exists else None
-        arrived = {version[:-1]: version for rows in batches for version in zip(*[rows[c].tolist() for c in columns[1:-1]])}
-        out = []
-        for at in sorted(arrived):
-            if held is not None and at <= held[:-1]:
-                continue
-            if held is not None and held[0] == at[0]:
-                out.append((owner, *held, -1))
-            held = arrived[at]
-            out.append((owner, *held, 1))
-        if out:
-            state.update(held)
-            yield pd.DataFrame(out, columns=columns)
-
-    return step
-
-
-def changelog_stream(df: DataFrame, layout: Layout, epoch: str | None = None) -> DataFrame:
+        arrived: dict[str, dict[tuple, tuple]] = {}
+        for batch in rows:
+            for owner, *version in zip(*[batch[c].tolist() for c in self._columns]):
+                arrived.setdefault(owner, {})[tuple(version[:-1])] = tuple(version)
+        known = self._newest.exists()
+        signed = []
+        for owner, versions in arrived.items():
+            held = self._newest.getValue((owner,)) if known else None
+            held = None if held is None else tuple(held)
+            before = held
+            for at in sorted(versions):
+                if held is not None and at <= held[:-1]:
+                    continue
+                if held is not None and held[0] == at[0]:
+                    signed.append((owner, *held, -1))
+                held = versions[at]
+                signed.append((owner, *held, 1))
+            if held is not before:
+                self._newest.updateValue((owner,), held)
+        yield pd.DataFrame(signed, columns=[*self._columns, "sign"])
+
+    def close(self) -> None:
+        pass
+
+
+def changelog_stream(df: DataFrame, layout: Layout, epoch: str | None = None, buckets: int = 1024) -> DataFrame:
     """The change log of a stream of element versions: key, ``seq``, labels, signed number and ``sign``.
 
     A version whose ``seq`` is not above the stored one is dropped. Deleting is sending a version without points.
     With ``epoch``, a whole-number column, a version of a later epoch replaces without a negative entry, because
     sums are kept per epoch.
+
+    A task sorts what one micro-batch brings for one of ``buckets`` groups of keys; bound micro-batches with the options
+    of the source. The number must stay the same for a checkpoint.
     """
     order = ["epoch", *[f"q{i}" for i in range(len(layout.seq))]]
     nested = layout.is_nested(df)
@@ -106,13 +125,15 @@ def changelog_stream(df: DataFrame, layout: Layout, epoch: str | None = None) ->
         (F.col(f"`{epoch}`").cast("bigint") if epoch else F.lit(0).cast("bigint")).alias("epoch"),
         *[_as_long(df, c).alias(f"q{i}") for i, c in enumerate(layout.seq)],
         F.to_json(F.struct(*[F.col(f"`{c}`") for c in carried])).alias("body"),
+        F.pmod(F.xxhash64(F.col(f"`{layout.key}`").cast("string")), F.lit(buckets)).alias("bucket"),
     )
     longs = ", ".join(f"{c} bigint" for c in order)
-    reduced = coded.mapInPandas(
-        _newest_per_batch(order), f"key string, {longs}, body string, spread bigint, owner string"
-    )
-    log = reduced.groupBy("owner", "spread").applyInPandasWithState(
-        _replace(order), f"key string, {longs}, body string, sign int", f"{longs}, body string", "append", "NoTimeout"
+    reduced = coded.mapInPandas(_newest_per_batch(order), f"key string, {longs}, body string, bucket bigint")
+    log = reduced.groupBy("bucket").transformWithStateInPandas(
+        _KeepNewest(order, f"{longs}, body string"),
+        outputStructType=f"key string, {longs}, body string, sign int",
+        outputMode="append",
+        timeMode="none",
     )
     opened = log.select(
         F.col("key").alias(layout.key),
@@ -128,10 +149,22 @@ def changelog_stream(df: DataFrame, layout: Layout, epoch: str | None = None) ->
 
 def run_changelog(log: DataFrame, path: str, checkpoint: str, available_now: bool = True,
                   every: str | None = None) -> StreamingQuery:
-    """Write the change log to a folder, once per entry, restartable from ``checkpoint``."""
+    """Write the change log to a folder, once per entry, restartable from ``checkpoint``.
+
+    The state lives in RocksDB, which is set for this query only if the session names another store.
+    """
+    spark = log.sparkSession
+    configured = spark.conf.get(STATE_STORE, None)
     writer = log.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=every)
-    return writer.start(path)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return writer.start(path)
+    finally:
+        if configured is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, configured)
