@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..model import Layout
 
@@ -15,74 +14,75 @@ COMMENT = "#"
 FILE_SEQ = ("seq_file", "seq_block", "seq_line")
 
 
+def _stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r"))
+
+
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Column names from the first line; all files of a folder carry the same header."""
     first = spark.read.text(path).limit(1).collect()
-    names = first[0][0].strip().split("\t") if first else []
+    return _checked(first[0][0].strip().split("\t") if first else [], path)
+
+
+def _checked(names: list[str], path: str) -> list[str]:
     if VALUE_HEADER not in names:
         raise ValueError(f"{path}: no column {VALUE_HEADER}")
     return names
 
 
-def _schema(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
-def _elements(lines: DataFrame, names: list[str], float32: bool, mode: str) -> tuple[DataFrame, Layout]:
+def _elements(lines: DataFrame, names: list[str], float32: bool, mode: str, empty_as_null: bool,
+              seq: tuple[str, ...]) -> tuple[DataFrame, Layout]:
     if mode not in ("fail", "drop"):
         raise ValueError(f"unknown mode {mode}")
-    labels = [n for n in names if n != VALUE_HEADER]
-    key = labels[0]
+    line = _stripped(F.col("value"))
+    lines = lines.filter((line != "") & ~line.startswith(COMMENT) & (line != "\t".join(names)))
+    fields = lines.select(F.split(line, "\t").alias("_fields"), *seq)
 
-    def column(name: str) -> Column:
-        return F.col(f"`{name}`")
+    def field(name: str) -> Column:
+        return F.get("_fields", F.lit(names.index(name)))
 
     def number(cast) -> Column:
-        text = F.trim(column(VALUE_HEADER))
+        text = F.trim(field(VALUE_HEADER))
         return cast(cast(text, "float"), "double") if float32 else cast(text, "double")
 
+    def label(name: str) -> Column:
+        return F.nullif(field(name), F.lit("")) if empty_as_null else field(name)
+
     value = number(Column.cast) if mode == "fail" else number(Column.try_cast)
-    first = column(names[0])
-    rows = lines.filter(first.isNotNull() & ~F.ltrim(first).startswith(COMMENT))
-    rows = rows.select(
-        column(key).alias("invariant_key"),
-        *[column(n) for n in labels],
-        value.alias("value"),
-        *[F.col(c) for c in FILE_SEQ if c in lines.columns],
+    labels = [n for n in names if n != VALUE_HEADER]
+    rows = fields.select(
+        field(labels[0]).alias("invariant_key"), *[label(n).alias(n) for n in labels], value.alias("value"), *seq
     )
     if mode == "drop":
         rows = rows.filter(F.col("value").isNotNull())
-    return rows, Layout(core=tuple(labels), seq=FILE_SEQ)
-
-
-def _options(reader):
-    return reader.option("sep", "\t").option("quote", "").option("encoding", "UTF-8").option("header", True)
+    return rows, Layout(core=tuple(labels), seq=seq)
 
 
-def read_tsv(spark: SparkSession, path: str, float32: bool = True, mode: str = "fail") -> tuple[DataFrame, Layout]:
+def read_tsv(spark: SparkSession, path: str, float32: bool = True, mode: str = "fail",
+             empty_as_null: bool = False) -> tuple[DataFrame, Layout]:
     """Elements of tab-separated files: all labels core, the first label column is the key, a later line is newer.
 
     Numbers go through 32 bits unless ``float32`` is off. A number that does not parse fails the query, or with
-    ``mode='drop'`` loses its line. Trailing empty labels read as null.
+    ``mode='drop'`` loses its line. Labels missing at the end of a line read as null, empty ones as empty text or, with
+    ``empty_as_null``, as null too. Large files are split among tasks.
     """
     names = header_of(spark, path)
-    lines = _options(spark.read).schema(_schema(names)).csv(path)
-    lines = lines.select(
-        *[F.col(f"`{n}`") for n in names],
+    lines = spark.read.text(path).select(
+        "value",
         F.col("_metadata.file_path").alias("seq_file"),
         F.col("_metadata.file_block_start").alias("seq_block"),
         F.monotonically_increasing_id().alias("seq_line"),
     )
-    return _elements(lines, names, float32, mode)
+    return _elements(lines, names, float32, mode, empty_as_null, FILE_SEQ)
 
 
 def stream_tsv(spark: SparkSession, path: str, names: list[str], seq: str, float32: bool = True, mode: str = "fail",
-               max_files: int | None = None) -> tuple[DataFrame, Layout]:
+               empty_as_null: bool = False, max_files: int | None = None) -> tuple[DataFrame, Layout]:
     """The streaming form. Files arrive in no fixed order, so a label column must carry the order as ``seq``."""
-    reader = _options(spark.readStream).schema(_schema(names))
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows, layout = _elements(reader.csv(path), names, float32, mode)
+    rows, layout = _elements(reader.text(path), _checked(names, path), float32, mode, empty_as_null, ())
     labels = tuple(n for n in layout.core if n != seq)
     return rows.withColumn("seq", F.col(f"`{seq}`").cast("bigint")), Layout(core=labels, seq=("seq",))
 

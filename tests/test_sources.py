@@ -40,6 +40,15 @@ def test_tsv(spark, tsv_file):
     ]
 
 
+def test_tsv_empty_labels(spark, tmp_path):
+    path = tmp_path / "empty.txt"
+    path.write_text("ID\tA\t#VALUE#\tB\tC\n1\t\t1\t\tc\n\n2\ta\t2\t\t\n")
+    rows, _ = tsv.read_tsv(spark, str(path))
+    assert tuples(rows, "invariant_key", "A", "value", "B", "C") == [("1", "", 1.0, "", "c"), ("2", "a", 2.0, None, None)]
+    nulls, _ = tsv.read_tsv(spark, str(path), empty_as_null=True)
+    assert tuples(nulls, "invariant_key", "A", "B") == [("1", None, None), ("2", "a", None)]
+
+
 def test_tsv_double(spark, tsv_file):
     rows, _ = tsv.read_tsv(spark, tsv_file, float32=False)
     assert (0.1,) in tuples(rows, "value")

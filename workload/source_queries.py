@@ -127,7 +127,7 @@ def tsv_source(spark, sf):
     path = new_work_dir(spark, "tsv")
     source = table(spark, sf, "orders").withColumn("STATUS", F.nullif("o_orderstatus", F.lit("P")))
     tsv.write_tsv(source.orderBy("o_orderkey"), path, FILE_LABELS, "o_totalprice")
-    rows, layout = tsv.read_tsv(spark, path, float32=False)
+    rows, layout = tsv.read_tsv(spark, path, float32=False, empty_as_null=True)
     return latest(rows, layout).select("invariant_key", "o_orderpriority", "STATUS", "value")
 
 

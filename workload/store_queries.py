@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from tallygrid.operators import difference as diff
 from tallygrid.operators import elements as el
 from tallygrid.operators import store as st
-from tallygrid.operators.changes import cell_changes, vanished, vanished_axis_records
+from tallygrid.operators.changes import as_json, cell_changes, update_records, vanished, vanished_axis_records
 from tallygrid.operators.drill import drill, drill_from
 from tallygrid.operators.ordering import numbered
 from tallygrid.plans.spec import ViewSpec
 from tallygrid.plans.view import view_cells
-from tallygrid.session import checkpointed
+from tallygrid.session import checkpointed, new_work_dir
+from tallygrid.sources.feeds import write_snapshot
 
 from .inputs import (
     EVENTS, EVENTS_SQL, FLAGS, FLAGS_SQL, LINES, LINES_SQL, CENTS, MONEY, PAIRS, PAIRS_SQL, event_day, events, flagged_lines,
@@ -356,6 +357,36 @@ def changed_cells(spark, sf):
     return cell_changes(before, after, ["DAY", "event_type"])
 
 
+@query(f"""
+WITH {STATES_SQL}
+SELECT 'states' AS "viewName", CASE WHEN a.DAY IS NULL THEN 'DEL' ELSE 'UPD' END AS command,
+       COALESCE(a.event_type, b.event_type) AS row_key, COALESCE(a.DAY, b.DAY) AS col_key,
+       format('{{:,}}', CAST(round_even(CAST(a.value AS DECIMAL(18,2)), 0) AS BIGINT)) AS value
+FROM after a FULL JOIN before b ON a.DAY = b.DAY AND a.event_type = b.event_type
+WHERE a.DAY IS NULL OR (CASE WHEN a.is_total THEN abs(a.value - COALESCE(b.value, 0)) > 1e-8
+                             ELSE b.DAY IS NULL OR a.value <> b.value END)
+""")
+def change_messages(spark, sf):
+    """Updates and deletes between two states as JSON records, read back into columns."""
+    before, after = _states(spark, sf)
+    changes = cell_changes(before, after, ["DAY", "event_type"])
+    text = as_json(update_records(changes, STATES))
+    schema = "viewName string, command string, rowKeys array<string>, colKeys array<string>, value string"
+    back = text.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return back.select("viewName", "command", F.col("rowKeys")[0].alias("row_key"), F.col("colKeys")[0].alias("col_key"), "value")
+
+
+@query(f"""
+WITH {STATES_SQL}
+SELECT DAY, event_type, is_total, value FROM after
+""")
+def snapshot_table(spark, sf):
+    """All published cells of a view, written as a table and read back."""
+    path = new_work_dir(spark, "snapshot")
+    write_snapshot(view_cells(st.latest(events(spark, sf), EVENTS), EVENTS, STATES, MONEY), path)
+    return spark.read.parquet(path).drop("hidden")
+
+
 @query(f"""
 WITH {STATES_SQL}
 SELECT DISTINCT DAY, event_type FROM before b

@@ -86,6 +86,20 @@ def stream_totals(spark, sf):
     return state.select("DAY", "event_type", "is_total", "value")
 
 
+@query(f"""
+SELECT event_type, {total('value')} FROM events GROUP BY ALL
+""")
+def stream_snapshot(spark, sf):
+    """What a consumer gets on attaching: the feed folded into a full state."""
+    work = new_work_dir(spark, "attach")
+    spec = ViewSpec("types", rows=("event_type",))
+    cells = sc.running_cells(_feed(spark, sf), EVENTS, spec, MONEY)
+    sc.run_updates(cells, f"{work}/feed", f"{work}/checkpoint").awaitTermination()
+    keys = sc.cell_keys(spec)
+    sc.compact(spark, f"{work}/feed", f"{work}/states", keys)
+    return sc.current_state(spark, f"{work}/feed", f"{work}/states", keys).select("event_type", "value")
+
+
 @query(f"""
 SELECT event_type, {total('value')} FROM (
   SELECT event_type, CASE WHEN gone THEN 0 ELSE value END AS value
