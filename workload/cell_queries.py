@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.functions.labels import cell_key, join_key, split_key, core_label, value_label
+from tallygrid.functions.labels import cell_key, core_label, join_key, split_key, value_label
+from tallygrid.model import Layout
 from tallygrid.operators.cells import visible
-from tallygrid.operators.changes import update_records
+from tallygrid.operators.changes import as_json, update_records
+from tallygrid.operators.elements import flatten
 from tallygrid.plans.spec import ViewSpec
 from tallygrid.plans.view import all_views, register_transform, view_cells
 
 from .inputs import (
-    FLAGS, FLAGS_SQL, LINES, LINES_SQL, CENTS, MONEY, ORDER_LINES, ORDERS, flagged_lines, lines, order_lines, orders, total,
+    CENTS, FLAGS, LINES, LINES_SQL, MONEY, ORDER_LINES, ORDERS, flagged_lines, lines, order_lines, orders, table, total,
 )
 from .registry import query
 
@@ -59,8 +61,6 @@ SELECT line_key, l_shipdate, l_partkey, pos, l_returnflag AS core_flag, CAST(NUL
 FROM (%s)
 """ % LINES_SQL)
 def value_rows(spark, sf):
-    from tallygrid.operators.elements import flatten
-
     return flatten(lines(spark, sf), LINES).select(
         "line_key", "l_shipdate", "l_partkey", "pos",
         core_label(LINES, "l_returnflag").alias("core_flag"),
@@ -108,14 +108,10 @@ FROM customer GROUP BY ALL
 """)
 def value_rename_long(spark, sf):
     """A rename of a hundred entries goes through a lookup table."""
-    from tallygrid.model import Layout
-
     layout = Layout(key="c_custkey", seq=("c_custkey",), core=("c_nationkey",), value="c_acctbal")
-    table = {str(n): f"Region {n % 5}" for n in range(100)}
-    spec = ViewSpec("nations", rows=("c_nationkey",), renames={"c_nationkey": table})
-    from .inputs import table as read
-
-    return view_cells(read(spark, sf, "customer"), layout, spec, MONEY).select("c_nationkey", "value")
+    regions = {str(n): f"Region {n % 5}" for n in range(100)}
+    spec = ViewSpec("nations", rows=("c_nationkey",), renames={"c_nationkey": regions})
+    return view_cells(table(spark, sf, "customer"), layout, spec, MONEY).select("c_nationkey", "value")
 
 
 @query(f"""
@@ -270,8 +266,6 @@ GROUP BY GROUPING SETS ((strftime(l_shipdate, '%Y') || chr(9) || l_linestatus, l
 """)
 def cell_messages(spark, sf):
     """Records go out as JSON text; here they are read back into columns."""
-    from tallygrid.operators.changes import as_json
-
     cells = view_cells(flagged_lines(spark, sf), FLAGS, MESSAGES, MONEY)
     text = as_json(update_records(cells, MESSAGES))
     schema = "viewName string, command string, rowKeys array<string>, colKeys array<string>, value string"

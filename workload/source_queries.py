@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallygrid.operators.elements import attribute_catalog
 from tallygrid.operators.changes import as_json, header_records
+from tallygrid.operators.elements import attribute_catalog
 from tallygrid.operators.grid import wide
 from tallygrid.operators.ordering import numbered
-from tallygrid.plans.spec import ViewSpec
+from tallygrid.operators.store import latest
 from tallygrid.plans.view import view_cells
 from tallygrid.session import new_work_dir
 from tallygrid.sources import definitions as defs
 from tallygrid.sources import tsv
-from tallygrid.operators.store import latest
 
-from .display_queries import PIVOT
-from .display_queries import _pivot_sql
-from .inputs import FLAGS, LINES, LINES_SQL, MONEY, flagged_lines, lines, table, total
+from .display_queries import PIVOT, _pivot_sql
+from .inputs import FLAGS, LINES, LINES_SQL, MONEY, flagged_lines, lines, table
 from .registry import query
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallygrid.model import Layout
 from tallygrid.operators import difference as diff
 from tallygrid.operators import elements as el
 from tallygrid.operators import store as st
@@ -16,8 +17,7 @@ from tallygrid.session import checkpointed, new_work_dir
 from tallygrid.sources.feeds import write_snapshot
 
 from .inputs import (
-    EVENTS, EVENTS_SQL, FLAGS, FLAGS_SQL, LINES, LINES_SQL, CENTS, MONEY, PAIRS, PAIRS_SQL, event_day, events, flagged_lines,
-    lines, pairs, table, total,
+    CENTS, EVENTS, EVENTS_SQL, LINES, LINES_SQL, MONEY, PAIRS, PAIRS_SQL, event_day, events, lines, pairs, table, total,
 )
 from .registry import query
 
@@ -114,8 +114,6 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus
                            ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1
 """)
 def dedupe_points(spark, sf):
-    from tallygrid.model import Layout
-
     names = ["l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     layout = Layout(key="l_orderkey", perimeter=("l_returnflag", "l_linestatus"), value="l_extendedprice")
     return el.deduplicated_rows(table(spark, sf, "lineitem").select(*names), layout, names[3:])
