@@ -79,7 +79,9 @@ def summed(measure: str) -> Column:
 def labelled(df: DataFrame, layout: Layout, spec: ViewSpec, measure: str = "double",
              keep: Sequence[str] = ()) -> DataFrame:
     """The value rows a view takes, reduced to its labels and the number; ``keep`` passes further columns on."""
-    rows = flatten(df.filter(_core_filter(layout, spec)), layout) if layout.is_nested(df) else df
+    rows = df
+    if layout.is_nested(df):
+        rows = flatten(df.filter(_core_filter(layout, spec)), layout, attributes_read([spec]))
     rows = rows.filter(view_filter(layout, spec)).select(
         *[F.col(f"`{k}`") for k in keep],
         *[axis_label(layout, spec, a).alias(a.column) for a in spec.axes],
@@ -92,6 +94,11 @@ def labelled(df: DataFrame, layout: Layout, spec: ViewSpec, measure: str = "doub
     return rows
 
 
+def attributes_read(specs: Sequence[ViewSpec]) -> set[str]:
+    """The attributes that any of the views shows or filters."""
+    return {a.attribute for s in specs for a in s.axes} | {n for s in specs for n in s.filters}
+
+
 def _core_filter(layout: Layout, spec: ViewSpec) -> Column:
     tests = [one_of(layout, n, v) for n, v in spec.filters.items() if n in layout.core]
     return reduce(and_, tests) if tests else F.lit(True)
@@ -152,9 +159,9 @@ def fan_out(df: DataFrame, layout: Layout, specs: Sequence[ViewSpec], measure: s
     in every attribute any of the views reads are summed first, so the fan-out copies sums and not rows.
     """
     core = reduce(or_, [_core_filter(layout, s) for s in specs])
-    rows = flatten(df.filter(core), layout) if layout.is_nested(df) else df
+    read = attributes_read(specs)
+    rows = flatten(df.filter(core), layout, read) if layout.is_nested(df) else df
     rows = rows.filter(reduce(or_, [view_filter(layout, s) for s in specs]))
-    read = {a.attribute for s in specs for a in s.axes} | {n for s in specs for n in s.filters}
     shared = [F.col(f"`{n}`") for n in layout.attributes if n in read]
     rows = rows.select(*shared, measured(layout, measure).alias("value")).groupBy(*shared).agg(summed(measure))
     entries = []

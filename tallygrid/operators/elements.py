@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,18 +12,24 @@ from ..functions.labels import value_label
 from ..model import Layout
 
 
-def flatten(df: DataFrame, layout: Layout) -> DataFrame:
-    """One row per point, core labels repeated, perimeter labels appended; an element without points gives none."""
+def flatten(df: DataFrame, layout: Layout, only: Collection[str] | None = None) -> DataFrame:
+    """One row per point, core labels repeated, perimeter labels appended; an element without points gives none.
+
+    ``only`` names the perimeter labels the caller reads. The others are not read from the files either: fields of an
+    exploded array are pruned only when the array is put together from the fields in use.
+    """
     if not layout.is_nested(df):
         return df
-    kept = [c for c in df.columns if c != layout.points]
+    kept = [F.col(f"`{c}`") for c in df.columns if c != layout.points]
+    names = [n for n in layout.perimeter if only is None or n in only] + [layout.value]
+    points = F.col(layout.points)
+    if len(names) < len(layout.perimeter) + 1:
+        points = F.arrays_zip(*[points[n] for n in names])
     # The outer form followed by a filter: the plain form makes the optimizer test the size of the array in an extra
     # filter, which computes a derived array a second time.
-    exploded = df.select(*[F.col(f"`{c}`") for c in kept], F.posexplode_outer(layout.points).alias(layout.pos, "_point"))
+    exploded = df.select(*kept, F.posexplode_outer(points).alias(layout.pos, "_point"))
     return exploded.filter(F.col(layout.pos).isNotNull()).select(
-        *[F.col(f"`{c}`") for c in kept],
-        layout.pos,
-        *[F.col("_point")[name].alias(name) for name in (*layout.perimeter, layout.value)],
+        *kept, layout.pos, *[F.col("_point")[n].alias(n) for n in names]
     )
 
 

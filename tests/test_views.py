@@ -177,6 +177,17 @@ def test_filters_reach_the_file_scan(spark, elements, tmp_path):
     assert "BOOK" not in plan
 
 
+def test_unused_point_labels_are_not_read(spark, elements, tmp_path):
+    path = str(tmp_path / "elements")
+    elements.write.parquet(path)
+    stored = spark.read.parquet(path)
+    spec = ViewSpec("v", rows=("TENOR",), totals=("TENOR",))
+    for cells in (view_cells(stored, LAYOUT, spec), all_views(stored, LAYOUT, [spec])):
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert "points:array<struct<TENOR:string,value:double>>" in plan
+    assert tuples(view_cells(stored, LAYOUT, spec)) == tuples(view_cells(elements, LAYOUT, spec))
+
+
 def test_label_texts(spark):
     row = spark.range(1).select(
         split_key(join_key([F.lit("a"), F.lit(""), F.lit("")])).alias("cut"),
