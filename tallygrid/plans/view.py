@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import Layout
 from ..operators import cells as c
+from ..operators.difference import against_baseline
 from .spec import ViewSpec
 
 Transform = Callable[..., DataFrame]
@@ -21,6 +22,13 @@ def register_transform(name: str, function: Transform) -> None:
     _transforms[name] = function
 
 
+def _against_baseline(df: DataFrame, layout: Layout, factor: str = "1.0") -> DataFrame:
+    return against_baseline(df, layout, factor=float(factor))
+
+
+register_transform("against baseline", _against_baseline)
+
+
 def transformed(df: DataFrame, layout: Layout, spec: ViewSpec) -> DataFrame:
     """Apply the transform of a view, with its argument if the function takes one."""
     if spec.transform is None:

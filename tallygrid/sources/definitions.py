@@ -20,7 +20,7 @@ def read_definitions(spark: SparkSession, path: str) -> DataFrame:
     does not fit fails the query. Works line by line, so files of any size are split among tasks.
     """
     lines = spark.read.text(path).select(
-        F.trim("value").alias("text"),
+        F.btrim(F.col("value"), F.lit(" \t\r")).alias("text"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),

@@ -267,6 +267,30 @@ def label_subtract(spark, sf):
     )
 
 
+BASELINE_VIEW = ViewSpec("moves", rows=("METRIC", "SIZE"), cols=("event_type",), totals=("event_type",),
+                         transform="against baseline", transform_arg="1.0")
+
+
+@query(f"""
+WITH {FIRST_LAST_SQL},
+newest AS (SELECT pair_key, event_type, METRIC, SIZE, value FROM last
+           UNION ALL SELECT pair_key || '-SOD', event_type, METRIC, SIZE, value FROM first)
+SELECT CASE WHEN GROUPING(event_type) = 1 THEN 'Total' ELSE event_type END AS event_type, METRIC, SIZE,
+       GROUPING(event_type) = 1 AS is_total, {total('value')}
+FROM (
+  SELECT event_type, METRIC, COALESCE(SIZE, '-') AS SIZE, value FROM newest
+  UNION ALL
+  SELECT event_type, METRIC, COALESCE(SIZE, '-'), -value FROM newest
+  WHERE pair_key LIKE '%-SOD' AND left(pair_key, length(pair_key) - 4) IN (SELECT pair_key FROM newest))
+GROUP BY GROUPING SETS ((event_type, METRIC, SIZE), (METRIC, SIZE))
+""")
+def baseline_view(spark, sf):
+    """A view whose elements are first replaced by their difference against the baseline."""
+    first, last = _first_last(spark, sf)
+    newest = last.unionByName(el.copied(first, PAIRS, key=F.concat("pair_key", F.lit("-SOD"))))
+    return view_cells(newest, PAIRS, BASELINE_VIEW, MONEY).drop("hidden")
+
+
 @query(f"""
 WITH {FIRST_LAST_SQL},
 newest AS (SELECT pair_key, event_type, METRIC, SIZE, value FROM last
