@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallygrid.model import Layout
 from tallygrid.operators.elements import point
@@ -13,8 +14,15 @@ MONEY = "fixed(2)"
 CENTS = "decimal(18,2)"
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table. Its schema is read from the files once and then given, which saves a job per query."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 # One element per order line, four points each. BAND is a tenor-like label that only QTY has.
