@@ -17,6 +17,8 @@ SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
+    # Skips noting the Python line of every column expression, which costs several calls each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
