@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +73,19 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
     return df.checkpoint(eager=eager)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per Spark context, so that their functions can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_tallygrid_shipped", None) is None:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="tallygrid-ship-"), "tallygrid_package.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, names in os.walk(root):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(archive)
+        context._tallygrid_shipped = archive
+    return spark

@@ -19,7 +19,7 @@ def connection():
     return found
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query_equals_its_sql(spark, connection, name):
     outcome, _ = check.compare(spark, connection, name, SF)
     assert outcome.startswith("ok")
@@ -30,4 +30,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
