@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import substring_dedup, suffix_dedup
+from . import substring_dedup, suffix_dedup, token_output
 from .common import table
 
+#: Where the public tokenizer files lie; the installed package tells.
+TOKENIZER = "byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -35,3 +38,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte strings that a smaller document holds."""
     return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@_query
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as range-coded token ids and read back."""
+    return token_output.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
