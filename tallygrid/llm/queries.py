@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import substring_dedup, suffix_dedup, token_output
+from . import jaccard_join, langid, substring_dedup, suffix_dedup, token_output
 from .common import table
 
 #: Where the public tokenizer files lie; the installed package tells.
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +41,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
+def public_file(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -49,4 +50,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 @_query
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as range-coded token ids and read back."""
-    return token_output.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_output.token_digests(table(spark, sf_dir, "documents"), public_file(TOKENIZER))
+
+
+@_query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs, public_file(PIECES)))
+
+
+@_query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that are linked by similar sets of word shingles."""
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
