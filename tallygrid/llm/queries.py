@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import jaccard_join, langid, substring_dedup, suffix_dedup, token_output
+from . import decontaminate, jaccard_join, langid, substring_dedup, suffix_dedup, token_output
 from .common import table
 
 #: Where the public tokenizer files lie; the installed package tells.
@@ -64,3 +64,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents that are linked by similar sets of word shingles."""
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap with benchmark items."""
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(found)
