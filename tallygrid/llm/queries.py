@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, jaccard_join, langid, substring_dedup, suffix_dedup, token_output
+from . import decontaminate, jaccard_join, langid, mixing, substring_dedup, suffix_dedup, token_output, topk, warc
 from .common import table
 
 #: Where the public tokenizer files lie; the installed package tells.
@@ -71,3 +72,37 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap with benchmark items."""
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.contaminated(found)
+
+
+@_query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sampled to tempered shares of sources, languages and topics."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    sample = mixing.Mix(docs).sample(docs)
+    return sample.select("row.doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), F.round("weight", 9).alias("weight"))
+
+
+@_query
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors of highest inner product for every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@_query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back."""
+    return warc.page_digests(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op7_warc"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), h AS (
+    SELECT payload_digest, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, p.payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
+FROM p LEFT JOIN h ON p.payload_digest = h.payload_digest
+"""
