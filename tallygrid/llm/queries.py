@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, jaccard_join, langid, mixing, substring_dedup, suffix_dedup, token_output, topk, warc
+from . import decontaminate, jaccard_join, langid, mixing, substring_dedup, suffix_dedup, surrogates, token_output, topk, warc
 from .common import table
 
 #: Where the public tokenizer files lie; the installed package tells.
@@ -106,3 +106,9 @@ SELECT page_id, payload_bytes, p.payload_digest,
     CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
 FROM p LEFT JOIN h ON p.payload_digest = h.payload_digest
 """
+
+
+@_query
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with surrogates in place of personal data."""
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents"))
