@@ -1,4 +1,88 @@
-"""placeholder while the stages are written"""
-STAGES = []
-def query(spark, sf_dir):
-    raise NotImplementedError
+"""From raw documents to token files: five stages, each applying one operator of ``tallygrid.llm`` to what the stage before has kept.
+
+1. ``language``: documents without letters, or whose language is uncertain, go.
+2. ``near_duplicates``: of every class of documents linked by a shingle similarity of 0.75 or more, the smallest id stays. Rows that repeat
+   an id stay or go together; documents without words are no one's duplicates.
+3. ``decontaminated``: documents that overlap with a benchmark item go.
+4. ``mixed``: documents are sampled to tempered shares of sources, languages and topics.
+5. ``tokens``: the sample is written as range-coded token ids and read back; one row per document.
+
+All stages but the last return the columns of documents. Rows with a null id pass the first stage only: the second returns rows that have
+an id. Null and empty texts go in the first stage (they have no letters). Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallygrid.llm import decontaminate, jaccard_join, langid, mixing, token_output
+from tallygrid.llm.common import table
+from tallygrid.llm.queries import PIECES, TOKENIZER, public_file
+from tallygrid.session import new_work_dir, ship
+
+LEAST_SCORE = 0.5
+SHARE = 0.8
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a score of at least ``LEAST_SCORE``."""
+    model = langid.train(docs, public_file(PIECES))
+    found = langid.with_language(docs, model)
+    kept = (F.col("language_found.lang_pred") != langid.UNKNOWN_LANGUAGE) & (F.col("language_found.score") >= LEAST_SCORE)
+    return found.filter(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each class."""
+    classes = jaccard_join.similar_documents(docs.select("doc_id", "text"))
+    smallest = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(smallest, "doc_id", "left_semi")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark overlap."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample at tempered shares."""
+    return mixing.Mix(docs, share=SHARE).sample(docs).select("row.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the sample, read back: start, number and checksum of the ids of each document."""
+    return token_output.token_digests(docs, public_file(TOKENIZER))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship(spark), docs, sf_dir)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [(stage.__name__, _shipped(stage)) for stage in (language, near_duplicates, decontaminated, mixed, tokens)]
+
+#: Language models, components and range coding have no SQL form; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; what each returns is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = new_work_dir(spark, "pipeline")
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+query = run
