@@ -38,32 +38,39 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length as one compressed blob, each byte plane apart, so that high bytes cost little."""
+def pack(kinds: tuple, *columns: np.ndarray) -> bytes:
+    """Columns of equal length as one compressed blob, each byte plane apart, so that high bytes cost little.
+
+    ``kinds`` are numpy types, or a number k for the k low bytes of 64-bit numbers.
+    """
     out = [np.uint32(len(columns[0])).tobytes()]
-    for column in columns:
-        planes = np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T
-        out.append(np.ascontiguousarray(planes).tobytes())
+    for kind, column in zip(kinds, columns):
+        own = np.ascontiguousarray(column, dtype="<u8" if isinstance(kind, int) else kind)
+        planes = own.view(np.uint8).reshape(len(own), -1).T
+        out.append(np.ascontiguousarray(planes[:kind] if isinstance(kind, int) else planes).tobytes())
     raw = b"".join(out)
     return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="lz4", asbytes=True)
 
 
-def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    """What :func:`pack` packed; ``kinds`` are the columns' numpy types."""
+def unpack(kinds: tuple, blob: bytes) -> list[np.ndarray]:
+    """What :func:`pack` packed."""
     raw = pa.decompress(blob[4:], decompressed_size=int.from_bytes(blob[:4], "little"), codec="lz4", asbytes=True)
     n, at, found = int.from_bytes(raw[:4], "little"), 4, []
-    for kind in map(np.dtype, kinds):
-        size = n * kind.itemsize
-        planes = np.frombuffer(raw, dtype=np.uint8, count=size, offset=at).reshape(kind.itemsize, n)
-        found.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
-        at += size
+    for kind in kinds:
+        whole = np.dtype("<u8" if isinstance(kind, int) else kind)
+        width = kind if isinstance(kind, int) else whole.itemsize
+        planes = np.zeros((n, whole.itemsize), dtype=np.uint8)
+        planes[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T
+        found.append(planes.reshape(-1).view(whole))
+        at += n * width
     return found
 
 
-def unpacked(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
+def unpacked(kinds: tuple, blobs: list[bytes]) -> list[np.ndarray]:
     """The packed columns of many blobs, joined."""
-    parts = [unpack(b, *kinds) for b in blobs]
-    return [np.concatenate(x) if parts else np.zeros(0, k) for x, k in zip(zip(*parts) if parts else kinds, kinds)]
+    if not blobs:
+        return unpack(kinds, pack(kinds, *(np.zeros(0, "u8") for _ in kinds)))
+    return [np.concatenate(x) for x in zip(*(unpack(kinds, b) for b in blobs))]
 
 
 def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:

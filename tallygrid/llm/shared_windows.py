@@ -30,8 +30,12 @@ from .common import bucket_count, by_bucket, encoded, merged_spans, pack, text_b
 from .hashing import Runs
 
 WIDE = 64
-_ENTRY = ("u8", "u8", "i8", "i4", "i4")
-_WINDOW = ("u8", "u8", "i8", "i4")
+#: An entry: 40 bits of the anchor's hash beside its bucket (a clash only puts two anchors into one group), 56 bits of the
+#: hash of what is covered (compared within an anchor only), document, first and last window.
+_ENTRY = (5, 7, "i8", "i4", "i4")
+_RANGE = ("i8", "i4", "i4")
+_WINDOW = (8, 8, "i8", "i4")
+_SPAN = ("i4", "i4")
 _DECIDED, _PIECE, _WINDOWS = 0, 1, 2
 _DECISIONS = "doc_id long, first int, last int, anchor long, kind int"
 _CUT = "block int, kind int, anchor long, doc_id long, first int, windows int, data binary"
@@ -100,11 +104,11 @@ def _entries(kind: Windows, buckets: int):
             rows = []
             for bucket, own in by_bucket((anchor[sent] % np.uint64(buckets)).astype(np.int64)):
                 own = sent[own]
-                rows.append((bucket, pack(anchor[own], whole[own], doc[own], first[own].astype("i4"), last[own].astype("i4"))))
+                rows.append((bucket, pack(_ENTRY, anchor[own] >> np.uint64(24), whole[own], doc[own], first[own], last[own])))
             # Decided ranges travel apart, to buckets below zero, without their hashes.
             for bucket, own in by_bucket(doc[decided] % buckets):
                 own = decided[own]
-                rows.append((-1 - bucket, pack(doc[own], first[own].astype("i4"), last[own].astype("i4"))))
+                rows.append((-1 - bucket, pack(_RANGE, doc[own], first[own], last[own])))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
     return run
@@ -120,9 +124,9 @@ def _decisions(doc, first, last, anchor, kind) -> pa.Table:
 def _decide(key, group):
     blobs = group.column("blob").to_pylist()
     if key[0].as_py() < 0:
-        doc, first, last = unpacked(blobs, "i8", "i4", "i4")
+        doc, first, last = unpacked(_RANGE, blobs)
         return _decisions(doc, first, last, np.zeros(len(doc), "u8"), np.zeros(len(doc), "i4"))
-    anchor, whole, doc, first, last = unpacked(blobs, *_ENTRY)
+    anchor, whole, doc, first, last = unpacked(_ENTRY, blobs)
     order, new = _folded(anchor, whole, doc, first)
     anchor, doc, first, last = anchor[order], doc[order], first[order], last[order]
     least = doc[new][np.cumsum(new) - 1]
@@ -147,11 +151,13 @@ def _cut(kind: Windows, blocks: int):
             rows, open_windows = [], []
             texts = encoded(batch.column("text"))
             for doc, text, found in zip(batch.column("doc_id").to_pylist(), texts, batch.column("ranges")):
+                if not found.is_valid:
+                    continue
                 ranges = found.values.flatten()
                 first, last, anchor, state = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges)
                 start, end = merged_spans(first[state == _DECIDED], last[state == _DECIDED] + 1 + tail)
                 if len(start):
-                    rows.append((doc % blocks, _DECIDED, 0, doc, 0, 0, pack(start.astype("i4"), end.astype("i4"))))
+                    rows.append((doc % blocks, _DECIDED, 0, doc, 0, 0, pack(_SPAN, start, end)))
                 piece = np.flatnonzero(state == _PIECE)
                 data = kind.slices(text, first[piece], last[piece] + 1 + tail)
                 for i, part in zip(piece.tolist(), data):
@@ -166,7 +172,7 @@ def _cut(kind: Windows, blocks: int):
             if open_windows:
                 anchor, window, doc, first = (np.concatenate(x) for x in zip(*open_windows))
                 for block, own in by_bucket((window % np.uint64(blocks)).astype(np.int64)):
-                    rows.append((block, _WINDOWS, 0, 0, 0, 0, pack(anchor[own], window[own], doc[own], first[own])))
+                    rows.append((block, _WINDOWS, 0, 0, 0, 0, pack(_WINDOW, anchor[own], window[own], doc[own], first[own])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
 
     return run
@@ -178,11 +184,11 @@ def _solve(kind: Windows):
         data = group.column("data")
         spans = []
         for doc, blob in zip(group.column("doc_id").to_numpy()[states == _DECIDED].tolist(), data.filter(pa.array(states == _DECIDED)).to_pylist()):
-            start, end = unpack(blob, "i4", "i4")
+            start, end = unpack(_SPAN, blob)
             spans.append((np.full(len(start), doc), start, end))
         blobs = data.filter(pa.array(states == _WINDOWS)).to_pylist()
         if blobs:
-            anchor, window, doc, first = unpacked(blobs, *_WINDOW)
+            anchor, window, doc, first = unpacked(_WINDOW, blobs)
             order, new = _folded(anchor, window, doc, first)
             doc, first = doc[order], first[order]
             later = doc > doc[new][np.cumsum(new) - 1]
@@ -196,7 +202,7 @@ def _solve(kind: Windows):
         for own_rows in (rows for _, rows in by_bucket(doc)):
             found = merged_spans(start[own_rows], end[own_rows])
             ids.append(int(doc[own_rows[0]]))
-            out.append(pack(found[0].astype("i4"), found[1].astype("i4")))
+            out.append(pack(_SPAN, *found))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array(out, pa.binary())})
 
     return run
@@ -211,7 +217,8 @@ def repeated_spans(docs: DataFrame, kind: Windows) -> DataFrame:
     entries = docs.mapInArrow(_entries(kind, buckets), "bucket int, blob binary")
     decided = entries.groupBy("bucket").applyInArrow(_decide, _DECISIONS)
     ranges = decided.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "anchor", "kind")).alias("ranges"))
-    cut = docs.join(ranges, "doc_id").mapInArrow(_cut(kind, buckets), _CUT)
+    # A left join here, as in the callers' last step, lets both read one shuffle of the texts.
+    cut = docs.join(ranges, "doc_id", "left").mapInArrow(_cut(kind, buckets), _CUT)
     solved = cut.groupBy("block").applyInArrow(_solve(kind), "doc_id long, spans binary")
     return solved.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
@@ -220,5 +227,5 @@ def gathered(blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
     """The spans of one document as maximal runs."""
     if not blobs:
         return np.zeros(0, "i4"), np.zeros(0, "i4")
-    start, end = unpacked(blobs, "i4", "i4")
+    start, end = unpacked(_SPAN, blobs)
     return merged_spans(start, end)
