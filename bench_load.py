@@ -1,6 +1,6 @@
-"""Time a load of 50,000 elements of 200 values (10 million values) and eight views over it.
+"""Time a load of order lines as versioned elements, one view over them, and several views in one pass.
 
-The elements are derived by Spark from a range; labels follow fixed domains. Prints one JSON line.
+Reads ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) and prints one JSON line.
 """
 
 from __future__ import annotations
@@ -9,68 +9,27 @@ import json
 import os
 import time
 
-from pyspark.sql import functions as F
-
-from tallygrid.model import Layout
 from tallygrid.operators.elements import deduplicated
 from tallygrid.operators.store import latest
 from tallygrid.plans.spec import ViewSpec
 from tallygrid.plans.view import all_views, view_cells
 from tallygrid.session import local_session, new_work_dir
-
-LAYOUT = Layout(core=("BOOK", "PRODUCT", "EVENT"), perimeter=("METRIC", "TENOR", "CCY"))
-DOMAINS = {
-    "BOOK": ("North", "South", "East", "West", "Center", "Coast"),
-    "PRODUCT": ("Loan", "Bond", "Note", "Bill", "Deed", "Fee"),
-    "EVENT": ("OPEN", "CLOSE"),
-    "METRIC": ("RATE", "NET", "VALUE"),
-    "TENOR": tuple(f"{n}{u}" for n in (1, 2, 3, 6, 9) for u in "DWMY"),
-    "CCY": ("USD", "CAD", "EUR", "GBP", "JPY", "SEK", "AUD", "HKD"),
-}
-VIEWS = tuple(
-    ViewSpec(f"view {i}", rows=rows, cols=cols, totals=totals, filters=filters)
-    for i, (rows, cols, totals, filters) in enumerate((
-        (("TENOR",), ("CCY", "PRODUCT", "EVENT"), ("TENOR", "PRODUCT"), {"METRIC": ("RATE",), "CCY": ("CAD", "USD")}),
-        (("TENOR",), ("CCY",), (), {"METRIC": ("RATE",)}),
-        (("CCY", "BOOK"), (), (), {"METRIC": ("NET",)}),
-        (("BOOK",), ("CCY",), (), {}),
-        (("CCY",), ("BOOK",), ("BOOK",), {"METRIC": ("NET",)}),
-        (("TENOR",), ("METRIC", "EVENT"), (), {"BOOK": ("North", "South")}),
-        (("BOOK",), ("CCY",), ("BOOK",), {"METRIC": ("NET",)}),
-        (("TENOR",), ("PRODUCT", "EVENT"), ("PRODUCT",), {"METRIC": ("RATE",), "CCY": ("USD",)}),
-    ))
+from workload.inputs import LINES, MONEY, lines
+
+VIEWS = (
+    ViewSpec("flags by status", rows=("l_returnflag",), cols=("l_linestatus",), totals=("l_returnflag",)),
+    ViewSpec("bands", rows=("BAND",), cols=("METRIC",), totals=("BAND",)),
+    ViewSpec("returned", rows=("BAND",), filters={"l_returnflag": ("R",)}),
+    ViewSpec("open quantities", rows=("l_returnflag",), filters={"METRIC": ("QTY",), "l_linestatus": ("O",)}),
+    ViewSpec("renamed", rows=("l_returnflag",), renames={"l_returnflag": {"A": "KEPT", "N": "KEPT"}}),
 )
 
 
-def pick(name: str, *seeds):
-    labels = DOMAINS[name]
-    number = F.pmod(F.xxhash64(F.lit(name), *seeds), F.lit(len(labels))).cast("int")
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), number + 1)
-
-
 def main() -> None:
-    count, size = int(os.environ.get("LOAD_ELEMENTS", "50000")), int(os.environ.get("LOAD_VALUES", "200"))
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "load")
     spark.sparkContext.setLogLevel("ERROR")
-    element = F.col("id")
-
-    def value_point(i):
-        metric = pick("METRIC", element, i)
-        return F.struct(
-            metric.alias("METRIC"),
-            F.when(metric == "RATE", pick("TENOR", element, i)).alias("TENOR"),
-            pick("CCY", element).alias("CCY"),
-            (F.pmod(F.xxhash64(element, i), F.lit(10_000)) / 100 - 50).alias("value"),
-        )
-
-    source = spark.range(0, count, 1, 16).select(
-        F.concat(element.cast("string"), F.lit("-OPEN")).alias("invariant_key"),
-        element.alias("seq"),
-        *[pick(n, element).alias(n) for n in LAYOUT.core],
-        F.transform(F.sequence(F.lit(1), F.lit(size)), value_point).alias("points"),
-    )
-    raw, clean = new_work_dir(spark, "raw"), new_work_dir(spark, "clean")
-    source.write.parquet(raw)
+    loaded = new_work_dir(spark, "loaded")
     times: dict[str, float] = {}
 
     def timed(name: str, action) -> None:
@@ -81,11 +40,14 @@ def main() -> None:
     def discard(df) -> None:
         df.write.format("noop").mode("overwrite").save()
 
-    timed("load", lambda: latest(deduplicated(spark.read.parquet(raw), LAYOUT), LAYOUT).write.parquet(clean))
-    newest = spark.read.parquet(clean)
-    timed("one view", lambda: discard(view_cells(newest, LAYOUT, VIEWS[0], "fixed(2)")))
-    timed("eight views", lambda: discard(all_views(newest, LAYOUT, VIEWS, "fixed(2)")))
-    print(json.dumps({"metric": f"{count * size} values", "value": round(sum(times.values()), 3), "unit": "sec", "steps": times}))
+    timed("load", lambda: latest(deduplicated(lines(spark, sf_dir), LINES), LINES).write.parquet(loaded))
+    newest = spark.read.parquet(loaded)
+    timed("one view", lambda: discard(view_cells(newest, LINES, VIEWS[0], MONEY)))
+    timed("all views", lambda: discard(all_views(newest, LINES, VIEWS, MONEY)))
+    print(json.dumps({
+        "metric": "load of order lines and views over them", "value": round(sum(times.values()), 3), "unit": "sec",
+        "steps": times, "elements": newest.count(), "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+    }))
 
 
 if __name__ == "__main__":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,6 @@ TOTAL_LABEL = "Total"
 LABEL_SEPARATOR = "\t"
 AXIS_SEPARATOR = "\f"
 
-# Above this many entries a rename becomes a join against a table instead of a literal map.
-LITERAL_RENAME_LIMIT = 64
-
 
 def raw(name: str) -> Column:
     """The stored label, null kept."""
@@ -63,17 +61,17 @@ def renamed(layout: Layout, name: str, mapping: Mapping[str, str] | None) -> Col
     return F.coalesce(table[label], label)
 
 
-def rename_by_join(df: DataFrame, column: str, mapping: Mapping[str, str]) -> DataFrame:
-    """Rename through a lookup table, for mappings too long for a literal.
+def with_renamed(df: DataFrame, layout: Layout, name: str, mapping: Mapping[str, str], out: str) -> DataFrame:
+    """Add the label after renaming as ``out``, through a lookup table of known size; meant for sums, not for raw rows.
 
-    No hint is given: the planner knows the size of the table and broadcasts it only below its threshold.
+    No hint is given: the planner broadcasts the table below its threshold and else joins both sides by the label.
     """
-    table = df.sparkSession.createDataFrame(list(mapping.items()), "_from string, _to string")
-    return (
-        df.join(table, F.col(f"`{column}`") == F.col("_from"), "left")
-        .withColumn(column, F.coalesce("_to", F.col(f"`{column}`")))
-        .drop("_from", "_to")
-    )
+    label = value_label(layout, name)
+    table = df.sparkSession.createDataFrame(pa.table({
+        "_from": pa.array(list(mapping), pa.string()), "_to": pa.array(list(mapping.values()), pa.string()),
+    }))
+    named = df.withColumn("_label", label).join(table, F.col("_label") == F.col("_from"), "left")
+    return named.withColumn(out, F.coalesce("_to", "_label")).drop("_label", "_from", "_to")
 
 
 def join_key(columns: Sequence[Column]) -> Column:

@@ -11,14 +11,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import (
-    LITERAL_RENAME_LIMIT,
-    TOTAL_LABEL,
-    one_of,
-    rename_by_join,
-    renamed,
-    value_label,
-)
+from ..functions.labels import TOTAL_LABEL, one_of, renamed, value_label, with_renamed
 from ..model import Layout
 from ..plans.spec import Axis, ViewSpec, total_sets
 from .elements import flatten
@@ -33,14 +26,15 @@ def view_filter(layout: Layout, spec: ViewSpec) -> Column:
     return reduce(and_, tests) if tests else F.lit(True)
 
 
-def axis_label(layout: Layout, spec: ViewSpec, axis: Axis) -> Column:
-    """The label of one axis level, renamed; a level without attribute reads as empty text."""
+def axis_label(layout: Layout, spec: ViewSpec, axis: Axis, rename: bool = True) -> Column:
+    """The label of one axis level, renamed unless told otherwise; a level without attribute reads as empty text."""
     if axis.attribute == "":
         return F.lit("")
-    mapping = spec.renames.get(axis.attribute)
-    if mapping and len(mapping) > LITERAL_RENAME_LIMIT:
-        return value_label(layout, axis.attribute)
-    return renamed(layout, axis.attribute, mapping)
+    return renamed(layout, axis.attribute, spec.renames.get(axis.attribute) if rename else None)
+
+
+def _renames_of(spec: ViewSpec) -> list[tuple[Axis, dict[str, str]]]:
+    return [(a, dict(spec.renames[a.attribute])) for a in spec.axes if spec.renames.get(a.attribute)]
 
 
 def fixed_scale(measure: str) -> int | None:
@@ -77,21 +71,32 @@ def summed(measure: str) -> Column:
 
 
 def labelled(df: DataFrame, layout: Layout, spec: ViewSpec, measure: str = "double",
-             keep: Sequence[str] = ()) -> DataFrame:
+             keep: Sequence[str] = (), rename: bool = True) -> DataFrame:
     """The value rows a view takes, reduced to its labels and the number; ``keep`` passes further columns on."""
     rows = df
     if layout.is_nested(df):
         rows = flatten(df.filter(_core_filter(layout, spec)), layout, attributes_read([spec]))
-    rows = rows.filter(view_filter(layout, spec)).select(
+    return rows.filter(view_filter(layout, spec)).select(
         *[F.col(f"`{k}`") for k in keep],
-        *[axis_label(layout, spec, a).alias(a.column) for a in spec.axes],
+        *[axis_label(layout, spec, a, rename).alias(a.column) for a in spec.axes],
         measured(layout, measure).alias("value"),
     )
-    for axis in spec.axes:
-        mapping = spec.renames.get(axis.attribute)
-        if mapping and len(mapping) > LITERAL_RENAME_LIMIT:
-            rows = rename_by_join(rows, axis.column, mapping)
-    return rows
+
+
+def view_sums(df: DataFrame, layout: Layout, spec: ViewSpec, measure: str = "double") -> DataFrame:
+    """One row per cell of a view. Rows are summed by their stored labels; only these sums are renamed and summed again.
+
+    So a rename of any length costs a lookup per sum, and no raw row is shuffled by the label to rename.
+    """
+    sums = cell_sums(labelled(df, layout, spec, measure, rename=False), spec, measure)
+    renames = _renames_of(spec)
+    if not renames:
+        return sums
+    for axis, mapping in renames:
+        known = Layout(core=(axis.column,))
+        sums = with_renamed(sums, known, axis.column, mapping, "_renamed").drop(axis.column)
+        sums = sums.withColumnRenamed("_renamed", axis.column)
+    return sums.groupBy(*[F.col(f"`{c}`") for c in spec.columns]).agg(F.sum("value").alias("value"))
 
 
 def attributes_read(specs: Sequence[ViewSpec]) -> set[str]:
@@ -164,15 +169,23 @@ def fan_out(df: DataFrame, layout: Layout, specs: Sequence[ViewSpec], measure: s
     rows = rows.filter(reduce(or_, [view_filter(layout, s) for s in specs]))
     shared = [F.col(f"`{n}`") for n in layout.attributes if n in read]
     rows = rows.select(*shared, measured(layout, measure).alias("value")).groupBy(*shared).agg(summed(measure))
+    places: dict[tuple, str] = {}
+    for axis, mapping in (r for s in specs for r in _renames_of(s)):
+        key = (axis.attribute, *mapping.items())
+        if key not in places:
+            places[key] = f"_renamed_{len(places)}"
+            rows = with_renamed(rows, layout, axis.attribute, mapping, places[key])
+
+    def label(spec: ViewSpec, axis: Axis) -> Column:
+        mapping = spec.renames.get(axis.attribute)
+        return F.col(places[axis.attribute, *mapping.items()]) if mapping else axis_label(layout, spec, axis)
+
     entries = []
     for spec in specs:
-        long_renames = [n for n, m in spec.renames.items() if len(m) > LITERAL_RENAME_LIMIT]
-        if long_renames:
-            raise ValueError(f"view {spec.name}: rename of {long_renames[0]} is too long to share a pass; build it alone")
         entry = F.struct(
             F.lit(spec.name).alias("view"),
-            F.array(*[axis_label(layout, spec, a) for a in spec.axes if a.is_column]).alias("col_keys"),
-            F.array(*[axis_label(layout, spec, a) for a in spec.axes if not a.is_column]).alias("row_keys"),
+            F.array(*[label(spec, a) for a in spec.axes if a.is_column]).alias("col_keys"),
+            F.array(*[label(spec, a) for a in spec.axes if not a.is_column]).alias("row_keys"),
         )
         entries.append(F.when(view_filter(layout, spec), entry))
     return (

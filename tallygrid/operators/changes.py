@@ -14,31 +14,35 @@ UPDATE, DELETE, DELETE_ROW, DELETE_COLUMN, HEADER = "UPD", "DEL", "DELR", "DELC"
 
 
 def _side(cells: DataFrame, keys: list[str], before: bool) -> DataFrame:
-    value = F.col("value")
-    nothing = F.lit(None).cast(cells.schema["value"].dataType)
     total = F.col("is_total") if "is_total" in cells.columns else F.lit(False)
-    return cells.select(
-        *[F.col(f"`{k}`") for k in keys],
-        total.alias("is_total"),
-        (value if before else nothing).alias("before"),
-        (nothing if before else value).alias("after"),
-        F.lit(before).alias("was"),
+    hidden = F.col("hidden") if "hidden" in cells.columns else F.lit(False)
+    return cells.filter(~hidden).select(
+        *[F.col(f"`{k}`") for k in keys], F.struct("value", total.alias("is_total")).alias("_cell"), F.lit(before).alias("_was")
     )
 
 
-def cell_changes(previous: DataFrame, current: DataFrame, keys: list[str], touched: DataFrame | None = None) -> DataFrame:
-    """``keys, is_total, command, before, value`` for every cell that changed or vanished.
+def cell_changes(previous: DataFrame, current: DataFrame, keys: list[str],
+                 touched: DataFrame | None = None) -> DataFrame:
+    """``keys, is_total, command, before, value`` for every visible cell that changed or vanished.
 
     Base cells are reported when new, different, or listed in ``touched``; total cells when they moved by more than
-    1e-8, a new total counting from 0. Both states are stacked and reduced per cell in a single shuffle.
+    1e-8, a new total counting from 0. Cells marked ``hidden`` are neither reported nor deleted, as no consumer has them;
+    a cell that becomes hidden is deleted. Where a total and a base cell have the same labels, the total counts. Both
+    states are stacked and reduced per cell in a single shuffle.
     """
     sides = _side(previous, keys, True).unionByName(_side(current, keys, False))
     columns = [F.col(f"`{k}`") for k in keys]
-    merged = sides.groupBy(*columns, "is_total").agg(
-        F.max("before").alias("before"),
-        F.max("after").alias("value"),
-        F.max(F.when(F.col("was"), 1).otherwise(0)).alias("was"),
-        F.max(F.when(F.col("was"), 0).otherwise(1)).alias("is"),
+    rank = F.col("_cell.is_total").cast("int")
+    merged = sides.groupBy(*columns).agg(
+        F.max_by("_cell", F.when(F.col("_was"), rank)).alias("_before"),
+        F.max_by("_cell", F.when(~F.col("_was"), rank)).alias("_after"),
+    ).select(
+        *columns,
+        F.coalesce("_after.is_total", "_before.is_total").alias("is_total"),
+        F.col("_before.value").alias("before"),
+        F.col("_after.value").alias("value"),
+        F.col("_before").isNotNull().cast("int").alias("was"),
+        F.col("_after").isNotNull().cast("int").alias("is"),
     )
     moved = F.abs(F.col("value") - F.coalesce("before", F.lit(0).cast("double"))) > TOTAL_CHANGE
     different = (F.col("was") == 0) | (F.col("value") != F.col("before"))
@@ -60,9 +64,23 @@ def vanished(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFr
     return previous.select(*columns).distinct().join(current.select(*columns).distinct(), keys, "left_anti")
 
 
-def update_records(cells: DataFrame, spec: ViewSpec) -> DataFrame:
-    """One record per visible cell: ``viewName, command, rowKeys, colKeys, value`` with the number as shown."""
+def published(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The visible cells, one per set of labels: a total replaces a base cell whose stored labels read the same."""
     shown = cells.filter(~F.col("hidden")) if "hidden" in cells.columns else cells
+    if "is_total" not in cells.columns:
+        return shown
+    columns = [F.col(f"`{k}`") for k in keys]
+    rest = [F.col(f"`{c}`") for c in cells.columns if c not in keys]
+    one = shown.groupBy(*columns).agg(F.max_by(F.struct(*rest), F.col("is_total").cast("int")).alias("_one"))
+    return one.select(*columns, "_one.*")
+
+
+def update_records(cells: DataFrame, spec: ViewSpec) -> DataFrame:
+    """One record per visible cell: ``viewName, command, rowKeys, colKeys, value`` with the number as shown.
+
+    Where a total and a base cell read the same, the total's record is the one that counts.
+    """
+    shown = published(cells, spec.columns)
     command = F.col("command") if "command" in cells.columns else F.lit(UPDATE)
     return shown.select(
         F.lit(spec.name).alias("viewName"),

@@ -155,6 +155,11 @@ def column_names(cells: DataFrame, spec: ViewSpec, separator: str = "\t") -> lis
     return sorted(found)
 
 
+def _shown_value(cells: DataFrame):
+    """A total wins over a cell whose stored labels read the same."""
+    return F.max_by("value", F.col("is_total").cast("int")) if "is_total" in cells.columns else F.first("value")
+
+
 def wide(cells: DataFrame, spec: ViewSpec, columns: list[str] | None = None, separator: str = "\t") -> DataFrame:
     """Row labels down, column labels across.
 
@@ -165,7 +170,7 @@ def wide(cells: DataFrame, spec: ViewSpec, columns: list[str] | None = None, sep
     names = column_names(cells, spec, separator) if columns is None else columns
     text = F.concat_ws(separator, *[F.col(f"`{a.column}`") for a in spec.col_axes])
     rows = [F.col(f"`{a.column}`") for a in spec.row_axes]
-    return cells.withColumn("_across", text).groupBy(*rows).pivot("_across", names).agg(F.first("value"))
+    return cells.withColumn("_across", text).groupBy(*rows).pivot("_across", names).agg(_shown_value(cells))
 
 
 def without_empty(grid: DataFrame, row_columns: list[str]) -> DataFrame:

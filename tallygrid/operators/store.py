@@ -34,10 +34,11 @@ def latest_rows(df: DataFrame, layout: Layout) -> DataFrame:
 
     Rows meet the newest ``seq`` on (key, seq), not on the key alone, so the versions of one key spread out.
     """
-    names = [layout.key, *layout.seq]
-    newest = df.groupBy(F.col(f"`{layout.key}`")).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in layout.seq])).alias("_seq"))
-    newest = newest.select(layout.key, "_seq.*")
-    return df.join(newest, names, "left_semi")
+    if layout.is_nested(df):
+        return flatten(latest(df, layout), layout)
+    newest = df.groupBy(F.col(f"`{layout.key}`").alias("_key")).agg(F.max(_seq_value(layout)).alias("_seq"))
+    same = F.col(f"`{layout.key}`").eqNullSafe(F.col("_key")) & _seq_value(layout).eqNullSafe(F.col("_seq"))
+    return df.join(newest, same, "left_semi")
 
 
 def lookup(df: DataFrame, layout: Layout, keys: DataFrame | list[str]) -> DataFrame:

@@ -48,8 +48,7 @@ def view_cells(df: DataFrame, layout: Layout, spec: ViewSpec, measure: str = "do
 
     Columns: the column labels, the row labels, ``value``, ``is_total``, ``hidden``.
     """
-    rows = c.labelled(transformed(df, layout, spec), layout, spec, measure)
-    result = c.with_totals(c.cell_sums(rows, spec, measure), spec, rule)
+    result = c.with_totals(c.view_sums(transformed(df, layout, spec), layout, spec, measure), spec, rule)
     if only_visible:
         result = c.visible(result)
     if measure != "double":

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -45,18 +47,20 @@ def local_session(cpus: int | str = "*", app: str = "tallygrid", **extra: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only when the setting is absent *and* the session is local. On a cluster the
-    setting is required, because a machine-local folder is invisible to the other machines.
+    A temporary folder, removed when Python ends, stands in only when the setting is absent *and* all tasks run in the
+    driver's own process. On a cluster, also one of several processes on one machine, the setting is required, because a
+    machine-local folder is invisible to others.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
     fallback = getattr(context, "_tallygrid_dir", None)
     if fallback is None:
         fallback = tempfile.mkdtemp(prefix="tallygrid-")
+        atexit.register(shutil.rmtree, fallback, ignore_errors=True)
         context._tallygrid_dir = fallback
     return fallback
 
@@ -80,11 +84,13 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if getattr(context, "_tallygrid_shipped", None) is None:
         root = os.path.dirname(os.path.abspath(__file__))
-        archive = os.path.join(tempfile.mkdtemp(prefix="tallygrid-ship-"), "tallygrid_package.zip")
+        folder = tempfile.mkdtemp(prefix="tallygrid-ship-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = os.path.join(folder, "tallygrid_package.zip")
         with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-            for folder, _, names in os.walk(root):
+            for place, _, names in os.walk(root):
                 for name in sorted(n for n in names if n.endswith(".py")):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(place, name)
                     out.write(path, os.path.relpath(path, os.path.dirname(root)))
         context.addPyFile(archive)
         context._tallygrid_shipped = archive

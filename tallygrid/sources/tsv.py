@@ -19,7 +19,7 @@ def _stripped(line: Column) -> Column:
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the first line; all files of a folder carry the same header."""
+    """Column names from the first line; a file of the folder with another header fails the reading query."""
     first = spark.read.text(path).limit(1).collect()
     return _checked(first[0][0].strip().split("\t") if first else [], path)
 
@@ -35,7 +35,12 @@ def _elements(lines: DataFrame, names: list[str], float32: bool, mode: str, empt
     if mode not in ("fail", "drop"):
         raise ValueError(f"unknown mode {mode}")
     line = _stripped(F.col("value"))
-    lines = lines.filter((line != "") & ~line.startswith(COMMENT) & (line != "\t".join(names)))
+    # A line with the header of the number column is a header, whatever it starts with; it must be the expected one.
+    header = "\t".join(names)
+    is_header = F.when(line.contains(VALUE_HEADER), F.array_contains(F.split(line, "\t"), VALUE_HEADER)).otherwise(F.lit(False))
+    other = F.raise_error(F.concat(F.lit("unexpected header: "), line)).cast("boolean")
+    is_data = F.when(is_header, F.when(line == header, F.lit(False)).otherwise(other)).otherwise(~line.startswith(COMMENT))
+    lines = lines.filter((line != "") & is_data)
     fields = lines.select(F.split(line, "\t").alias("_fields"), *seq)
 
     def field(name: str) -> Column:
@@ -48,7 +53,10 @@ def _elements(lines: DataFrame, names: list[str], float32: bool, mode: str, empt
     def label(name: str) -> Column:
         return F.nullif(field(name), F.lit("")) if empty_as_null else field(name)
 
-    value = number(Column.cast) if mode == "fail" else number(Column.try_cast)
+    value = number(Column.try_cast)
+    if mode == "fail":
+        missing = F.raise_error(F.concat(F.lit("no number in line: "), F.array_join("_fields", "\t")))
+        value = F.coalesce(number(Column.cast), missing.cast("double"))
     labels = [n for n in names if n != VALUE_HEADER]
     rows = fields.select(
         field(labels[0]).alias("invariant_key"), *[label(n).alias(n) for n in labels], value.alias("value"), *seq
@@ -62,8 +70,8 @@ def read_tsv(spark: SparkSession, path: str, float32: bool = True, mode: str = "
              empty_as_null: bool = False) -> tuple[DataFrame, Layout]:
     """Elements of tab-separated files: all labels core, the first label column is the key, a later line is newer.
 
-    Numbers go through 32 bits unless ``float32`` is off. A number that does not parse fails the query, or with
-    ``mode='drop'`` loses its line. Labels missing at the end of a line read as null, empty ones as empty text or, with
+    Numbers go through 32 bits unless ``float32`` is off. A number that is missing or does not parse fails the query, or with
+    ``mode='drop'`` loses its line. A file whose header has other columns, or the same in another order, fails the query. Labels missing at the end of a line read as null, empty ones as empty text or, with
     ``empty_as_null``, as null too. Large files are split among tasks.
     """
     names = header_of(spark, path)
@@ -88,11 +96,11 @@ def stream_tsv(spark: SparkSession, path: str, names: list[str], seq: str, float
 
 
 def write_tsv(df: DataFrame, path: str, labels: list[str], value: str) -> None:
-    """Write elements in the format :func:`read_tsv` reads; the first label is the key."""
+    """Write elements in the format :func:`read_tsv` reads; the first label is the key. Null and empty labels are both written empty."""
     columns = [F.col(f"`{n}`").cast("string").alias(n) for n in labels]
     (
         df.select(*columns, F.col(f"`{value}`").cast("string").alias(VALUE_HEADER))
-        .write.option("sep", "\t").option("quote", "").option("header", True).csv(path)
+        .write.option("sep", "\t").option("quote", "").option("emptyValue", "").option("header", True).csv(path)
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.labels import TOTAL_LABEL
 from ..model import Layout
 from ..operators.cells import labelled, summed
-from ..operators.changes import cell_changes
+from ..operators.changes import as_json, cell_changes, published, update_records
 from ..plans.spec import ViewSpec, total_sets
 
 # The send interval in milliseconds, and the fastest rate.
@@ -102,7 +102,9 @@ def compact(spark: SparkSession, feed: str, states: str, keys: list[str]) -> int
 def _newest_state(spark: SparkSession, states: str) -> tuple[int, DataFrame] | None:
     try:
         found = spark.read.parquet(states)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     last = found.agg(F.max("batch")).first()[0]
     return last, found.filter(F.col("batch") == last)
@@ -117,6 +119,52 @@ def current_state(spark: SparkSession, feed: str, states: str, keys: list[str])
     return snapshot(before[1].unionByName(after.filter(F.col("batch") > before[0])), keys)
 
 
+def run_messages(cells: DataFrame, spec: ViewSpec, feed: str, checkpoint: str, rate: int | None = None) -> StreamingQuery | None:
+    """Publish change records, one folder of JSON records per micro-batch, next to the states they lead to.
+
+    Each micro-batch brings the cells it touched. They are compared with what was published before: base cells are
+    reported when new or different, totals when they moved by more than 1e-8, hidden cells never. A repeated micro-batch
+    replaces its own folders, and compares with the batches before it only.
+    """
+    if rate == 0:
+        return None
+    keys = spec.columns
+
+    def publish(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = published(batch.drop("level"), keys).drop("hidden")
+        before = _before(spark, f"{feed}/cells", number, keys)
+        touched = now.select(*[F.col(f"`{k}`") for k in keys])
+        earlier = now.limit(0) if before is None else before.join(touched, keys, "left_semi")
+        records = update_records(cell_changes(earlier, now, keys), spec)
+        as_json(records).write.mode("overwrite").parquet(f"{feed}/records/batch={number}")
+        now.write.mode("overwrite").parquet(f"{feed}/cells/batch={number}")
+
+    writer = cells.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(publish)
+    if rate is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=rate_interval(rate)).start()
+
+
+def _before(spark: SparkSession, cells: str, number: int, keys: list[str]) -> DataFrame | None:
+    """The cells as published before a micro-batch."""
+    if number == 0:
+        return None
+    try:
+        found = spark.read.parquet(cells)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return snapshot(found.filter(F.col("batch") < number), keys)
+
+
+def closed_epochs(cells: DataFrame, epoch: str) -> DataFrame:
+    """All epochs but the last one, which is still open."""
+    epochs = cells.select(epoch).distinct()
+    return epochs.join(epochs.agg(F.max(epoch).alias("_open")), F.col(epoch) < F.col("_open")).select(epoch)
+
+
 def epoch_changes(cells: DataFrame, keys: list[str], epoch: str, closed: DataFrame | None = None) -> DataFrame:
     """Updates and deletes that each closed epoch brings over the one before it.
 

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..model import Layout
 from ..operators.elements import flatten
+from ..session import ship
 
 # Groups that share the versions superseded within a batch of rows.
 SPREAD = 256
@@ -49,14 +50,22 @@ def _from_long(column: Column, kind: T.DataType) -> Column:
     return column.cast(kind)
 
 
-def _newest_per_batch(order: list[str]):
+# Bodies of several points of one version, as JSON objects, are put together with this.
+BODY_SEPARATOR = ","
+
+
+def _newest_per_batch(order: list[str], nested: bool):
     """Per batch of rows, leave the newest version of each key and epoch in its bucket and spread the others over
-    negative buckets, whatever their key."""
+    negative buckets, whatever their key. The points of a version in flat input are put together first."""
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             rows = rows.sort_values(["key", *order], kind="stable", ignore_index=True)
-            rows = rows.drop_duplicates(["key", *order], ignore_index=True)
+            if nested:
+                rows = rows.drop_duplicates(["key", *order], ignore_index=True)
+            else:
+                rows = rows.groupby(["key", *order, "bucket"], sort=False, as_index=False)["body"].agg(BODY_SEPARATOR.join)
+                rows = rows[["key", *order, "body", "bucket"]]
             following = rows[["key", "epoch"]].shift(-1)
             replaced = rows["key"].eq(following["key"]) & rows["epoch"].eq(following["epoch"])
             rows["bucket"] = rows["bucket"].mask(replaced, -1 - pd.Series(rows.index % SPREAD))
@@ -68,8 +77,9 @@ def _newest_per_batch(order: list[str]):
 class _KeepNewest(StatefulProcessor):
     """The newest version per key, in a map per bucket of keys. A bucket is one call, so keys are handled in bulk."""
 
-    def __init__(self, order: list[str], state_schema: str) -> None:
+    def __init__(self, order: list[str], state_schema: str, nested: bool) -> None:
         self._columns = ["key", *order, "body"]
+        self._nested = nested
         self._state_schema = state_schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -84,7 +94,10 @@ class _KeepNewest(StatefulProcessor):
         arrived: dict[str, dict[tuple, tuple]] = {}
         for batch in rows:
             for owner, *version in zip(*[batch[c].tolist() for c in self._columns]):
-                arrived.setdefault(owner, {})[tuple(version[:-1])] = tuple(version)
+                own, at = arrived.setdefault(owner, {}), tuple(version[:-1])
+                if at in own and not self._nested:
+                    version[-1] = own[at][-1] + BODY_SEPARATOR + version[-1]
+                own[at] = tuple(version)
         known = self._newest.exists()
         signed = []
         for owner, versions in arrived.items():
@@ -92,6 +105,11 @@ class _KeepNewest(StatefulProcessor):
             held = None if held is None else tuple(held)
             before = held
             for at in sorted(versions):
+                if held is not None and at == held[:-1] and not self._nested:
+                    more = versions[at]  # further points of the version that counts
+                    signed.append((owner, *more, 1))
+                    held = (*at, held[-1] + BODY_SEPARATOR + more[-1])
+                    continue
                 if held is not None and at <= held[:-1]:
                     continue
                 if held is not None and held[0] == at[0]:
@@ -109,7 +127,8 @@ class _KeepNewest(StatefulProcessor):
 def changelog_stream(df: DataFrame, layout: Layout, epoch: str | None = None, buckets: int = 1024) -> DataFrame:
     """The change log of a stream of element versions: key, ``seq``, labels, signed number and ``sign``.
 
-    A version whose ``seq`` is not above the stored one is dropped. Deleting is sending a version without points.
+    A version whose ``seq`` is not above the stored one is dropped. Deleting is sending a version without points. In flat
+    input, rows with the same key and ``seq`` are the points of one version, whenever they arrive.
     With ``epoch``, a whole-number column, a version of a later epoch replaces without a negative entry, because
     sums are kept per epoch.
 
@@ -128,19 +147,19 @@ def changelog_stream(df: DataFrame, layout: Layout, epoch: str | None = None, bu
         F.pmod(F.xxhash64(F.col(f"`{layout.key}`").cast("string")), F.lit(buckets)).alias("bucket"),
     )
     longs = ", ".join(f"{c} bigint" for c in order)
-    reduced = coded.mapInPandas(_newest_per_batch(order), f"key string, {longs}, body string, bucket bigint")
+    reduced = coded.mapInPandas(_newest_per_batch(order, nested), f"key string, {longs}, body string, bucket bigint")
     log = reduced.groupBy("bucket").transformWithStateInPandas(
-        _KeepNewest(order, f"{longs}, body string"),
+        _KeepNewest(order, f"{longs}, body string", nested),
         outputStructType=f"key string, {longs}, body string, sign int",
         outputMode="append",
         timeMode="none",
     )
     opened = log.select(
-        F.col("key").alias(layout.key),
+        F.col("key").cast(df.schema[layout.key].dataType).alias(layout.key),
         *([F.col("epoch").cast(df.schema[epoch].dataType).alias(epoch)] if epoch else []),
         *[_from_long(F.col(f"q{i}"), df.schema[c].dataType).alias(c) for i, c in enumerate(layout.seq)],
         "sign",
-        F.from_json("body", body_type).alias("_body"),
+        F.explode(F.from_json(F.concat(F.lit("["), "body", F.lit("]")), T.ArrayType(body_type))).alias("_body"),
     ).select("*", "_body.*").drop("_body")
     rows = flatten(opened, layout)
     value = F.col(layout.value)
@@ -153,7 +172,7 @@ def run_changelog(log: DataFrame, path: str, checkpoint: str, available_now: boo
 
     The state lives in RocksDB, which is set for this query only if the session names another store.
     """
-    spark = log.sparkSession
+    spark = ship(log.sparkSession)
     configured = spark.conf.get(STATE_STORE, None)
     writer = log.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if available_now:

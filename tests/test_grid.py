@@ -182,3 +182,19 @@ def test_records_are_valid_json(spark):
     cells = cells_of(spark, [('U"SD', "1Y", -1234.5, False, False), ("USD", "1Y", 1.0, False, True)])
     lines = [r["value"] for r in ch.as_json(ch.update_records(cells, SPEC)).collect()]
     assert lines == ['{"viewName":"grid","command":"UPD","rowKeys":["1Y"],"colKeys":["U\\"SD"],"value":"(1,234)"}']
+
+
+def test_hidden_cells_stay_out_of_changes(spark):
+    before = cells_of(spark, [("USD", "1Y", 1.0, False, True), ("USD", "Total", 1.0, True, False)])
+    after = cells_of(spark, [("USD", "1Y", 2.0, False, True), ("CAD", "1Y", 9.0, False, True), ("USD", "Total", 11.0, True, False)])
+    keys = ["CCY", "TENOR"]
+    assert tuples(ch.cell_changes(before, after, keys), "CCY", "TENOR", "command", "value") == [("USD", "Total", "UPD", 11.0)]
+
+
+def test_a_total_wins_over_a_label_that_reads_total(spark):
+    cells = cells_of(spark, [("USD", "Total", 4.0, False, False), ("USD", "Total", 7.0, True, False), ("USD", "1Y", 3.0, False, False)])
+    assert tuples(g.wide(cells, SPEC), "TENOR", "USD") == [("1Y", 3.0), ("Total", 7.0)]
+    records = ch.update_records(cells, SPEC)
+    assert sorted((r["rowKeys"][0], r["value"]) for r in records.collect()) == [("1Y", "3"), ("Total", "7")]
+    grown = cells_of(spark, [("USD", "Total", 5.0, False, False), ("USD", "Total", 7.0, True, False), ("USD", "1Y", 3.0, False, False)])
+    assert ch.cell_changes(cells, grown, ["CCY", "TENOR"]).count() == 0

@@ -206,3 +206,26 @@ def test_snapshots_and_records(spark, tmp_path, newest):
     assert spark.read.text(lines).count() == 1
     tsv.export_csv(el.flatten(newest, LAYOUT), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
+
+
+def test_tsv_missing_number_fails(spark, tmp_path):
+    path = tmp_path / "missing.txt"
+    path.write_text("ID\t#VALUE#\n1\t2\n3\n")
+    with pytest.raises(Exception, match="no number in line"):
+        tsv.read_tsv(spark, str(path))[0].collect()
+    assert tuples(tsv.read_tsv(spark, str(path), mode="drop")[0], "invariant_key", "value") == [("1", 2.0)]
+
+
+def test_tsv_files_with_other_headers_fail(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("#ID#\tA\t#VALUE#\n1\tx\t2\n")
+    (tmp_path / "b.txt").write_text("#ID#\t#VALUE#\tA\n1\t2\tx\n")
+    with pytest.raises(Exception, match="unexpected header"):
+        tsv.read_tsv(spark, str(tmp_path))[0].collect()
+
+
+def test_tsv_roundtrip_of_empty_labels(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "", "x", 1.5), ("2", None, "y", 2.5)], "ID string, A string, B string, v double")
+    path = str(tmp_path / "out")
+    tsv.write_tsv(rows, path, ["ID", "A", "B"], "v")
+    back, _ = tsv.read_tsv(spark, path, float32=False)
+    assert tuples(back, "invariant_key", "A", "B", "value") == [("1", "", "x", 1.5), ("2", "", "y", 2.5)]

@@ -168,3 +168,28 @@ def test_a_rate_paces_the_feed(spark):
         query.stop()
     live = sc.snapshot(spark.read.parquet(f"{work}/feed"), sc.cell_keys(spec))
     assert tuples(live, "CCY", "value") == tuples(log.groupBy("CCY").agg(F.sum("value").alias("value")), "CCY", "value")
+
+
+def test_flat_versions_keep_all_points(spark):
+    layout = Layout(core=("CCY",), perimeter=("METRIC",))
+    schema = "invariant_key long, seq long, CCY string, METRIC string, value double"
+    work = new_work_dir(spark, "flat")
+    batches = [
+        [(1, 1, "USD", "a", 1.0), (1, 1, "USD", "b", 2.0), (2, 1, "CAD", "a", 5.0)],
+        [(1, 1, "USD", "c", 4.0), (2, 2, "CAD", "a", 6.0), (2, 2, "CAD", "b", 7.0)],
+        [(1, 2, "USD", "a", 10.0), (2, 1, "CAD", "z", 99.0)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{work}/in")
+        log = upsert.changelog_stream(stream_files(spark, f"{work}/in", spark.createDataFrame([], schema).schema), layout)
+        upsert.run_changelog(log, f"{work}/log", f"{work}/cp").awaitTermination()
+    log = spark.read.parquet(f"{work}/log")
+    assert dict(log.dtypes)["invariant_key"] == "bigint"
+    sums = log.groupBy("invariant_key", "METRIC").agg(F.sum("value").alias("v")).filter("v <> 0")
+    assert tuples(sums, "invariant_key", "METRIC", "v") == [(1, "a", 10.0), (2, "a", 6.0), (2, "b", 7.0)]
+
+
+def test_the_newest_rows_of_a_key_may_have_nulls_in_their_order(spark):
+    rows = spark.createDataFrame([("k", 1, None, 1.0), ("k", 1, None, 2.0), ("k", 0, 5, 3.0)], "invariant_key string, a int, b int, value double")
+    layout = Layout(seq=("a", "b"))
+    assert tuples(st.latest_rows(rows, layout), "value") == [(1.0,), (2.0,)]

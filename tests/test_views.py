@@ -198,3 +198,15 @@ def test_label_texts(spark):
     ).first()
     assert row["cut"] == ["a"] and row["inner"] == ["a", "", "b"] and row["key"] == "c\td\fr"
     assert row["unknown"] == "Nowhere" and row["self"]
+
+
+def test_long_renames_move_sums_only(spark, elements):
+    mapping = {f"x{i}": "Y" for i in range(200)} | {"CAD": "USD"}
+    spec = ViewSpec("v", rows=("CCY",), renames={"CCY": mapping})
+    alone = view_cells(elements, LAYOUT, spec)
+    shared = all_views(elements, LAYOUT, [spec, ViewSpec("w", rows=("CCY",))])
+    assert tuples(alone, "CCY", "value") == [("USD", 40.0)]
+    assert tuples(shared.filter("view = 'v'").selectExpr("row_keys[0] AS k", "value")) == [("USD", 40.0)]
+    plan = alone._jdf.queryExecution().optimizedPlan().toString()
+    join, sums = plan.index("Join LeftOuter"), plan.rindex("Aggregate")
+    assert join < sums, "the rename must come after the first sum"

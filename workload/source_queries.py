@@ -85,7 +85,8 @@ def view_header(spark, sf):
 @query("""
 SELECT 'P' || CAST(p_partkey AS VARCHAR) AS "viewName", 'DIM' AS command,
        CASE WHEN p_size > 1 THEN p_name ELSE 'P' || CAST(p_partkey AS VARCHAR) END AS description,
-       CASE WHEN p_size > 1 THEN 1 ELSE 2 END AS row_levels
+       CASE WHEN p_size > 1 THEN 'p_type' ELSE 'p_type' || chr(9) || 'p_brand' END AS row_labels,
+       CASE WHEN p_size > 25 THEN 'p_size' ELSE 'p_size' || chr(9) || p_type END AS col_labels
 FROM part
 """)
 def view_header_records(spark, sf):
@@ -93,7 +94,10 @@ def view_header_records(spark, sf):
     text = as_json(header_records(defs.view_headers(_definitions(spark, sf))))
     schema = "viewName string, command string, rowKeys array<string>, colKeys array<string>, description string"
     back = text.select(F.from_json("value", schema).alias("r")).select("r.*")
-    return back.select("viewName", "command", "description", F.size("rowKeys").alias("row_levels"))
+    return back.select(
+        "viewName", "command", "description",
+        F.concat_ws("\t", "rowKeys").alias("row_labels"), F.concat_ws("\t", "colKeys").alias("col_labels"),
+    )
 
 
 @query("SELECT 'P' || CAST(p_partkey AS VARCHAR) AS view FROM part")

@@ -12,7 +12,7 @@ from tallygrid.operators.changes import as_json, cell_changes, update_records, v
 from tallygrid.operators.drill import drill, drill_from
 from tallygrid.operators.ordering import numbered
 from tallygrid.plans.spec import ViewSpec
-from tallygrid.plans.view import view_cells
+from tallygrid.plans.view import all_views, view_cells
 from tallygrid.session import checkpointed, new_work_dir
 from tallygrid.sources.feeds import write_snapshot
 
@@ -196,8 +196,8 @@ def resize_points(spark, sf):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey,
-       CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 3 ELSE -1 END AS found
+SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, coalesce(list_position(
+           ['QTY', 'PRICE', 'DISC', 'TAX'], CASE l_returnflag WHEN 'A' THEN 'QTY' WHEN 'N' THEN 'TAX' ELSE 'NONE' END), 0) - 1 AS found
 FROM lineitem
 """)
 def find_index(spark, sf):
@@ -428,3 +428,65 @@ def vanished_columns(spark, sf):
     before, after = _states(spark, sf)
     records = vanished_axis_records(before, after, STATES, rows=False)
     return records.select("viewName", "command", F.concat_ws("\t", "colKeys").alias("col_key"))
+
+
+HIDING = ViewSpec("hiding", rows=("event_type",), cols=("DAY",), totals=("event_type",), hide=("event_type",))
+
+
+@query(f"""
+WITH {STATES_SQL}
+SELECT 'hiding' AS "viewName", CASE WHEN a.DAY IS NULL THEN 'DEL' ELSE 'UPD' END AS command,
+       COALESCE(a.event_type, b.event_type) AS row_key, COALESCE(a.DAY, b.DAY) AS col_key,
+       format('{{:,}}', CAST(round_even(CAST(a.value AS DECIMAL(18,2)), 0) AS BIGINT)) AS value
+FROM (SELECT * FROM after WHERE is_total) a FULL JOIN (SELECT * FROM before WHERE is_total) b ON a.DAY = b.DAY
+WHERE a.DAY IS NULL OR abs(a.value - COALESCE(b.value, 0)) > 1e-8
+""")
+def hidden_changes(spark, sf):
+    """Change records of a view with a hidden label: its totals only."""
+    source = events(spark, sf)
+    before, after = (
+        view_cells(st.latest(rows, EVENTS), EVENTS, HIDING, MONEY) for rows in (source.filter("DAY <= '2024-01-20'"), source)
+    )
+    records = update_records(cell_changes(before, after, ["DAY", "event_type"]), HIDING)
+    return records.select("viewName", "command", F.col("rowKeys")[0].alias("row_key"), F.col("colKeys")[0].alias("col_key"), "value")
+
+
+NAMED_TOTAL = ViewSpec("named", rows=("event_type",), cols=("DAY",), totals=("event_type",))
+
+
+@query(f"""
+WITH e AS (SELECT DAY, CASE event_type WHEN 'error' THEN 'Total' ELSE event_type END AS event_type, value FROM ({EVENTS_SQL})),
+c AS (SELECT DAY, CASE WHEN GROUPING(event_type) = 1 THEN 'Total' ELSE event_type END AS event_type,
+             GROUPING(event_type) AS level, SUM(CAST(value AS DECIMAL(18,2))) AS value
+      FROM e GROUP BY GROUPING SETS ((DAY, event_type), (DAY)))
+SELECT 'named' AS "viewName", 'UPD' AS command, event_type AS row_key, DAY AS col_key,
+       format('{{:,}}', CAST(round_even(value, 0) AS BIGINT)) AS value
+FROM c QUALIFY row_number() OVER (PARTITION BY DAY, event_type ORDER BY level DESC) = 1
+""")
+def stored_total_records(spark, sf):
+    """A stored label that reads Total: the total's record takes its place."""
+    source = events(spark, sf).withColumn("event_type", F.when(F.col("event_type") == "error", "Total").otherwise(F.col("event_type")))
+    records = update_records(view_cells(source, EVENTS, NAMED_TOTAL, MONEY), NAMED_TOTAL)
+    return records.select("viewName", "command", F.col("rowKeys")[0].alias("row_key"), F.col("colKeys")[0].alias("col_key"), "value")
+
+
+LONG = {str(n): f"Group {n % 7}" for n in range(150)}
+
+
+@query(f"""
+SELECT 'groups' AS view, '' AS col_key, 'Group ' || (c_nationkey % 7) AS row_key, {total('c_acctbal')} FROM customer GROUP BY ALL
+UNION ALL
+SELECT 'segments' AS view, c_mktsegment AS col_key, 'Group ' || (c_nationkey % 7) AS row_key, {total('c_acctbal')} FROM customer GROUP BY ALL
+UNION ALL
+SELECT 'plain' AS view, '' AS col_key, CAST(c_nationkey AS VARCHAR) AS row_key, {total('c_acctbal')} FROM customer GROUP BY ALL
+""")
+def multi_view_long_rename(spark, sf):
+    """Several views with renames of 150 entries share one pass; only sums are renamed."""
+    layout = Layout(key="c_custkey", seq=("c_custkey",), core=("c_nationkey", "c_mktsegment"), value="c_acctbal")
+    specs = (
+        ViewSpec("groups", rows=("c_nationkey",), renames={"c_nationkey": LONG}),
+        ViewSpec("segments", rows=("c_nationkey",), cols=("c_mktsegment",), renames={"c_nationkey": LONG}),
+        ViewSpec("plain", rows=("c_nationkey",)),
+    )
+    cells = all_views(table(spark, sf, "customer"), layout, specs, MONEY)
+    return cells.select("view", F.col("col_keys")[0].alias("col_key"), F.col("row_keys")[0].alias("row_key"), "value")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallygrid.operators.elements import flatten
+from tallygrid.operators.store import latest
 from tallygrid.plans.spec import ViewSpec
 from tallygrid.plans.view import all_views
-from tallygrid.session import new_work_dir
+from tallygrid.session import checkpointed, new_work_dir
 from tallygrid.sources.feeds import stream_files
 from tallygrid.streaming import cells as sc
 from tallygrid.streaming import upsert
 
-from .inputs import EVENTS, EVENTS_SQL, MONEY, table, total
+from .inputs import EVENTS, EVENTS_SQL, MONEY, PAIRS, PAIRS_SQL, pairs, table, total
 from .registry import query
 from .store_queries import NEWEST_SQL
 
@@ -49,7 +51,7 @@ WHERE sign = 1 OR following IS NOT NULL
 """)
 def stream_upsert(spark, sf):
     log, _ = _log(spark, sf)
-    return log.withColumn("user_id", F.col("user_id").cast("bigint"))
+    return log
 
 
 DAYS = ViewSpec("days", rows=("event_type",), cols=("DAY",))
@@ -146,7 +148,7 @@ def stream_epoch(spark, sf):
 
 
 @query(f"""
-WITH c AS ({EPOCH_CELLS_SQL}), p AS (SELECT epoch + 1 AS epoch, event_type, DAY, value FROM c WHERE epoch < (SELECT max(epoch) FROM c))
+WITH e AS ({EPOCH_CELLS_SQL}), c AS (SELECT * FROM e WHERE epoch < (SELECT max(epoch) FROM e)), p AS (SELECT epoch + 1 AS epoch, event_type, DAY, value FROM c WHERE epoch < (SELECT max(epoch) FROM c))
 SELECT COALESCE(c.epoch, p.epoch) AS epoch, COALESCE(c.event_type, p.event_type) AS event_type,
        COALESCE(c.DAY, p.DAY) AS DAY, CASE WHEN c.epoch IS NULL THEN 'DEL' ELSE 'UPD' END AS command,
        p.value AS before, c.value AS value
@@ -154,8 +156,9 @@ FROM c FULL JOIN p ON c.epoch = p.epoch AND c.event_type = p.event_type AND c.DA
 WHERE c.epoch IS NULL OR p.epoch IS NULL OR c.value <> p.value
 """)
 def stream_epoch_changes(spark, sf):
-    """What each closed epoch brings: updates, and deletes of cells it no longer has."""
-    changes = sc.epoch_changes(_epochs(spark, sf), ["event_type", "DAY"], "epoch")
+    """What each closed epoch brings: updates, and deletes of cells it no longer has. The last epoch is still open."""
+    cells = checkpointed(_epochs(spark, sf))
+    changes = sc.epoch_changes(cells, ["event_type", "DAY"], "epoch", sc.closed_epochs(cells, "epoch"))
     return changes.drop("is_total")
 
 
@@ -165,8 +168,58 @@ UNION ALL
 SELECT 'days' AS view, DAY AS label, {total('value')} FROM ({NEWEST_SQL}) GROUP BY ALL
 """)
 def stream_rebuild(spark, sf):
-    """New definitions are filled from the change log that the stream has written; cells at zero are left out."""
+    """New definitions are filled with the newest versions in the change log that the stream has written."""
     log, _ = _log(spark, sf)
     specs = (ViewSpec("types", rows=("event_type",)), ViewSpec("days", rows=("DAY",)))
-    cells = all_views(log, EVENTS, specs, MONEY)
-    return cells.filter("value <> 0").select("view", F.col("row_keys")[0].alias("label"), "value")
+    newest = latest(log.filter("sign > 0").drop("sign"), EVENTS)
+    return all_views(newest, EVENTS, specs, MONEY).select("view", F.col("row_keys")[0].alias("label"), "value")
+
+
+PAIR_VIEW = ViewSpec("pairs", rows=("event_type",), cols=("METRIC",))
+
+
+@query(f"""
+SELECT METRIC, event_type, {total('value')} FROM (
+  SELECT METRIC, event_type, value FROM ({PAIRS_SQL})
+  QUALIFY rank() OVER (PARTITION BY pair_key ORDER BY ts DESC, event_id DESC) = 1
+  UNION ALL SELECT DISTINCT METRIC, event_type, 0.0 FROM ({PAIRS_SQL}))
+GROUP BY ALL
+""")
+def stream_upsert_flat(spark, sf):
+    """Versions that arrive as one row per point: none of a version's points is lost."""
+    work = new_work_dir(spark, "pairs")
+    flatten(pairs(spark, sf), PAIRS).select("pair_key", "ts", "event_id", "event_type", "METRIC", "SIZE", "value").write.parquet(f"{work}/in")
+    rows = spark.read.parquet(f"{work}/in")
+    log, path = _log(spark, sf, stream_files(spark, f"{work}/in", rows.schema), layout=PAIRS)
+    return _published(spark, path, log.schema, PAIR_VIEW, PAIRS).select("METRIC", "event_type", "value")
+
+
+MESSAGES = ViewSpec("types", rows=("event_type",), cols=("DAY",), totals=("event_type",))
+
+
+@query(f"""
+SELECT 'types' AS "viewName", 'UPD' AS command, CASE WHEN GROUPING(event_type) = 1 THEN 'Total' ELSE event_type END AS row_key,
+       DAY AS col_key, format('{{:,}}', CAST(round_even(SUM(CAST(value AS DECIMAL(18,2))), 0) AS BIGINT)) AS value
+FROM ({EVENTS_SQL}) GROUP BY GROUPING SETS ((DAY, event_type), (DAY))
+""")
+def stream_messages(spark, sf):
+    """Change records of a stream that arrives in several micro-batches; the last record of each cell tells its number."""
+    work = new_work_dir(spark, "messages")
+    source = _batches(spark, sf, work)
+    cells = sc.running_cells(source, EVENTS, MESSAGES, MONEY)
+    sc.run_messages(cells, MESSAGES, f"{work}/feed", f"{work}/checkpoint").awaitTermination()
+    schema = "viewName string, command string, rowKeys array<string>, colKeys array<string>, value string"
+    records = spark.read.parquet(f"{work}/feed/records").select("batch", F.from_json("value", schema).alias("r"))
+    flat = records.select("batch", "r.viewName", F.col("r.rowKeys")[0].alias("row_key"), F.col("r.colKeys")[0].alias("col_key"), "r.command", "r.value")
+    newest = flat.groupBy("viewName", "row_key", "col_key").agg(F.max_by(F.struct("command", "value"), "batch").alias("n"))
+    return newest.select("viewName", "n.command", "row_key", "col_key", "n.value")
+
+
+def _batches(spark, sf, work):
+    """The events as a stream of three files, one per micro-batch, split by the day of the month."""
+    events = table(spark, sf, "events")
+    for part in range(3):
+        events.filter(F.dayofmonth("ts") % 3 == part).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    day = F.to_date("ts").cast("string").alias("DAY")
+    return source.select("user_id", "ts", "event_id", "event_type", day, "value")
