@@ -13,8 +13,9 @@ band can still be similar, under that one too. The pigeonhole then gives two kin
 An empty segment says nothing, so it is left out, except for the rare sets with fewer than H + 1 others.
 
 Equal sets of one Arrow batch are folded into one first, so a group of copies sends one entry per batch. Groups of the chosen
-signatures are resolved without forming all pairs: every member is verified against the group's least document, links
-become components, and only pairs of a group that are then still in different components are verified in a second round.
+signatures are resolved without forming all pairs: every set that chose a signature is verified against the group's least
+document, links become components, and a second round verifies a set only with those members of its groups that are then
+still in another component.
 Each component is what all links of the join would give. Verification counts the common shingles of both whole sets.
 
 A null or empty text has no shingles, is linked with nothing and is its own component. Rows with a null id are not returned.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, new_work_dir
@@ -42,7 +43,10 @@ _RATIO = 1.5
 #: Bands of sets up to this size use one-deletion neighbourhoods.
 _DELETIONS = 32
 _MEMBERS = 256
-_ENTRY = (5, "i8", "u1")
+#: An entry: 32 bits of the signature beside its bucket (a clash only adds a candidate), document, flags.
+_ENTRY = (4, "i8", "u1")
+#: Bits of the filter that keeps documents without partners out of the shuffle of texts. Its size is fixed, whatever the input.
+_FILTER_BITS = 22
 _INFO = ("i8", "i4", "i8", "i4")
 _ENTRY_ROW, _INFO_ROW = 0, 1
 _PROBES, _SURE, _EMPTY, _LACKING = 1, 2, 4, 8
@@ -140,7 +144,7 @@ def _entries(buckets: int):
             if parts:
                 found, doc, flags = (np.concatenate(p) for p in zip(*parts))
                 for bucket, own in by_bucket((found % np.uint64(buckets)).astype(np.int64)):
-                    rows.append((bucket, pack(_ENTRY, found[own] >> np.uint64(24), doc[own], flags[own])))
+                    rows.append((bucket, pack(_ENTRY, found[own] >> np.uint64(32), doc[own], flags[own])))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
     return run
@@ -175,16 +179,45 @@ def _groups(buckets: int):
 
 
 def _chosen(found: DataFrame) -> DataFrame:
-    """The signatures to look at: all of the small bands, and of the large ones what each set's allocation takes."""
+    """What each set looks at: (``sig``, ``s``, its size ``n_s``, ``sure``). ``sure`` marks small bands, where all signatures count."""
     entries = found.filter(F.col("kind") == _ENTRY_ROW)
-    sure = entries.filter(F.col("flags").bitwiseAND(_SURE) > 0).select("sig")
+    sets = found.filter((F.col("kind") == _INFO_ROW) & (F.col("n") > 0)).select("doc_id", "n", "units")
+    sure = entries.filter(F.col("flags").bitwiseAND(_SURE) > 0).select("sig", "doc_id").join(sets, "doc_id")
     usable = (F.col("flags").bitwiseAND(_PROBES) > 0) & ((F.col("flags").bitwiseAND(_EMPTY) == 0) | (F.col("flags").bitwiseAND(_LACKING) > 0))
     offered = entries.filter(usable).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("size", "sig"))).alias("offered"))
-    sets = found.filter((F.col("kind") == _INFO_ROW) & (F.col("n") > 0)).select("doc_id", "n", "units")
     most = F.floor(F.col("n") * (2 * (100 - PERCENT)) / F.lit(100 + PERCENT)).cast("int") + 1
     needed = most - (F.col("units") - F.size("offered"))
     taken = offered.join(sets, "doc_id").withColumn("needed", needed).filter("needed > 0")
-    return sure.unionByName(taken.select(F.explode(F.slice("offered", F.lit(1), F.col("needed"))).alias("o")).select("o.sig")).distinct()
+    taken = taken.select("doc_id", "n", F.explode(F.slice("offered", F.lit(1), F.col("needed"))).alias("o"))
+    return (
+        sure.select("sig", F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.lit(True).alias("sure"))
+        .unionByName(taken.select("o.sig", F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.lit(False).alias("sure")))
+        .distinct()
+    )
+
+
+def _members(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """All sets of the groups of chosen signatures: (``sig``, ``r``, its size ``n_r``)."""
+    sets = found.filter((F.col("kind") == _INFO_ROW) & (F.col("n") > 0)).select("doc_id", F.col("n").alias("n_r"))
+    entries = found.filter(F.col("kind") == _ENTRY_ROW).select("sig", "doc_id").distinct()
+    kept = entries.join(chosen.select("sig").distinct(), "sig", "left_semi")
+    return kept.join(sets.distinct(), "doc_id").select("sig", F.col("doc_id").alias("r"), "n_r")
+
+
+def _sizes_fit() -> Column:
+    return 100 * F.least("n_s", "n_r") >= PERCENT * F.greatest("n_s", "n_r")
+
+
+def _six_bytes(values: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: two sets of a thousand confuse any of their shingles once in some 10^8 pairs."""
+    planes = (values >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(planes[:, :6]).tobytes()
+
+
+def _from_six_bytes(raw: bytes) -> np.ndarray:
+    planes = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    planes[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return planes.reshape(-1).view("<u8")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +226,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, text, asked in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text")), batch.column("asked").to_pylist()):
             if asked:
-                values = np.ascontiguousarray(shingles(text)).tobytes()
+                values = _six_bytes(shingles(text))
                 rows += [(a["key"], a["part"], doc, values) for a in asked]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["key", "part", "doc_id", "values"])
 
@@ -207,38 +240,63 @@ def similar(one: np.ndarray, other: np.ndarray) -> bool:
 def _verified(key, group):
     leader = key[0].as_py()
     sets = dict(zip(group.column("doc_id").to_pylist(), group.column("values").to_pylist()))
-    first = np.frombuffer(sets[leader], dtype=np.uint64)
-    linked = [d for d, values in sets.items() if d != leader and similar(first, np.frombuffer(values, dtype=np.uint64))]
+    first = _from_six_bytes(sets[leader])
+    linked = [d for d, values in sets.items() if d != leader and similar(first, _from_six_bytes(values))]
     return pa.table({"a": pa.array([leader] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
 
+def _likely(ids: DataFrame) -> np.ndarray:
+    """A bit per slot that holds any of the ids; the words are put together by Spark, and there are as many whatever the input."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS))
+    placed = ids.withColumn("slot", slot)
+    words = placed.select((F.col("slot") / 32).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot % 32 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (_FILTER_BITS - 5), dtype=np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _filtered(likely: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(likely, dtype=np.uint32)
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            keep = (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
+
+    return run
+
+
 def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``, distinct) whose sets are similar. The partners of a document are verified in parts of bounded size."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / _MEMBERS).cast("int").alias("parts"))
     members = pairs.join(parts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     leaders = parts.select(F.col("a").alias("doc_id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     asked = members.unionByName(leaders).groupBy("doc_id").agg(F.collect_list(F.struct("key", "part")).alias("asked"))
-    sets = docs.join(asked, "doc_id").mapInArrow(_sets, "key long, part int, doc_id long, values binary")
+    likely = _likely(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
+    slotted = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS)))
+    wanted = slotted.mapInArrow(_filtered(likely.tobytes()), "doc_id long, text string")
+    sets = wanted.join(asked, "doc_id").mapInArrow(_sets, "key long, part int, doc_id long, values binary")
     return sets.groupBy("key", "part").applyInArrow(_verified, "a long, b long")
 
 
-def _leader_pairs(groups: DataFrame) -> DataFrame:
-    least = groups.groupBy("sig").agg(F.min("doc_id").alias("a"))
-    return groups.join(least, "sig").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+def _leader_pairs(chosen: DataFrame, members: DataFrame) -> DataFrame:
+    least = members.groupBy("sig").agg(F.min_by(F.struct("r", "n_r"), "r").alias("l")).select("sig", "l.*")
+    return chosen.join(least, "sig").filter((F.col("s") != F.col("r")) & _sizes_fit()).select(F.col("r").alias("a"), F.col("s").alias("b")).distinct()
+
+
+def _open_pairs(chosen: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sets and members of a group they look at that are still in different components."""
 
+    def labelled(frame: DataFrame, column: str, out: str) -> DataFrame:
+        named = frame.join(labels.select(F.col("node").alias(column), F.col("component").alias(out)), column, "left")
+        return named.withColumn(out, F.coalesce(out, column))
 
-def _open_pairs(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a group that are still in different components and were not verified with the group's least document."""
-    labelled = groups.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
-    parts = labelled.select("sig", "component").distinct()
-    split = parts.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
-    parts = parts.join(split, "sig")
-    sides = parts.select("sig", F.col("component").alias("one")).join(parts.select("sig", F.col("component").alias("other")), "sig").filter("one < other")
-    a = labelled.select("sig", F.col("component").alias("one"), F.col("doc_id").alias("x"))
-    b = labelled.select("sig", F.col("component").alias("other"), F.col("doc_id").alias("y"))
-    found = sides.join(a, ["sig", "one"]).join(b, ["sig", "other"])
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    own = labelled(members, "r", "other")
+    parts = own.select("sig", "other").distinct()
+    sides = labelled(chosen, "s", "one").join(parts, "sig").filter("one <> other")
+    found = sides.join(own, ["sig", "other"]).filter(_sizes_fit() & (F.col("sure") | (F.col("n_r") <= F.col("n_s"))))
+    return found.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,11 +308,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     entries = own.mapInArrow(_entries(buckets), "bucket int, blob binary")
     entries.groupBy("bucket").applyInArrow(_groups(buckets), _DECIDED).write.parquet(path)
     found = spark.read.schema(_DECIDED).parquet(path)
-    groups = checkpointed(found.filter(F.col("kind") == _ENTRY_ROW).select("sig", "doc_id").join(_chosen(found), "sig").distinct())
-    first = checkpointed(_leader_pairs(groups))
+    chosen = checkpointed(_chosen(found))
+    members = checkpointed(_members(found, chosen))
+    first = checkpointed(_leader_pairs(chosen, members))
     links = checkpointed(_links(own, first))
     labels = checkpointed(components(links))
-    second = checkpointed(_open_pairs(groups, labels).join(first, ["a", "b"], "left_anti"))
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = checkpointed(_open_pairs(chosen, members, labels).join(tried, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more = checkpointed(_links(own, second))
         labels = checkpointed(components(links.unionByName(more)))
