@@ -38,7 +38,8 @@ _WINDOW = (8, 8, "i8", "i4")
 _SPAN = ("i4", "i4")
 _DECIDED, _PIECE, _WINDOWS = 0, 1, 2
 _DECISIONS = "doc_id long, first int, last int, anchor long, kind int"
-_CUT = "block int, kind int, anchor long, doc_id long, first int, windows int, data binary"
+_OPEN = (8, "i8", "i4", "i4", "i4")
+_CUT = "block int, kind int, doc_id long, data binary, text binary"
 
 
 class Piece(NamedTuple):
@@ -143,12 +144,12 @@ def _decide(key, group):
 
 
 def _cut(kind: Windows, blocks: int):
-    schema = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("windows", pa.int32()), ("data", pa.binary())])
+    schema = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary()), ("text", pa.binary())])
     tail = kind.length - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, open_windows = [], []
+            rows, open_windows, pieces, places = [], [], [], []
             texts = encoded(batch.column("text"))
             for doc, text, found in zip(batch.column("doc_id").to_pylist(), texts, batch.column("ranges")):
                 if not found.is_valid:
@@ -157,12 +158,11 @@ def _cut(kind: Windows, blocks: int):
                 first, last, anchor, state = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges)
                 start, end = merged_spans(first[state == _DECIDED], last[state == _DECIDED] + 1 + tail)
                 if len(start):
-                    rows.append((doc % blocks, _DECIDED, 0, doc, 0, 0, pack(_SPAN, start, end)))
+                    rows.append((doc % blocks, _DECIDED, doc, pack(_SPAN, start, end), None))
                 piece = np.flatnonzero(state == _PIECE)
-                data = kind.slices(text, first[piece], last[piece] + 1 + tail)
-                for i, part in zip(piece.tolist(), data):
-                    key = int(anchor[i])
-                    rows.append(((key & 0x7FFFFFFFFFFF) % blocks, _PIECE, key, doc, int(first[i]), int(last[i] - first[i] + 1), part))
+                if len(piece):
+                    pieces += kind.slices(text, first[piece], last[piece] + 1 + tail)
+                    places.append((anchor[piece], np.full(len(piece), doc), first[piece], last[piece] - first[piece] + 1))
                 wide = np.flatnonzero(state == _WINDOWS)
                 if len(wide):
                     hashes = Runs(kind.symbols(text)).all(kind.length)
@@ -172,8 +172,14 @@ def _cut(kind: Windows, blocks: int):
             if open_windows:
                 anchor, window, doc, first = (np.concatenate(x) for x in zip(*open_windows))
                 for block, own in by_bucket((window % np.uint64(blocks)).astype(np.int64)):
-                    rows.append((block, _WINDOWS, 0, 0, 0, 0, pack(_WINDOW, anchor[own], window[own], doc[own], first[own])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
+                    rows.append((block, _WINDOWS, None, pack(_WINDOW, anchor[own], window[own], doc[own], first[own]), None))
+            if pieces:
+                anchor, doc, first, windows = (np.concatenate(x) for x in zip(*places))
+                lengths = np.array([len(x) for x in pieces])
+                for block, own in by_bucket(anchor % blocks):
+                    text = b"".join(pieces[i] for i in own.tolist())
+                    rows.append((block, _PIECE, None, pack(_OPEN, anchor[own], doc[own], first[own], windows[own], lengths[own]), pa.compress(text, codec="zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
     return run
 
@@ -183,7 +189,7 @@ def _solve(kind: Windows):
         states = group.column("kind").to_numpy()
         data = group.column("data")
         spans = []
-        for doc, blob in zip(group.column("doc_id").to_numpy()[states == _DECIDED].tolist(), data.filter(pa.array(states == _DECIDED)).to_pylist()):
+        for doc, blob in zip(group.column("doc_id").filter(pa.array(states == _DECIDED)).to_pylist(), data.filter(pa.array(states == _DECIDED)).to_pylist()):
             start, end = unpack(_SPAN, blob)
             spans.append((np.full(len(start), doc), start, end))
         blobs = data.filter(pa.array(states == _WINDOWS)).to_pylist()
@@ -193,10 +199,16 @@ def _solve(kind: Windows):
             doc, first = doc[order], first[order]
             later = doc > doc[new][np.cumsum(new) - 1]
             spans.append((doc[later], first[later], first[later] + kind.length))
-        if (states == _PIECE).any():
-            open_pieces = group.filter(pa.array(states == _PIECE)).select(["anchor", "doc_id", "first", "windows", "data"])
-            open_pieces = open_pieces.sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("first", "ascending")])
-            spans.append(kind.solve([Piece(*x) for x in zip(*(c.to_pylist() for c in open_pieces.columns))]))
+        chosen = pa.array(states == _PIECE)
+        pieces = []
+        for blob, text in zip(data.filter(chosen).to_pylist(), group.column("text").filter(chosen).to_pylist()):
+            anchor, doc, first, windows, lengths = unpack(_OPEN, blob)
+            ends = np.cumsum(lengths)
+            text = pa.decompress(text, decompressed_size=int(ends[-1]), codec="zstd", asbytes=True)
+            parts = (text[b - n : b] for b, n in zip(ends.tolist(), lengths.tolist()))
+            pieces += map(Piece._make, zip(anchor.tolist(), doc.tolist(), first.tolist(), windows.tolist(), parts))
+        if pieces:
+            spans.append(kind.solve(sorted(pieces)))
         doc, start, end = (np.concatenate(x) for x in zip(*spans)) if spans else (np.zeros(0, "i8"),) * 3
         ids, out = [], []
         for own_rows in (rows for _, rows in by_bucket(doc)):
