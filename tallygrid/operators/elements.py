@@ -138,10 +138,15 @@ def index_of(layout: Layout, points: Column, target: Column, attributes: list[st
     return (F.coalesce(found, F.lit(0)) - F.lit(1)).cast("int")
 
 
-def attribute_catalog(df: DataFrame, layout: Layout) -> DataFrame:
-    """One row per attribute: name, position, whether it is core, and how many elements carry a value for it."""
-    rows = flatten(df, layout)
-    counts = rows.agg(*[F.count(F.col(f"`{n}`")).alias(n) for n in layout.attributes])
+def attribute_catalog(df: DataFrame, layout: Layout, counted: bool = True) -> DataFrame:
+    """One row per attribute: name, position, whether it is core, and how many elements carry a value for it.
+
+    Without ``counted`` the names come from the layout alone and no data is read; ``labelled`` is null then.
+    """
+    if counted:
+        source = flatten(df, layout).agg(*[F.count(F.col(f"`{n}`")).alias(n) for n in layout.attributes])
+    else:
+        source = df.sparkSession.range(1).select(*[F.lit(None).cast("bigint").alias(n) for n in layout.attributes])
     entries = F.array(*[
         F.struct(
             F.lit(n).alias("name"),
@@ -151,7 +156,7 @@ def attribute_catalog(df: DataFrame, layout: Layout) -> DataFrame:
         )
         for i, n in enumerate(layout.attributes)
     ])
-    return counts.select(F.inline(entries))
+    return source.select(F.inline(entries))
 
 
 def nested_schema(layout: Layout) -> T.ArrayType:

@@ -116,13 +116,17 @@ def column_visibility(cells: DataFrame, spec: ViewSpec, expanded: DataFrame | No
 
     narrow = chunks.select("_chunk", "_at", "_bits", "_last", "_collapsed")
     ends = narrow.groupBy("_chunk").applyInPandas(outcomes, "_chunk bigint, _ends array<int>")
-    # One entry per chunk of thousands of columns: following the chain of start states is a short fold.
-    before = Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chain = F.collect_list("_ends").over(before)
-    starts = ends.select(
-        "_chunk",
-        F.aggregate(chain, F.lit(-1), lambda state, ends_: F.element_at(ends_, state + 2)).alias("_start"),
-    )
+    # One entry per chunk of thousands of columns: a single pass carries the state from chunk to chunk.
+
+    def linked(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("_chunk")
+        starts, state = [], -1
+        for after in run["_ends"]:
+            starts.append(state)
+            state = int(after[state + 1])
+        return pd.DataFrame({"_chunk": run["_chunk"], "_start": starts})
+
+    starts = ends.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(linked, "_chunk bigint, _start int")
 
     names = [a.column for a in axes]
     schema = ", ".join([*[f"`{n}` string" for n in names], "hidden_col boolean"])

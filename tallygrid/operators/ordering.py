@@ -23,15 +23,23 @@ def _order_value(order: list[str]) -> Column:
     return F.col(f"`{order[0]}`") if len(order) == 1 else F.struct(*_columns(order))
 
 
-def with_neighbour(df: DataFrame, group: list[str], order: list[str], chunk: Column, out: str,
+def _staged(df: DataFrame, group: list[str], order: list[str], chunk: Column | None) -> DataFrame:
+    """Rows with ``_chunk``, which rises with the order inside a group."""
+    if chunk is None:
+        return ordered_chunks(df, [*group, *order]).drop("_at")
+    return df.withColumn("_chunk", chunk)
+
+
+def with_neighbour(df: DataFrame, group: list[str], order: list[str], chunk: Column | None, out: str,
                    following: bool = True) -> DataFrame:
     """Add the order value of the following (or preceding) row of the same group as ``out``.
 
     ``chunk`` must rise with the order, for example ``date_trunc('day', ts)`` when ordering by ``ts``. Rows are
-    shuffled by (group, chunk), so a group with a large part of all rows is spread over many tasks. What passes
-    between chunks is one order value per chunk.
+    shuffled by (group, chunk), so a group is spread as finely as the chunks are. Without ``chunk`` all rows are sorted
+    and cut every few thousand, so that no group, however its order values cluster, makes a large chunk; this costs
+    a checkpoint of the rows. What passes between chunks is one order value per chunk.
     """
-    staged = df.withColumn("_chunk", chunk)
+    staged = _staged(df, group, order, chunk)
     edge = _order_value(order)
     step = F.lead if following else F.lag
     edges = staged.groupBy(*_columns(group), "_chunk").agg(
@@ -49,9 +57,9 @@ def with_neighbour(df: DataFrame, group: list[str], order: list[str], chunk: Col
     return joined.withColumn(out, F.coalesce(F.col(out), F.col("_carried"))).drop("_chunk", "_carried")
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], chunk: Column, out: str) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], chunk: Column | None, out: str) -> DataFrame:
     """Add the 0-based position of each row in its group, by the same chunking as :func:`with_neighbour`."""
-    staged = df.withColumn("_chunk", chunk)
+    staged = _staged(df, group, order, chunk)
     sizes = staged.groupBy(*_columns(group), "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*_columns(group)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*_columns(group), "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
@@ -62,8 +70,8 @@ def numbered(df: DataFrame, group: list[str], order: list[str], chunk: Column, o
     return joined.withColumn(out, (F.col(out) + F.col("_before")).cast("bigint")).drop("_chunk", "_before")
 
 
-def ordered_chunks(df: DataFrame, order: list[str | Column], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Sort all rows and add ``_at`` (rises with the order) and ``_chunk`` (at most ``chunk_rows`` rows each).
+def ordered_chunks(df: DataFrame, order: list[str | Column], chunk_rows: int | None = None) -> DataFrame:
+    """Sort all rows and add ``_at`` (rises with the order) and ``_chunk`` (at most ``chunk_rows`` rows each, ``CHUNK_ROWS`` by default).
 
     The rows are range-partitioned, so no task holds them all. The result is checkpointed: later steps read it
     more than once and must see one and the same numbering.
@@ -71,7 +79,7 @@ def ordered_chunks(df: DataFrame, order: list[str | Column], chunk_rows: int = C
     columns = [F.col(f"`{c}`") if isinstance(c, str) else c for c in order]
     spread = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
     marked = spread.withColumn("_at", F.monotonically_increasing_id())
-    return checkpointed(marked.withColumn("_chunk", F.floor(F.col("_at") / F.lit(chunk_rows)).cast("bigint")))
+    return checkpointed(marked.withColumn("_chunk", F.floor(F.col("_at") / F.lit(chunk_rows or CHUNK_ROWS)).cast("bigint")))
 
 
 def with_index(chunks: DataFrame, group: list[str], out: str) -> DataFrame:

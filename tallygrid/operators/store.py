@@ -50,16 +50,17 @@ def lookup(df: DataFrame, layout: Layout, keys: DataFrame | list[str]) -> DataFr
     return flatten(latest(wanted, layout), layout)
 
 
-def with_previous(df: DataFrame, layout: Layout, chunk: Column, out: str = "previous_seq") -> DataFrame:
+def with_previous(df: DataFrame, layout: Layout, chunk: Column | None = None, out: str = "previous_seq") -> DataFrame:
     """Add the ``seq`` of the version that each version replaced, null for the first one."""
     return with_neighbour(df, [layout.key], list(layout.seq), chunk, out, following=False)
 
 
-def changelog(df: DataFrame, layout: Layout, chunk: Column) -> DataFrame:
+def changelog(df: DataFrame, layout: Layout, chunk: Column | None = None) -> DataFrame:
     """Signed value rows: every version once with its numbers, once negated when a later version replaces it.
 
     ``applied_seq`` tells when the row takes effect. Summing the log gives the same cells as summing the newest
-    versions. A version without points adds nothing and still retracts its predecessor.
+    versions. A version without points adds nothing and still retracts its predecessor. ``chunk`` rises with ``seq`` and tells
+    how finely the versions of a key are spread; without it, chunks come from the data (see :func:`with_neighbour`).
     """
     next_seq = with_neighbour(df, [layout.key], list(layout.seq), chunk, "_next", following=True)
     own = _seq_value(layout)

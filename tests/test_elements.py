@@ -194,3 +194,26 @@ def test_against_baseline(spark):
         ("a", 3.0), ("a-SOD", 2.0), ("b", 1.0), ("c-SOD", 9.0)
     ]
     assert ("a", 1.0) in tuples(diff.against_baseline(newest, LAYOUT, factor=2.0), "invariant_key", "value")
+
+
+def test_a_hot_key_within_one_moment_is_cut_by_the_data(spark, monkeypatch):
+    """A third of all rows share a key and a day: without a chunk expression, no chunk holds more than its share."""
+    from tallygrid.operators import ordering
+
+    rows = [("hot" if i % 3 == 0 else f"k{i}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, at int")
+    chunks = ordering.ordered_chunks(df, ["g", "at"], 100)
+    assert max(r["count"] for r in chunks.filter("g = 'hot'").groupBy("_chunk").count().collect()) <= 100
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 100)
+    found = {(r["g"], r["at"]): r["n"] for r in with_neighbour(df, ["g"], ["at"], None, "n").collect()}
+    hot = [i for i in range(3000) if i % 3 == 0]
+    assert all(found["hot", a] == b for a, b in zip(hot, [*hot[1:], None]))
+    assert sum(v is not None for v in found.values()) == len(hot) - 1
+    places = {(r["g"], r["at"]): r["n"] for r in numbered(df, ["g"], ["at"], None, "n").collect()}
+    assert all(places["hot", a] == n for n, a in enumerate(hot))
+
+
+def test_attribute_names_need_no_data(spark):
+    empty = spark.createDataFrame([], "invariant_key string, seq long")
+    found = el.attribute_catalog(empty, Layout(core=("A",), perimeter=("B",)), counted=False).collect()
+    assert [tuple(r) for r in found] == [("A", 0, True, None), ("B", 1, False, None)]
