@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text per bucket of packed shuffle rows. The number of buckets grows with the input.
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,17 @@ def bucket_count(size: int) -> int:
     return max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of record batches with about ``size`` bytes of text each, which bounds what a task holds beside its input."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths) // size
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def encoded(column: pa.Array) -> list[bytes]:
     """Strings of an Arrow column as UTF-8; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

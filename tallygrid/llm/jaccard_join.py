@@ -12,7 +12,7 @@ band can still be similar, under that one too. The pigeonhole then gives two kin
 
 An empty segment says nothing, so it is left out, except for the rare sets with fewer than H + 1 others.
 
-Equal sets of one Arrow batch are folded into one first, so a group of copies sends one entry per batch. Groups of the chosen
+Equal sets of one slice of a batch are folded into one first, so a group of copies sends one entry per slice. Groups of the chosen
 signatures are resolved without forming all pairs: every set that chose a signature is verified against the group's least
 document, links become components, and a second round verifies a set only with those members of its groups that are then
 still in another component.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, new_work_dir
-from .common import bucket_count, by_bucket, documents, encoded, pack, text_bytes, unpacked
+from .common import SLICE_BYTES, bucket_count, by_bucket, documents, encoded, pack, slices, text_bytes, unpacked
 from .components import components
 from .hashing import Runs, lower_ascii, mix, word_hashes
 
@@ -42,7 +42,7 @@ SHINGLE = 5
 _RATIO = 1.5
 #: Bands of sets up to this size use one-deletion neighbourhoods.
 _DELETIONS = 32
-_MEMBERS = 256
+_MEMBERS = 64
 #: An entry: 32 bits of the signature beside its bucket (a clash only adds a candidate), document, flags.
 _ENTRY = (4, "i8", "u1")
 #: Bits of the filter that keeps documents without partners out of the shuffle of texts. Its size is fixed, whatever the input.
@@ -119,7 +119,7 @@ def signatures(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def _entries(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             docs = [(d, t) for d, t in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text"))) if d is not None]
             docs.sort(key=lambda x: x[0])
             known: dict = {}
@@ -222,13 +222,22 @@ def _from_six_bytes(raw: bytes) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The set of a document once per group of pairs that asks for it."""
-    for batch in batches:
-        rows = []
+    for batch in slices(batches):
+        rows, size = [], 0
         for doc, text, asked in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text")), batch.column("asked").to_pylist()):
             if asked:
                 values = _six_bytes(shingles(text))
                 rows += [(a["key"], a["part"], doc, values) for a in asked]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["key", "part", "doc_id", "values"])
+                size += len(asked) * len(values)
+            if size >= SLICE_BYTES:
+                yield _set_rows(rows)
+                rows, size = [], 0
+        yield _set_rows(rows)
+
+
+def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["key", "part", "doc_id", "values"])
 
 
 def similar(one: np.ndarray, other: np.ndarray) -> bool:

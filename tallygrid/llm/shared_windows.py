@@ -3,9 +3,9 @@
 Comparing all windows would shuffle one row per word or byte. Instead every window belongs to an anchor (see
 ``anchors``), and one packed entry per range of windows goes to the bucket of its anchor:
 
-1. ``_entries`` (per Arrow batch of documents): ranges of windows with their anchor and a hash of what they cover. Of equal
-   ranges in one batch, only the first document's travels; the others are decided at once. So a passage that a third of
-   all documents share sends one entry per batch.
+1. ``_entries`` (per slice of a batch of documents): ranges of windows with their anchor and a hash of what they cover. Of equal
+   ranges in one slice, only the first document's travels; the others are decided at once. So a passage that a third of
+   all documents share sends one entry per slice.
 2. ``_decide`` (per bucket): a range that covers the same symbols as one of a smaller document is decided. Ranges that share
    their anchor with others, but not all of their symbols, stay open: the ends of shared passages.
 3. ``_cut`` (joined to the documents by id): the text of the open ranges, keyed by anchor.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .common import bucket_count, by_bucket, encoded, merged_spans, pack, text_bytes, unpack, unpacked
+from .common import SLICE_BYTES, bucket_count, by_bucket, encoded, merged_spans, pack, slices, text_bytes, unpack, unpacked
 from .hashing import Runs
 
 WIDE = 64
@@ -85,7 +85,7 @@ def _entries(kind: Windows, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4 * SLICE_BYTES):
             ids = batch.column("doc_id").to_pylist()
             parts = [[], [], [], [], []]
             for doc, text in zip(ids, encoded(batch.column("text"))):
@@ -148,7 +148,7 @@ def _cut(kind: Windows, blocks: int):
     tail = kind.length - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4 * SLICE_BYTES):
             rows, open_windows, pieces, places = [], [], [], []
             texts = encoded(batch.column("text"))
             for doc, text, found in zip(batch.column("doc_id").to_pylist(), texts, batch.column("ranges")):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, encoded
+from .common import documents, encoded, slices
 from .hashing import word_hashes
 from .shared_windows import Piece, Windows, gathered, repeated_spans
 
@@ -81,7 +81,7 @@ def _solve(length: int):
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc, text, blobs in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text")), batch.column("spans").to_pylist()):
             words = text.split()
