@@ -13,9 +13,9 @@ band can still be similar, under that one too. The pigeonhole then gives two kin
 An empty segment says nothing, so it is left out, except for the rare sets with fewer than H + 1 others.
 
 Equal sets of one slice of a batch are folded into one first, so a group of copies sends one entry per slice. Groups of the chosen
-signatures are resolved without forming all pairs: every set that chose a signature is verified against the group's least
-document, links become components, and a second round verifies a set only with those members of its groups that are then
-still in another component.
+signatures are resolved without forming all pairs: every set that chose a signature is verified against the member that shares most
+with others, links become components, and a second round verifies a set only with those members of its groups that are then
+still in another component. Sizes and parity sketches rule out most dissimilar pairs before their sets are fetched.
 Each component is what all links of the join would give. Verification counts the common shingles of both whole sets.
 
 A null or empty text has no shingles, is linked with nothing and is its own component. Rows with a null id are not returned.
@@ -25,6 +25,8 @@ Rows that repeat an id (and its text) each return the same. Ties cannot occur. E
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +49,13 @@ _MEMBERS = 64
 _ENTRY = (4, "i8", "u1")
 #: Bits of the filter that keeps documents without partners out of the shuffle of texts. Its size is fixed, whatever the input.
 _FILTER_BITS = 22
-_INFO = ("i8", "i4", "i8", "i4")
+#: Words of 64 bits of a set's parity sketch.
+_WORDS = 8
+_INFO = ("i8", "i4", "i8", "i4", *("i8",) * _WORDS)
+_SKETCH = [f"k{i}" for i in range(_WORDS)]
 _ENTRY_ROW, _INFO_ROW = 0, 1
 _PROBES, _SURE, _EMPTY, _LACKING = 1, 2, 4, 8
-_DECIDED = "kind int, doc_id long, n int, rep long, units int, sig long, size int, flags int"
+_DECIDED = "kind int, doc_id long, n int, rep long, units int, sig long, size int, flags int, " + ", ".join(f"{k} long" for k in _SKETCH)
 
 
 def _edges() -> np.ndarray:
@@ -117,6 +122,13 @@ def signatures(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(found), np.concatenate(flags).astype(np.uint8), units
 
 
+def sketch(values: np.ndarray) -> list[int]:
+    """Parities of the numbers of elements in ``64 * _WORDS`` slots. Two sets differ in at least as many elements as their
+    sketches do in bits, so a pair whose sketches differ in too many bits cannot be similar."""
+    odd = np.bincount((mix(values ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * _WORDS)).astype(np.int64), minlength=64 * _WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
 def _entries(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -127,15 +139,15 @@ def _entries(buckets: int):
             for doc, text in docs:
                 values = shingles(text)
                 if not len(values):
-                    info.append((doc, 0, doc, 0))
+                    info.append((doc, 0, doc, 0, *(0,) * _WORDS))
                     continue
                 key = (len(values), int(values.sum()), int(mix(values).sum()))
                 if key in known:
-                    info.append((doc, len(values), known[key], 0))
+                    info.append((doc, len(values), known[key], 0, *(0,) * _WORDS))
                     continue
                 known[key] = doc
                 found, flags, units = signatures(values)
-                info.append((doc, len(values), doc, units))
+                info.append((doc, len(values), doc, units, *sketch(values)))
                 parts.append((found, np.full(len(found), doc), flags))
             if not info:
                 continue
@@ -150,9 +162,9 @@ def _entries(buckets: int):
     return run
 
 
-def _rows(kind: int, doc, n=None, rep=None, units=None, sig=None, size=None, flags=None) -> pa.Table:
+def _rows(kind: int, doc, n=None, rep=None, units=None, sig=None, size=None, flags=None, words=(None,) * _WORDS) -> pa.Table:
     count = len(doc)
-    types = (("n", n, pa.int32()), ("rep", rep, pa.int64()), ("units", units, pa.int32()), ("sig", sig, pa.int64()), ("size", size, pa.int32()), ("flags", flags, pa.int32()))
+    types = (("n", n, pa.int32()), ("rep", rep, pa.int64()), ("units", units, pa.int32()), ("sig", sig, pa.int64()), ("size", size, pa.int32()), ("flags", flags, pa.int32()), *((k, w, pa.int64()) for k, w in zip(_SKETCH, words)))
     columns = {"kind": pa.array(np.full(count, kind), pa.int32()), "doc_id": pa.array(doc, pa.int64())}
     return pa.table(columns | {name: pa.nulls(count, t) if x is None else pa.array(x, t) for name, x, t in types})
 
@@ -162,8 +174,8 @@ def _groups(buckets: int):
         """Signatures that several sets share, with the size of their groups; information rows pass."""
         bucket, blobs = key[0].as_py(), group.column("blob").to_pylist()
         if bucket < 0:
-            doc, n, rep, units = unpacked(_INFO, blobs)
-            return _rows(_INFO_ROW, doc, n=n, rep=rep, units=units)
+            doc, n, rep, units, *words = unpacked(_INFO, blobs)
+            return _rows(_INFO_ROW, doc, n=n, rep=rep, units=units, words=words)
         sig, doc, flags = unpacked(_ENTRY, blobs)
         order = np.argsort(sig, kind="stable")
         sig, doc, flags = sig[order], doc[order], flags[order]
@@ -178,34 +190,41 @@ def _groups(buckets: int):
     return run
 
 
+def _own_sets(found: DataFrame) -> DataFrame:
+    """The sets that stand for themselves, not for another one of equal content."""
+    return found.filter((F.col("kind") == _INFO_ROW) & (F.col("n") > 0) & (F.col("rep") == F.col("doc_id"))).dropDuplicates(["doc_id"])
+
+
 def _chosen(found: DataFrame) -> DataFrame:
-    """What each set looks at: (``sig``, ``s``, its size ``n_s``, ``sure``). ``sure`` marks small bands, where all signatures count."""
+    """What each set looks at: ``sig``, ``s``, ``sure`` (small bands, where all signatures count), its size and sketch."""
     entries = found.filter(F.col("kind") == _ENTRY_ROW)
-    sets = found.filter((F.col("kind") == _INFO_ROW) & (F.col("n") > 0)).select("doc_id", "n", "units")
-    sure = entries.filter(F.col("flags").bitwiseAND(_SURE) > 0).select("sig", "doc_id").join(sets, "doc_id")
+    sets = _own_sets(found).select("doc_id", "n", "units", *_SKETCH)
+    sure = entries.filter(F.col("flags").bitwiseAND(_SURE) > 0).select("sig", "doc_id").distinct()
     usable = (F.col("flags").bitwiseAND(_PROBES) > 0) & ((F.col("flags").bitwiseAND(_EMPTY) == 0) | (F.col("flags").bitwiseAND(_LACKING) > 0))
     offered = entries.filter(usable).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("size", "sig"))).alias("offered"))
     most = F.floor(F.col("n") * (2 * (100 - PERCENT)) / F.lit(100 + PERCENT)).cast("int") + 1
     needed = most - (F.col("units") - F.size("offered"))
-    taken = offered.join(sets, "doc_id").withColumn("needed", needed).filter("needed > 0")
-    taken = taken.select("doc_id", "n", F.explode(F.slice("offered", F.lit(1), F.col("needed"))).alias("o"))
-    return (
-        sure.select("sig", F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.lit(True).alias("sure"))
-        .unionByName(taken.select("o.sig", F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.lit(False).alias("sure")))
-        .distinct()
-    )
+    taken = offered.join(sets.select("doc_id", "n", "units"), "doc_id").withColumn("needed", needed).filter("needed > 0")
+    taken = taken.select("doc_id", F.explode(F.slice("offered", F.lit(1), F.col("needed"))).alias("o")).select("o.sig", "doc_id").distinct()
+    both = sure.withColumn("sure", F.lit(True)).unionByName(taken.withColumn("sure", F.lit(False)))
+    named = sets.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), *(F.col(k).alias(f"s_{k}") for k in _SKETCH))
+    return both.withColumnRenamed("doc_id", "s").join(named, "s")
 
 
 def _members(found: DataFrame, chosen: DataFrame) -> DataFrame:
-    """All sets of the groups of chosen signatures: (``sig``, ``r``, its size ``n_r``)."""
-    sets = found.filter((F.col("kind") == _INFO_ROW) & (F.col("n") > 0)).select("doc_id", F.col("n").alias("n_r"))
-    entries = found.filter(F.col("kind") == _ENTRY_ROW).select("sig", "doc_id").distinct()
-    kept = entries.join(chosen.select("sig").distinct(), "sig", "left_semi")
-    return kept.join(sets.distinct(), "doc_id").select("sig", F.col("doc_id").alias("r"), "n_r")
+    """All sets of the groups of chosen signatures: ``sig``, ``r``, its size and sketch, and how much it shares with others."""
+    entries = found.filter(F.col("kind") == _ENTRY_ROW)
+    central = entries.groupBy("doc_id").agg(F.sum("size").alias("central"))
+    sets = _own_sets(found).select("doc_id", F.col("n").alias("n_r"), *(F.col(k).alias(f"r_{k}") for k in _SKETCH)).join(central, "doc_id")
+    kept = entries.select("sig", "doc_id").distinct().join(chosen.select("sig").distinct(), "sig", "left_semi")
+    return kept.join(sets, "doc_id").withColumnRenamed("doc_id", "r")
 
 
-def _sizes_fit() -> Column:
-    return 100 * F.least("n_s", "n_r") >= PERCENT * F.greatest("n_s", "n_r")
+def _may_be_similar() -> Column:
+    """What sizes and sketches allow; never false for a similar pair."""
+    bits = reduce(add, (F.bit_count(F.col(f"s_{k}").bitwiseXOR(F.col(f"r_{k}"))) for k in _SKETCH))
+    fits = 100 * F.least("n_s", "n_r") >= PERCENT * F.greatest("n_s", "n_r")
+    return fits & ((100 + PERCENT) * bits <= (100 - PERCENT) * (F.col("n_s") + F.col("n_r")))
 
 
 def _six_bytes(values: np.ndarray) -> bytes:
@@ -290,22 +309,36 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(chosen: DataFrame, members: DataFrame) -> DataFrame:
-    least = members.groupBy("sig").agg(F.min_by(F.struct("r", "n_r"), "r").alias("l")).select("sig", "l.*")
-    return chosen.join(least, "sig").filter((F.col("s") != F.col("r")) & _sizes_fit()).select(F.col("r").alias("a"), F.col("s").alias("b")).distinct()
+    """Sets with the leader of each group they look at: the member that shares most with others, as the origin of copies does."""
+    rest = [c for c in members.columns if c != "sig"]
+    leader = F.max_by(F.struct(*rest), F.struct("central", -F.col("r"))).alias("l")
+    leaders = members.groupBy("sig").agg(leader).select("sig", "l.*")
+    return chosen.join(leaders, "sig").filter((F.col("s") != F.col("r")) & _may_be_similar()).select(F.col("r").alias("a"), F.col("s").alias("b")).distinct()
 
 
 def _open_pairs(chosen: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sets and members of a group they look at that are still in different components."""
+    """Sets and members of a group they look at that are still in different components and may be similar.
+
+    A set first meets the components of a group; one with a single member there is judged at once. Members are listed only
+    for components that are not the set's own.
+    """
 
     def labelled(frame: DataFrame, column: str, out: str) -> DataFrame:
         named = frame.join(labels.select(F.col("node").alias(column), F.col("component").alias(out)), column, "left")
         return named.withColumn(out, F.coalesce(out, column))
 
     own = labelled(members, "r", "other")
-    parts = own.select("sig", "other").distinct()
-    sides = labelled(chosen, "s", "one").join(parts, "sig").filter("one <> other")
-    found = sides.join(own, ["sig", "other"]).filter(_sizes_fit() & (F.col("sure") | (F.col("n_r") <= F.col("n_s"))))
-    return found.select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct()
+    about = ["r", "n_r", *(f"r_{k}" for k in _SKETCH)]
+    parts = own.groupBy("sig", "other").agg(F.count("*").alias("many"), *(F.min(c).alias(c) for c in about))
+    wanted = _may_be_similar() & (F.col("sure") | (F.col("n_r") <= F.col("n_s")))
+    sides = labelled(chosen, "s", "one").alias("c").join(
+        parts.alias("p"), (F.col("c.sig") == F.col("p.sig")) & (F.col("one") != F.col("other")) & ((F.col("many") > 1) | wanted)
+    ).select("c.*", "other", "many", "r")
+    single = sides.filter("many = 1").select("s", "r")
+    several = sides.filter("many > 1").drop("r").alias("c").join(
+        own.alias("m"), (F.col("c.sig") == F.col("m.sig")) & (F.col("c.other") == F.col("m.other")) & wanted
+    ).select("s", "r")
+    return single.unionByName(several).select(F.least("s", "r").alias("a"), F.greatest("s", "r").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
