@@ -50,7 +50,7 @@ _ENTRY = (4, "i8", "u1")
 #: Bits of the filter that keeps documents without partners out of the shuffle of texts. Its size is fixed, whatever the input.
 _FILTER_BITS = 22
 #: Words of 64 bits of a set's parity sketch.
-_WORDS = 8
+_WORDS = 2
 _INFO = ("i8", "i4", "i8", "i4", *("i8",) * _WORDS)
 _SKETCH = [f"k{i}" for i in range(_WORDS)]
 _ENTRY_ROW, _INFO_ROW = 0, 1
