@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _LEVELS = 32
-_STEPS = 12
+_STEPS = 2
 _BLOCK = 4096
 _QUERY_BLOCK = 256
 
@@ -51,37 +51,44 @@ class ImpactIndex:
         self.first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         self.length = np.diff(np.append(self.first, len(keys)))
         self.dimension = keys[self.first] // _LEVELS
-        self.postings = (order % n).astype(np.int32)
+        self.segment = np.repeat(np.arange(len(self.first), dtype=np.int32), self.length)
+        self.postings = (order % n).astype(np.int64)
+        self.cell = self.postings * dims + self.dimension[self.segment]
         values = vectors.T.ravel()[order]
         self.least = np.minimum.reduceat(values, self.first)
         self.greatest = np.maximum.reduceat(values, self.first)
+        self.width = np.zeros(dims, dtype=np.int64)
+        np.maximum.at(self.width, self.dimension, self.greatest - self.least)
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors, best first, without those of id ``own``."""
         n, dims = self.vectors.shape
         weight = query[self.dimension]
         upper = np.maximum(weight * self.least, weight * self.greatest)
-        lower = np.minimum(weight * self.least, weight * self.greatest)
         floor = np.full(dims, np.iinfo(np.int64).max)
-        np.minimum.at(floor, self.dimension, lower)
+        np.minimum.at(floor, self.dimension, np.minimum(weight * self.least, weight * self.greatest))
         order = np.argsort(-(upper - floor[self.dimension]), kind="stable")
-        low, high = np.full(n, floor.sum(), dtype=np.float64), np.zeros(n)
-        open_dims = np.ones((n, dims), dtype=bool)
+        high, open_dims = np.zeros(n), np.ones((n, dims))
+        # A processed segment tells a contribution up to the width of the widest level of its dimension.
+        slack = float(np.abs(query) @ self.width)
         others = self.ids != own
         unread = np.ones(len(order), dtype=bool)
-        few = 8 * k
+        impact = upper.astype(np.float64)
+        few = max(8 * k, n // 32)
         for part in np.array_split(order, min(_STEPS, len(order))):
-            lengths = self.length[part]
-            at = np.repeat(self.first[part] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            members = self.postings[at]
-            high += np.bincount(members, weights=np.repeat(upper[part], lengths), minlength=n)
-            low += np.bincount(members, weights=np.repeat(lower[part] - floor[self.dimension[part]], lengths), minlength=n)
-            open_dims[members, np.repeat(self.dimension[part], lengths)] = False
-            # An open dimension of a vector adds no more than the greatest upper impact still unprocessed there.
+            now = np.zeros(len(order), dtype=bool)
+            now[part] = True
+            at = np.flatnonzero(now[self.segment])
+            high += np.bincount(self.postings[at], weights=impact[self.segment[at]], minlength=n)
             unread[part] = False
-            frontier = np.full(dims, -np.inf)
-            np.maximum.at(frontier, self.dimension[unread], upper[unread])
-            bound = high + open_dims @ np.where(np.isfinite(frontier), frontier, 0.0)
+            bound, low = high, high - slack
+            if unread.any():
+                # An open dimension of a vector adds no less than its floor, and no more than the greatest impact still unread there.
+                open_dims.ravel()[self.cell[at]] = 0.0
+                frontier = np.full(dims, -np.inf)
+                np.maximum.at(frontier, self.dimension[unread], impact[unread])
+                bound = bound + open_dims @ np.where(np.isfinite(frontier), frontier, 0.0)
+                low = low + open_dims @ floor.astype(np.float64)
             kth = np.partition(low[others], -k)[-k] if others.sum() > k else -np.inf
             possible = others & (bound >= kth)
             if possible.sum() <= few:
