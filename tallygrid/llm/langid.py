@@ -33,7 +33,10 @@ _SPACE = "▁"
 #: Words are scored in stretches of so many characters, so that no probability falls below what a double can hold.
 _STRETCH = 32
 _UNKNOWN_CHARACTER = 1e-7
+_AROUND = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’…–—¡¿"
 _MOST_WORDS = 400_000
+_WORDS_AT_ONCE = 8192
+_TEXTS_AT_ONCE = 256
 _SPREAD = 1 << 20
 
 
@@ -77,44 +80,65 @@ def _size(path: str) -> int:
     return sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size()
 
 
-def _arcs(word: str, trie: dict) -> list[tuple[int, int, int]]:
-    """All pieces in a word as (start, end, id), by start; id -1 is a character that is no piece."""
+def _arcs(word: str, trie: dict) -> list[int]:
+    """All pieces in a word, by start, each as one number of start, end and id; an id of -1 is a character that is no piece."""
     found = []
     for start in range(len(word)):
         node, alone = trie, True
-        for end in range(start, len(word)):
-            node = node.get(word[end])
+        for end, character in enumerate(word[start:], start + 1):
+            node = node.get(character)
             if node is None:
                 break
             if "" in node:
-                found.append((start, end + 1, node[""]))
-                alone = alone and end > start
+                found.append((node[""] << 16) + (start << 8) + end)
+                alone = False
         if alone:
-            found.append((start, start + 1, -1))
+            found.append((-1 << 16) + (start << 8) + start + 1)
     return found
 
 
+def canonical(word: str) -> str:
+    """A word as it is scored: without punctuation around it, in lower case."""
+    return word.strip(_AROUND).lower()
+
+
 def _stretches(word: str) -> list[str]:
     marked = _SPACE + word
     return [marked[i : i + _STRETCH] for i in range(0, len(marked), _STRETCH)]
 
 
-def log_likelihood(word: str, trie: dict, rows: list[list[float]], languages: int) -> list[float]:
-    """The logarithm of a word's probability in each language, over all segmentations."""
-    total = np.zeros(languages)
-    unknown = [_UNKNOWN_CHARACTER] * languages
-    for part in _stretches(word):
-        forward = [[1.0] * languages] + [[0.0] * languages for _ in part]
-        for start, end, piece in _arcs(part, trie):
-            forward[end] = [a + b * p for a, b, p in zip(forward[end], forward[start], rows[piece] if piece >= 0 else unknown)]
-        total += np.log(forward[-1])
-    return total
+def log_likelihoods(words: list[str], trie: dict, probability: np.ndarray) -> np.ndarray:
+    """The logarithm of each word's probability in each language, over all segmentations (forward sums, all words at once).
+
+    ``probability`` has a row per piece and, last, one for characters that are no piece.
+    """
+    parts = [(i, part) for i, word in enumerate(words) for part in _stretches(word)]
+    arcs = [_arcs(part, trie) for _, part in parts]
+    codes = np.array([c for own in arcs for c in own], dtype=np.int64)
+    part_of = np.repeat(np.arange(len(parts)), [len(own) for own in arcs])
+    order = np.argsort(codes & 255, kind="stable")  # by end; parts stay in order within an end
+    codes, part_of = codes[order], part_of[order]
+    end, start, piece = codes & 255, (codes >> 8) & 255, codes >> 16
+    forward = np.zeros((_STRETCH + 1, len(parts), probability.shape[1]))
+    forward[0] = 1.0
+    bounds = np.searchsorted(end, np.arange(_STRETCH + 2))
+    for at in range(1, _STRETCH + 1):
+        own = slice(bounds[at], bounds[at + 1])
+        if own.start == own.stop:
+            break
+        to = part_of[own]
+        first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+        forward[at, to[first]] = np.add.reduceat(forward[start[own], to] * probability[piece[own]], first)
+    lengths = np.array([len(part) for _, part in parts])
+    final = np.log(forward[lengths, np.arange(len(parts))])
+    first = np.flatnonzero(np.concatenate(([True], np.diff([i for i, _ in parts]) > 0)))
+    return np.add.reduceat(final, first)
 
 
 def _expected(trie: dict, word: str, row: np.ndarray, weight: float, out: dict) -> None:
     """Adds the expected uses of each piece over all segmentations of a word (forward and backward sums)."""
     for part in _stretches(word):
-        arcs = [(a, b, i, row[i] if i >= 0 else _UNKNOWN_CHARACTER) for a, b, i in _arcs(part, trie)]
+        arcs = [((c >> 8) & 255, c & 255, c >> 16, row[c >> 16] if c >= 0 else _UNKNOWN_CHARACTER) for c in _arcs(part, trie)]
         forward, backward = [1.0] + [0.0] * len(part), [0.0] * len(part) + [1.0]
         for a, b, _, p in arcs:
             forward[b] += forward[a] * p
@@ -130,7 +154,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             counts.setdefault(language, Counter()).update((text or "").split())
-        rows = [(language, word, n) for language, words in counts.items() for word, n in words.items()]
+        rows = [(language, canonical(word), n) for language, words in counts.items() for word, n in words.items()]
+        rows = [row for row in rows if row[1]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
 
@@ -180,26 +205,36 @@ def train(docs: DataFrame, vocabulary: str, train_rows: int = 1000, rounds: int
 
 
 class _Scorer:
+    """Log-likelihoods of texts, with a bounded table of the words met so far."""
+
     def __init__(self, model: Model):
         self._trie = _trie(model.vocabulary)
-        self._rows = model.probability.tolist()
-        self._languages = len(model.languages)
-        self._place: dict[str, int] = {}
-        self._score = np.zeros((1024, self._languages))
-
-    def __call__(self, text: str) -> np.ndarray:
-        """The log-likelihood of a text in each language."""
-        words = text.split()
+        unknown = np.full((1, len(model.languages)), _UNKNOWN_CHARACTER)
+        self._probability = np.concatenate([model.probability, unknown])
+        self._clear()
+
+    def _clear(self) -> None:
+        self._place: dict[str, int] = {}  # written form to row
+        self._scored: dict[str, int] = {"": 0}  # canonical form to row; nothing left of a word scores 0
+        self._score = np.zeros((1, self._probability.shape[1]))
+
+    def _learn(self, words: set[str]) -> None:
         if len(self._place) > _MOST_WORDS:
-            self._place.clear()
-        for word in set(words).difference(self._place):
-            at = len(self._place)
-            if at == len(self._score):
-                self._score = np.concatenate([self._score, np.zeros_like(self._score)])
-            self._score[at] = log_likelihood(word, self._trie, self._rows, self._languages)
-            self._place[word] = at
-        places = np.fromiter(map(self._place.__getitem__, words), dtype=np.int64, count=len(words))
-        return self._score[places].sum(axis=0)
+            self._clear()
+        forms = {word: canonical(word) for word in words.difference(self._place)}
+        new = sorted(set(forms.values()).difference(self._scored))
+        for at in range(0, len(new), _WORDS_AT_ONCE):
+            part = new[at : at + _WORDS_AT_ONCE]
+            self._scored.update(zip(part, range(len(self._score), len(self._score) + len(part))))
+            self._score = np.concatenate([self._score, log_likelihoods(part, self._trie, self._probability)])
+        self._place.update((word, self._scored[form]) for word, form in forms.items())
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        """The log-likelihood of each text in each language."""
+        words = [text.split() for text in texts]
+        self._learn(set().union(*words))
+        get = self._place.__getitem__
+        return np.array([self._score[np.fromiter(map(get, own), dtype=np.int64, count=len(own))].sum(axis=0) for own in words]).reshape(len(texts), -1)
 
 
 _scorers: dict[bytes, _Scorer] = {}
@@ -217,16 +252,15 @@ def _predictions(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for batch in batches:
-            found, scores = [], []
-            for text in batch.column("text").to_pylist():
-                if not text or not model.languages or not _LETTER.search(text):
-                    found.append(UNKNOWN_LANGUAGE)
-                    scores.append(0.0)
-                    continue
-                likelihood = scorer(text)
-                best = int(np.argmax(likelihood))
-                found.append(model.languages[best])
-                scores.append(round(float(1.0 / np.exp(likelihood - likelihood[best]).sum()), 6))
+            texts = batch.column("text").to_pylist()
+            found, scores = [UNKNOWN_LANGUAGE] * len(texts), [0.0] * len(texts)
+            known = [i for i, text in enumerate(texts) if text and model.languages and _LETTER.search(text)]
+            for at in range(0, len(known), _TEXTS_AT_ONCE):
+                own = known[at : at + _TEXTS_AT_ONCE]
+                for i, likelihood in zip(own, scorer([texts[i] for i in own])):
+                    best = int(np.argmax(likelihood))
+                    found[i] = model.languages[best]
+                    scores[i] = round(float(1.0 / np.exp(likelihood - likelihood[best]).sum()), 6)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
