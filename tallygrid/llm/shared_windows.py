@@ -4,14 +4,15 @@ Comparing all windows would shuffle one row per word or byte. Instead every wind
 ``anchors``), and one packed entry per range of windows goes to the bucket of its anchor:
 
 1. ``_entries`` (per slice of a batch of documents): ranges of windows with their anchor and a hash of what they cover. Of equal
-   ranges in one slice, only the first document's travels; the others are decided at once. So a passage that a third of
-   all documents share sends one entry per slice.
+   ranges in one slice, only the first document's travel, each of them; the others are decided at once. So a passage that a third of
+   all documents share sends one entry per slice, and more only if its first document repeats it.
 2. ``_decide`` (per bucket): a range that covers the same symbols as one of a smaller document is decided. Ranges that share
    their anchor with others, but not all of their symbols, stay open: the ends of shared passages.
 3. ``_cut`` (joined to the documents by id): the text of the open ranges, keyed by anchor.
 4. ``solve`` (per block of anchors): the operator's own method finds the windows that open pieces share. Where an anchor
-   has more than ``WIDE`` different ranges, pieces would meet in one group without bound. Their windows are dealt out by
-   the hash of each window instead, and the smallest document per window is found there (exact up to 128-bit hashes).
+   has more than ``WIDE`` different ranges, or ``MANY`` ranges with the repeats within documents, pieces would meet in one
+   group without bound. Their windows are dealt out by the hash of each window instead, and the smallest document per window is
+   found there (exact up to 128-bit hashes).
 5. The spans of each document are gathered by id.
 """
 
@@ -30,6 +31,7 @@ from .common import SLICE_BYTES, bucket_count, by_bucket, encoded, merged_spans,
 from .hashing import Runs
 
 WIDE = 64
+MANY = 16 * WIDE
 #: An entry: 40 bits of the anchor's hash beside its bucket (a clash only puts two anchors into one group), 56 bits of the
 #: hash of what is covered (compared within an anchor only), document, first and last window.
 _ENTRY = (5, 7, "i8", "i4", "i4")
@@ -101,7 +103,7 @@ def _entries(kind: Windows, buckets: int):
             order, new = _folded(anchor, whole, doc, first)
             least = doc[order][new][np.cumsum(new) - 1]
             decided = np.sort(order[doc[order] > least])
-            sent = np.sort(order[new])
+            sent = np.sort(order[doc[order] == least])
             rows = []
             for bucket, own in by_bucket((anchor[sent] % np.uint64(buckets)).astype(np.int64)):
                 own = sent[own]
@@ -135,9 +137,11 @@ def _decide(key, group):
     group_of = np.cumsum(_firsts(anchor)) - 1
     shared = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
     different = np.add.reduceat(new.astype(np.int64), starts)
+    first_doc = doc == least  # it may hold a range more than once, and each may share its ends with a smaller document
+    rows = np.add.reduceat(first_doc.astype(np.int64), starts)
     state = np.full(len(doc), -1)
-    state[new & (shared & (different > 1))[group_of]] = _PIECE
-    state[(state == _PIECE) & (different > WIDE)[group_of]] = _WINDOWS
+    state[first_doc & (shared & (different > 1))[group_of]] = _PIECE
+    state[(state == _PIECE) & ((different > WIDE) | (rows > MANY))[group_of]] = _WINDOWS
     state[doc > least] = _DECIDED
     kept = state >= 0
     return _decisions(doc[kept], first[kept], last[kept], anchor[kept], state[kept])

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edge_cases import edge_docs, edge_rows, no_docs, without_windows
 from tallygrid.llm import substring_dedup, suffix_dedup
@@ -110,6 +111,24 @@ def test_a_passage_with_many_surroundings_and_a_small_window(spark):
     check_bytes(spark, rows, docs, 50)
 
 
+def test_repeats_within_a_document_over_many_slices(spark):
+    rng = random.Random(7)
+    own = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage = own(150).split()
+    whole, part = " ".join(passage), " ".join(passage[20:120])
+    rows = [(10, f"{own(30)} {whole} {own(40)} {whole} {own(20)} {part}"), (20, f"{part} {own(9)} {part} {whole}"), (3, f"{own(20)} {whole} {own(5)}"), (1, f"{own(4)} {part} {own(70)}")]
+    rows += [(30, "x y " * 900), (2, own(60) + " x y" * 40), (31, "-" * 3000), (4, "-" * 70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1).sortWithinPartitions(F.desc("doc_id"))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "1")  # every document is a slice of its own
+    try:
+        check_words(spark, rows, docs, 50)
+        check_bytes(spark, rows, docs, 50)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_no_documents(spark):
     assert substring_dedup.without_repeats(no_docs(spark)).count() == 0
     assert suffix_dedup.without_repeats(no_docs(spark)).count() == 0
