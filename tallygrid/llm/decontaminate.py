@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 A token is a run of letters, digits and non-ASCII characters, A-Z in lower case. Every fixed mask picks some tokens out of a stretch and
-ignores the others, so a stretch still hits where an ignored token was replaced. The masks below find every overlap of 18
-tokens with up to two replaced ones, wherever these are. The hashes of the test items are joined to those of the
+ignores the others, so a stretch still hits where an ignored token was replaced. The masks below hit every overlap that counts,
+whatever its length and wherever its replaced tokens are (for ``least_tokens`` of 8 or more). The hashes of the test items are joined to those of the
 documents; each hit fixes an alignment, along which the overlap is grown token by token over single replaced tokens, until two in a
 row differ. An overlap counts if at least ``least_tokens`` of its tokens agree (or 75 % of a shorter item, 8 at least) and these are at
 least 75 % of its length.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import documents, encoded
 from .hashing import mix, word_hashes
 
-MASKS = ("11111111", "1101110111", "1011011111", "10101110111")
+MASKS = ("110101011", "10110111", "11101101", "1010101011", "1101111")
 LEAST_ITEM = 8
 LEAST_TOKENS = 13
 AGREEMENT = 0.75

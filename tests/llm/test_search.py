@@ -1,6 +1,9 @@
+import itertools
+import math
 import random
 
 import numpy as np
+import pytest
 
 from tallygrid.llm import decontaminate as dc
 from tallygrid.llm import topk
@@ -77,6 +80,41 @@ def test_masks_find_two_replaced_tokens_wherever_they_are():
                 assert found == [(0, 7, 0, 18, 16)]
 
 
+def needed(length):
+    return min(dc.LEAST_TOKENS, max(dc.LEAST_ITEM, math.ceil(dc.AGREEMENT * length)))
+
+
+def test_masks_hit_every_overlap_that_counts():
+    """The most agreeing tokens of a stretch that no mask hits, by its length, are too few to count, also for an item of that length only."""
+    span = max(map(len, dc.MASKS))
+    missed = lambda bits: not any(len(m) <= len(bits) and all(b == "1" or c == "0" for b, c in zip(bits[-len(m):], m)) for m in dc.MASKS)
+    most, states = [0], {"": 0}  # the last tokens of a stretch (1: agrees) to the most that agree
+    for length in range(1, 65):
+        grown = {}
+        for bits, ones in states.items():
+            for bit in "01":
+                if missed(bits + bit) and not (bits + bit).endswith("00"):
+                    key = (bits + bit)[-span:]
+                    grown[key] = max(grown.get(key, 0), ones + int(bit))
+        states = grown
+        most.append(max(states.values()))
+        assert length < dc.LEAST_ITEM or most[length] < max(needed(length), dc.AGREEMENT * length)
+    # Longer stretches are parts of 16 tokens with 11 at most and a rest: each part loses one token against 75 %.
+    assert most[16] <= 11 and max(most[r] - dc.AGREEMENT * r for r in range(16)) < 64 // 16
+
+
+@pytest.mark.parametrize("length, replaced", [(10, 1), (12, 2), (12, 3), (15, 2), (16, 3), (16, 4), (17, 4), (20, 5)])
+def test_lightly_edited_items_are_found(length, replaced):
+    rng = random.Random(length)
+    item = [f"i{i}" for i in range(length)]
+    index = dc._Index([(5, " ".join(item).encode())], dc.LEAST_TOKENS)
+    for places in itertools.combinations(range(1, length - 1), replaced):
+        if any(b - a == 1 for a, b in zip(places, places[1:])):
+            continue
+        text = words(rng, 5) + [f"new{i}" if i in places else w for i, w in enumerate(item)] + words(rng, 5)
+        assert index.overlaps(dc.tokens(" ".join(text).encode())) == [(0, 5, 0, length, length - replaced)]
+
+
 def test_overlaps(spark):
     rng = random.Random(3)
     items = [(i, " ".join(words(rng, n))) for i, n in enumerate((30, 18, 9, 7, 400))] + [(9, None), (10, "")]
