@@ -5,8 +5,10 @@ targets. A scale for all cells then turns the weights into probabilities, so tha
 wanted share of the input; a probability that would exceed 1 is 1, and the rest carries the difference. A document is sampled if a hash of its
 id, taken as a number from 0 to 1, lies below the probability of its cell; ``weight`` is what a sampled document's tokens count.
 
-Per dimension, the ``most_values`` values with the most tokens are told apart and all others share the value ``other``, which
-bounds the number of cells whatever the input. Statistics cover all documents.
+All values of a dimension are told apart. Up to ``DRIVER_CELLS`` cells are raked in the driver; more stay a table, and only the
+factors of one dimension at a time are computed anew and stored. If ``most_values`` is given, only that many values with the most
+tokens and those that a target names are told apart, and all others share the value ``other`` (``other_`` if some value has that name).
+Statistics cover all documents.
 
 The topic stands in for a topic model: the vocabulary is dealt into eight fixed groups by hash, and a document belongs to the group that
 most of its words of five or more bytes fall into (ties: the first group; none: topic ``none``). Tokens are words.
@@ -32,6 +34,8 @@ from .hashing import lower_ascii, word_hashes
 
 DIMENSIONS = ("source", "lang", "topic")
 OTHER = "other"
+DRIVER_CELLS = 1 << 16
+ROUNDS, TOLERANCE = 200, 1e-10
 _SHORT = 5
 _GROUP_BITS = 3
 _UNIT = 1 << 53
@@ -66,7 +70,7 @@ def _named(value) -> str:
     return "\0" if value is None else value
 
 
-def rake(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
+def rake(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = TOLERANCE) -> np.ndarray:
     """The factor of each cell by which its tokens meet the target shares of every dimension.
 
     ``places``: per dimension, the value of each cell as a number; ``targets``: the share of each value.
@@ -118,51 +122,135 @@ def tempered(shares: dict, power: float) -> dict:
     return {k: v / sum(raised.values()) for k, v in raised.items()}
 
 
+def _value_key(dimension: str):
+    """A value as a string that is never null."""
+    return F.when(F.col(dimension).isNull(), F.lit("0")).otherwise(F.concat(F.length(dimension).cast("string"), F.lit(":"), F.col(dimension)))
+
+
+def rake_table(cells: DataFrame, targets: dict[str, dict], power: float, path: str) -> DataFrame:
+    """:func:`rake` for cells that stay a table (``tokens``, and each dimension's value key): the cells with their ``factor``.
+
+    The factor of a cell is the product of one factor per dimension. ``path``: where the factors of each step are stored.
+    """
+    spark = cells.sparkSession
+    total = cells.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return cells.withColumn("factor", F.lit(1.0))
+    wanted, factors = {}, {}
+    for d in DIMENSIONS:
+        sums = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("n"))
+        if targets.get(d):
+            named = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, share double")
+            sums = sums.join(named.select(_value_key(d).alias(d), "share"), d, "left")
+        else:
+            sums = sums.withColumn("share", F.pow("n", F.lit(float(power))))
+        sums = sums.select(d, "n", F.when(F.col("n") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0).alias("share"))
+        shares = sums.agg(F.sum("share")).first()[0]
+        sums.select(d, (F.col("share") / shares * total if shares else F.col("n")).alias("want"), F.lit(1.0).alias(f"f_{d}")).write.parquet(f"{path}/want-{d}")
+        wanted[d] = spark.read.parquet(f"{path}/want-{d}").select(d, "want")
+        factors[d] = spark.read.parquet(f"{path}/want-{d}").select(d, f"f_{d}")
+    for number in range(ROUNDS):
+        worst = 0.0
+        for d in DIMENSIONS:
+            others = [e for e in DIMENSIONS if e != d]
+            joined = cells
+            for e in others:
+                joined = joined.join(factors[e], e)
+            have = joined.groupBy(d).agg(F.sum(F.col("tokens") * F.col(f"f_{others[0]}") * F.col(f"f_{others[1]}")).alias("have"))
+            old, has = F.col(f"f_{d}"), F.col("have") > 0
+            step = have.join(wanted[d], d).join(factors[d], d).select(
+                d, F.when(has, F.col("want") / F.col("have")).otherwise(old).alias(f"f_{d}"),
+                F.when(has & (old > 0), F.abs(F.col("want") / F.col("have") / old - 1)).otherwise(0.0).alias("off"),
+            )
+            step.write.parquet(f"{path}/{number}-{d}")
+            step = spark.read.parquet(f"{path}/{number}-{d}")
+            worst = max(worst, step.agg(F.max("off")).first()[0] or 0.0)
+            factors[d] = step.select(d, f"f_{d}")
+        if worst < TOLERANCE:
+            break
+    for d in DIMENSIONS:
+        cells = cells.join(factors[d], d)
+    return cells.select(*DIMENSIONS, "tokens", (F.col("f_source") * F.col("f_lang") * F.col("f_topic")).alias("factor"))
+
+
+def scale_of_table(raked: DataFrame, share: float) -> float:
+    """The scale of :func:`probabilities` for cells that stay a table: cells once taken whole stay so, until none joins them."""
+    total, scale, sure = raked.agg(F.sum("tokens")).first()[0], 0.0, -1
+    while True:
+        whole = F.col("factor") * scale > 1
+        count, full, rest = raked.agg(F.count_if(whole), F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("tokens") * F.col("factor")))).first()
+        if count == sure or not rest:
+            return scale or 1.0
+        scale, sure = (share * total - (full or 0)) / rest, count
+
+
 class Mix:
     """The cells of a corpus with their sampling probabilities, stored in the shared folder."""
 
-    def __init__(self, docs: DataFrame, targets: dict[str, dict] | None = None, share: float = 0.5, power: float = 0.7, most_values: int = 256, seed: int = 1, text_col: str = "text"):
+    def __init__(self, docs: DataFrame, targets: dict[str, dict] | None = None, share: float = 0.5, power: float = 0.7, most_values: int | None = None, seed: int = 1, text_col: str = "text"):
         """``targets``: per dimension, the share of each value; by default the corpus's shares, raised to ``power``."""
         spark = docs.sparkSession
         self.seed, self.text_col = seed, text_col
+        targets = targets or {}
         columns = [F.col(f"`{d}`").cast("string").alias(d) for d in DIMENSIONS if d != "topic"]
         found = _profiled(docs.select(*columns, F.col(f"`{text_col}`").alias("text")), "text")
         path = new_work_dir(spark, "mix")
         found.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")).write.parquet(f"{path}/profile")
         profile = spark.read.parquet(f"{path}/profile")
         self.values: dict[str, list] = {}
-        for dimension in DIMENSIONS:
-            largest = profile.groupBy(dimension).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), dimension).limit(most_values).collect()
-            self.values[dimension] = [r[dimension] for r in largest]
+        self.other: dict[str, str] = {}
+        if most_values is not None:
+            for dimension in DIMENSIONS:
+                largest = profile.groupBy(dimension).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), dimension).limit(most_values).collect()
+                self.values[dimension] = list(dict.fromkeys([*(r[dimension] for r in largest), *(targets.get(dimension) or {})]))
+                taken = {r[0] for r in profile.filter(F.col(dimension).rlike(f"^{OTHER}_*$")).select(dimension).distinct().collect()}
+                self.other[dimension] = next(name for name in (OTHER + "_" * i for i in range(len(taken) + 1)) if name not in taken)
         folded = profile.select(*(self._folded(d) for d in DIMENSIONS), "tokens").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-        cells = folded.orderBy(*DIMENSIONS).collect()  # at most (most_values + 1) values per dimension
+        if profile.count() <= DRIVER_CELLS:
+            self._rake(spark, folded, targets, share, power).coalesce(1).write.parquet(f"{path}/cells")
+        else:
+            folded.select(*(_value_key(d).alias(d) for d in DIMENSIONS), "tokens").write.parquet(f"{path}/keyed")
+            rake_table(spark.read.parquet(f"{path}/keyed"), targets, power, path).write.parquet(f"{path}/raked")
+            raked = spark.read.parquet(f"{path}/raked")
+            has = bool(raked.agg(F.sum("tokens")).first()[0])
+            chosen = F.least(F.col("factor") * scale_of_table(raked, share), F.lit(1.0)) if has else F.lit(float(share))
+            rows = raked.select(F.concat(*DIMENSIONS).alias("cell"), F.greatest(chosen, F.lit(0.0)).alias("probability"), "factor")
+            weight = F.when(F.col("probability") > 0, F.col("factor") / F.col("probability")).otherwise(0.0)
+            rows.select("cell", "probability", weight.alias("weight")).write.parquet(f"{path}/cells")
+        self._cells = spark.read.parquet(f"{path}/cells")
+
+    def _rake(self, spark, folded: DataFrame, targets: dict[str, dict], share: float, power: float) -> DataFrame:
+        """The probabilities and weights of few cells."""
+        cells = folded.orderBy(*DIMENSIONS).collect()
         tokens = np.array([r["tokens"] for r in cells], dtype=np.int64)
         places, wanted = [], []
         for dimension in DIMENSIONS:
             names = sorted({r[dimension] for r in cells}, key=_named)
-            place = np.array([names.index(r[dimension]) for r in cells], dtype=np.int64)
+            place_of = {name: i for i, name in enumerate(names)}
+            place = np.array([place_of[r[dimension]] for r in cells], dtype=np.int64)
             have = np.bincount(place, weights=tokens, minlength=len(names)) if len(cells) else np.zeros(0)
-            target = (targets or {}).get(dimension) or tempered(dict(zip(names, have)), power)
+            target = targets.get(dimension) or tempered(dict(zip(names, have)), power)
             places.append(place)
             wanted.append(np.array([target.get(name, 0.0) for name in names]))
-        factor = rake(tokens, places, wanted)
+        factor = rake(tokens, places, wanted, ROUNDS)
         probability = probabilities(tokens, factor, share)
         weight = np.divide(factor, probability, out=np.zeros_like(factor), where=probability > 0)
         rows = [(self._key_of(r), float(p), float(w)) for r, p, w in zip(cells, probability, weight)]
-        spark.createDataFrame(rows, "cell string, probability double, weight double").coalesce(1).write.parquet(f"{path}/cells")
-        self._cells = spark.read.parquet(f"{path}/cells")
+        return spark.createDataFrame(rows, "cell string, probability double, weight double")
 
     def _folded(self, dimension: str):
         value = F.col(dimension)
+        if dimension not in self.values:
+            return value
         known = [v for v in self.values[dimension] if v is not None]
-        return F.when(value.isNull() | value.isin(known), value).otherwise(F.lit(OTHER)).alias(dimension)
+        return F.when(value.isNull() | value.isin(known), value).otherwise(F.lit(self.other[dimension])).alias(dimension)
 
     @staticmethod
     def _key_of(row) -> str:
         return "".join("0" if row[d] is None else f"{len(row[d])}:{row[d]}" for d in DIMENSIONS)
 
     def _key(self):
-        return F.concat(*(F.when(F.col(d).isNull(), F.lit("0")).otherwise(F.concat(F.length(d).cast("string"), F.lit(":"), F.col(d))) for d in DIMENSIONS))
+        return F.concat(*(_value_key(d) for d in DIMENSIONS))
 
     def sample(self, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """The sampled rows: ``row`` (all their columns), ``source``, ``lang``, ``topic``, ``n_tokens``, ``probability``, ``weight``."""

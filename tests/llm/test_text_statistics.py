@@ -3,6 +3,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edge_cases import edge_docs, edge_rows, no_docs
 from tallygrid.llm import langid, mixing
@@ -118,6 +119,51 @@ def test_samples_follow_the_targets(spark):
     assert sorted(r["doc_id"] for r in sample.select("row.doc_id").collect()) == sorted(r["doc_id"] for r in mix.sample(docs).select("row.doc_id").collect())
 
 
+def many_sources(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"word{rng.randrange(500)}" for _ in range(5 if i % 300 > 280 else 10)), "other" if i % 300 == 299 else f"s{i % 300}", rng.choice(["x", "y", None])) for i in range(3000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+
+def shares(mix, docs):
+    """Expected tokens and number of probabilities by source."""
+    profile = mixing._profiled(docs.select(*(F.col(d) for d in ("source", "lang", "text"))), "text").withColumn("cell", mix._key())
+    return {r["source"]: r["n"] for r in profile.join(mix._cells, "cell").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("n")).collect()}
+
+
+def test_all_sources_meet_their_targets(spark):
+    docs = many_sources(spark)
+    names = [f"s{i}" for i in range(299)] + ["other"]
+    target = {name: 1.0 + i % 2 for i, name in enumerate(names)}
+    found = shares(mixing.Mix(docs, targets={"source": target}, share=0.1), docs)
+    total = sum(found.values())
+    assert len(found) == 300 and all(found[n] / total == pytest.approx(target[n] / sum(target.values()), rel=1e-6) for n in names)
+
+
+def test_a_named_source_is_told_apart_from_the_rest(spark):
+    docs = many_sources(spark)
+    mix = mixing.Mix(docs, targets={"source": {"s290": 0.5, "other": 0.25, "other_": 0.25}}, share=0.0005, most_values=5)
+    cells = {r["source"] for r in mix.sample(docs).collect()}
+    assert {"s290", "other"} <= set(mix.values["source"]) and mix.other["source"] == "other_" and cells <= {"s290", "other", "other_"}
+    known = mixing._profiled(docs.select("source", "lang", "text"), "text").select("n_tokens", *(mix._folded(d) for d in mixing.DIMENSIONS)).withColumn("cell", mix._key())
+    found = {r["source"]: r["n"] for r in known.join(mix._cells, "cell").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("n")).collect()}
+    total = sum(found.values())
+    assert found["s290"] / total == pytest.approx(0.5, rel=1e-6) and found["other"] / total == pytest.approx(0.25, rel=1e-6)
+
+
+@pytest.mark.parametrize("targets, share", [(None, 0.5), ({"source": {"s1": 0.5, "s290": 0.3, "other": 0.2, "missing": 1.0}, "lang": {"x": 0.7, None: 0.3}}, 0.01)])
+def test_many_cells_are_raked_as_few(spark, monkeypatch, targets, share):
+    docs = many_sources(spark).filter("doc_id % 300 in (1, 2, 3, 290, 299)").coalesce(1)
+    monkeypatch.setattr(mixing, "ROUNDS", 3)
+    few = {r["cell"]: (r["probability"], r["weight"]) for r in mixing.Mix(docs, targets, share)._cells.collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    many = {r["cell"]: (r["probability"], r["weight"]) for r in mixing.Mix(docs, targets, share)._cells.collect()}
+    assert few.keys() == many.keys()
+    assert all(many[c] == pytest.approx(few[c], rel=1e-6, abs=1e-9) for c in few)
+    blank = docs.withColumn("text", F.lit(None).cast("string"))
+    assert {r["probability"] for r in mixing.Mix(blank, share=0.5)._cells.collect()} == {0.5}
+
+
 def test_mixing_edge_cases(spark):
     docs = edge_docs(spark)
     everything = mixing.Mix(docs, share=1.0).sample(docs).select("row.*")
