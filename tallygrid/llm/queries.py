@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, jaccard_join, langid, mixing, substring_dedup, suffix_dedup, surrogates, token_output, topk, warc
+from . import decontaminate, flat_graph, jaccard_join, langid, merkle, mixing, periodic_runs, substring_dedup, suffix_dedup, surrogates, token_output, topk, warc
 from .common import table
 
 #: Where the public tokenizer files lie; the installed package tells.
@@ -112,3 +112,61 @@ FROM p LEFT JOIN h ON p.payload_digest = h.payload_digest
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with surrogates in place of personal data."""
     return surrogates.with_surrogates(table(spark, sf_dir, "documents"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """The documents of the periodic-run query: every tenth one, by the checksum of its id, repeats a stretch of itself up to its end."""
+    checksum = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    size, mixed = F.nullif(F.size(words).cast("long"), F.lit(0).cast("long")), F.floor(checksum / 10).cast("long")
+    start = mixed % size
+    period = 1 + F.floor((size - start) / (3 + mixed % 8)).cast("long")
+    repeated = F.transform(words, lambda word, i: F.when(i < start, word).otherwise(F.get(words, (start + (i - start) % period).cast("int"))))
+    return docs.select("doc_id", F.when(checksum % 10 == 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, the one of most periods, and the text without repetitions."""
+    found = periodic_runs.without_repetitions(planted_periods(table(spark, sf_dir, "documents")))
+
+    def most_periods(a, b):
+        left, right = a["length"] * b["period"], b["length"] * a["period"]
+        return (
+            F.when(left > right, -1).when(left < right, 1).when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
+            .when(a["period"] < b["period"], -1).when(a["period"] > b["period"], 1).otherwise(0)
+        )
+
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", F.get(F.array_sort("runs", most_periods), F.lit(0)))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query
+def op12_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of vectors with a cosine of 0.9 or more."""
+    return flat_graph.linked_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents in trees per language, and what becomes of them when some character counts are changed."""
+    docs = table(spark, sf_dir, "documents")
+
+    def leaf(n_chars):
+        return merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang")], n_chars, F.col("text"))
+
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf(F.col("n_chars").cast("decimal(20,0)") + 1))
+    leaves = docs.select(
+        F.col("lang").alias("group"), F.col("doc_id").alias("order"), leaf(F.col("n_chars")).alias("digest"), F.struct("doc_id", changed.alias("changed")).alias("payload")
+    )
+    proofs = merkle.Manifest(leaves).proofs()
+    checked = proofs.withColumn("folded_root", merkle.folded(F.coalesce("payload.changed", "leaf"), F.col("siblings"), F.col("positions")))
+    return checked.select(
+        "payload.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
