@@ -26,7 +26,15 @@ def _against_baseline(df: DataFrame, layout: Layout, factor: str = "1.0") -> Dat
     return against_baseline(df, layout, factor=float(factor))
 
 
-register_transform("against baseline", _against_baseline)
+# The transform that takes another element into account; streams keep it in state.
+BASELINE_TRANSFORM = "against baseline"
+
+register_transform(BASELINE_TRANSFORM, _against_baseline)
+
+
+def baseline_factor(spec: ViewSpec) -> float:
+    """How many times the baseline is taken from an element."""
+    return 1.0 if spec.transform_arg is None else float(spec.transform_arg)
 
 
 def transformed(df: DataFrame, layout: Layout, spec: ViewSpec) -> DataFrame:

@@ -11,6 +11,9 @@ a large part of all input therefore sends only a few rows to the task that owns
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,7 +54,13 @@ def _from_long(column: Column, kind: T.DataType) -> Column:
 
 
 # Bodies of several points of one version, as JSON objects, are put together with this.
-BODY_SEPARATOR = ","
+BODY_SEPARATOR = "\n"
+
+# What a missing part of an order counts as: before everything else.
+MISSING = -(1 << 63)
+
+#: Roles of a signed version: of the element itself, or of the baseline that is taken from it.
+OWN, BASELINE = 0, 1
 
 
 def _newest_per_batch(order: list[str], nested: bool):
@@ -64,8 +73,8 @@ def _newest_per_batch(order: list[str], nested: bool):
             if nested:
                 rows = rows.drop_duplicates(["key", *order], ignore_index=True)
             else:
-                rows = rows.groupby(["key", *order, "bucket"], sort=False, as_index=False)["body"].agg(BODY_SEPARATOR.join)
-                rows = rows[["key", *order, "body", "bucket"]]
+                joined = rows.groupby(["key", *order, "bucket"], sort=False, as_index=False)["body"].agg(BODY_SEPARATOR.join)
+                rows = joined[["key", *order, "body", "bucket"]]
             following = rows[["key", "epoch"]].shift(-1)
             replaced = rows["key"].eq(following["key"]) & rows["epoch"].eq(following["epoch"])
             rows["bucket"] = rows["bucket"].mask(replaced, -1 - pd.Series(rows.index % SPREAD))
@@ -74,22 +83,48 @@ def _newest_per_batch(order: list[str], nested: bool):
     return reduce
 
 
+def _further(held: str, more: str, by_position: bool) -> str:
+    """The points of ``more`` that a version does not hold yet.
+
+    A point is known by its position where the input has one. Otherwise equal points are counted, and as many are further ones as there
+    are more of them than held, so that a version sent again adds nothing.
+    """
+    points = [p for p in more.split(BODY_SEPARATOR) if p]
+    if by_position:
+        known = {json.loads(p)["p"] for p in held.split(BODY_SEPARATOR) if p}
+        fresh = {}
+        for p in points:
+            fresh.setdefault(json.loads(p)["p"], p)
+        return BODY_SEPARATOR.join(p for at, p in fresh.items() if at not in known)
+    known = Counter(held.split(BODY_SEPARATOR))
+    return BODY_SEPARATOR.join(p for point, count in Counter(points).items() for p in [point] * (count - known[point]))
+
+
 class _KeepNewest(StatefulProcessor):
-    """The newest version per key, in a map per bucket of keys. A bucket is one call, so keys are handled in bulk."""
+    """The newest version per key, in a map per bucket of keys. A bucket is one call, so keys are handled in bulk.
+
+    With a ``suffix``, the element of a key and its baseline, the element of that key with the suffix, lie in the same bucket; keys that
+    start with one of ``paired`` also emit the baseline's numbers, in the role ``BASELINE`` and under the element's key, whenever either of them changes.
+    """
 
-    def __init__(self, order: list[str], state_schema: str, nested: bool) -> None:
+    def __init__(self, order: list[str], state_schema: str, nested: bool, by_position: bool = False, suffix: str = "", paired: tuple[str, ...] = ()) -> None:
         self._columns = ["key", *order, "body"]
-        self._nested = nested
+        self._nested, self._by_position = nested, by_position
         self._state_schema = state_schema
+        self._suffix, self._paired = suffix, paired
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._newest = handle.getMapState("newest", "key string", self._state_schema)
 
+    def _held(self, owner: str) -> tuple | None:
+        held = self._newest.getValue((owner,)) if self._known else None
+        return None if held is None else tuple(held)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[0] < 0:
             for superseded in rows:
-                yield superseded[self._columns].assign(sign=1)
-                yield superseded[self._columns].assign(sign=-1)
+                yield superseded[self._columns].assign(sign=1, role=OWN)
+                yield superseded[self._columns].assign(sign=-1, role=OWN)
             return
         arrived: dict[str, dict[tuple, tuple]] = {}
         for batch in rows:
@@ -97,71 +132,153 @@ class _KeepNewest(StatefulProcessor):
                 own, at = arrived.setdefault(owner, {}), tuple(version[:-1])
                 if at in own and not self._nested:
                     version[-1] = own[at][-1] + BODY_SEPARATOR + version[-1]
-                own[at] = tuple(version)
-        known = self._newest.exists()
+                own.setdefault(at, tuple(version))
+                if not self._nested:
+                    own[at] = tuple(version)
+        self._known = self._newest.exists()
         signed = []
+        changed: dict[str, tuple[tuple | None, tuple | None]] = {}
         for owner, versions in arrived.items():
-            held = self._newest.getValue((owner,)) if known else None
-            held = None if held is None else tuple(held)
-            before = held
+            before = held = self._held(owner)
             for at in sorted(versions):
                 if held is not None and at == held[:-1] and not self._nested:
-                    more = versions[at]  # further points of the version that counts
-                    signed.append((owner, *more, 1))
-                    held = (*at, held[-1] + BODY_SEPARATOR + more[-1])
+                    more = _further(held[-1], versions[at][-1], self._by_position)
+                    if more:
+                        signed.append((owner, *at, more, 1, OWN))
+                        held = (*at, BODY_SEPARATOR.join(b for b in (held[-1], more) if b))
                     continue
                 if held is not None and at <= held[:-1]:
                     continue
                 if held is not None and held[0] == at[0]:
-                    signed.append((owner, *held, -1))
+                    signed.append((owner, *held, -1, OWN))
                 held = versions[at]
-                signed.append((owner, *held, 1))
+                if self._by_position:
+                    held = (*held[:-1], _further("", held[-1], True))
+                signed.append((owner, *held, 1, OWN))
             if held is not before:
                 self._newest.updateValue((owner,), held)
-        yield pd.DataFrame(signed, columns=[*self._columns, "sign"])
+                changed[owner] = before, held
+        if self._suffix:
+            signed += self._baselines(changed)
+        yield pd.DataFrame(signed, columns=[*self._columns, "sign", "role"])
+
+    def _baselines(self, changed: dict[str, tuple[tuple | None, tuple | None]]) -> list[tuple]:
+        """What the baselines of elements add and no longer add, after changes of either."""
+        signed = []
+        own = {k for k in changed if k.startswith(self._paired)}
+        own |= {k.removesuffix(self._suffix) for k in own if k.endswith(self._suffix)}
+        for element in sorted(own):
+            pair = []
+            for k in (element, element + self._suffix):
+                now = self._held(k) if k not in changed else None
+                pair.append(changed.get(k, (now, now)))
+            (element_was, element_is), (baseline_was, baseline_is) = pair
+
+            def matched(one, other):
+                return other if one is not None and other is not None and one[0] == other[0] else None
+
+            was, now = matched(element_was, baseline_was), matched(element_is, baseline_is)
+            if was == now:
+                continue
+            if was is not None and (element_is is None or element_is[0] == was[0]):
+                signed.append((element, *was, -1, BASELINE))
+            if now is not None:
+                signed.append((element, *now, 1, BASELINE))
+        return signed
 
     def close(self) -> None:
         pass
 
 
+def _order_names(layout: Layout, ties: bool) -> list[str]:
+    return ["epoch", *[f"q{i}" for i in range(len(layout.seq))], *(["tie"] if ties else [])]
+
+
+def _body_type(df: DataFrame, layout: Layout) -> T.StructType:
+    """What a version holds besides key and order; of flat input, one point with its position as ``p``."""
+    if layout.is_nested(df):
+        return T.StructType([df.schema[c] for c in (*layout.core, layout.points)])
+    own = T.StructType([df.schema[c] for c in (*layout.attributes, layout.value)])
+    return own.add("p", df.schema[layout.pos].dataType) if layout.pos in df.columns else own
+
+
+def key_text(column: Column) -> Column:
+    """A key as text that tells a missing one from any other."""
+    return F.when(column.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), column.cast("string")))
+
+
+def bodies(versions: DataFrame, body_type: T.StructType) -> DataFrame:
+    """Versions with their ``body`` text read again: one row per JSON object in it, as columns."""
+    texts = F.concat(F.lit("["), F.replace("body", F.lit(BODY_SEPARATOR), F.lit(",")), F.lit("]"))
+    return versions.select(*[c for c in versions.columns if c != "body"], F.explode(F.from_json(texts, T.ArrayType(body_type))).alias("_body"))
+
+
+def signed_versions(df: DataFrame, layout: Layout, epoch: str | None = None, buckets: int = 1024, prefix: Column | None = None,
+                    empty: Column | None = None, suffix: str = "", paired: tuple[str, ...] = ()) -> DataFrame:
+    """A stream of versions as signed ones: ``key`` (text), ``epoch``, the parts of the order as longs ``q0`` ..., ``body`` (JSON), ``sign``, ``role``.
+
+    ``prefix`` keeps several kinds of elements apart that share their keys. Where ``empty`` holds, the version has no points and
+    comes just before any other of the same order. Missing parts of an order count as before everything else, and a missing key is a key.
+    ``suffix`` and ``paired`` (prefixes) emit baselines too.
+    """
+    order, nested = _order_names(layout, empty is not None), layout.is_nested(df)
+    own = F.col(f"`{layout.key}`").cast("string")
+    text = key_text(own) if prefix is None else F.concat(prefix, key_text(own))
+    root = F.regexp_replace(own, f"({re.escape(suffix)})+$", "") if suffix else own
+    fields = [F.col(f"`{c.name}`") for c in _body_type(df, layout).fields if c.name != "p"]
+    if not nested and layout.pos in df.columns:
+        fields.append(F.col(f"`{layout.pos}`").alias("p"))
+    body = F.to_json(F.struct(*fields))
+    ties = []
+    if empty is not None:
+        none = F.to_json(F.struct(*[F.col(f"`{c}`") for c in layout.core], F.array().cast(df.schema[layout.points].dataType).alias(layout.points))) if nested else F.lit("")
+        body = F.when(empty, none).otherwise(body)
+        ties = [F.when(empty, 0).otherwise(1).cast("bigint").alias("tie")]
+    longs = [F.col(f"`{epoch}`").cast("bigint") if epoch else F.lit(0).cast("bigint"), *[_as_long(df, c) for c in layout.seq]]
+    coded = df.select(
+        text.alias("key"), *[F.coalesce(c, F.lit(MISSING).cast("bigint")).alias(n) for c, n in zip(longs, order)], *ties, body.alias("body"),
+        F.pmod(F.xxhash64(root), F.lit(buckets)).alias("bucket"),
+    )
+    typed = ", ".join(f"{c} bigint" for c in order)
+    reduced = coded.mapInPandas(_newest_per_batch(order, nested), f"key string, {typed}, body string, bucket bigint")
+    return reduced.groupBy("bucket").transformWithStateInPandas(
+        _KeepNewest(order, f"{typed}, body string", nested, not nested and layout.pos in df.columns, suffix, paired),
+        outputStructType=f"key string, {typed}, body string, sign int, role int",
+        outputMode="append",
+        timeMode="none",
+    )
+
+
+def _restored(name: str, kind: T.DataType) -> Column:
+    return F.when(F.col(name) != MISSING, _from_long(F.col(name), kind)).alias(name)
+
+
 def changelog_stream(df: DataFrame, layout: Layout, epoch: str | None = None, buckets: int = 1024) -> DataFrame:
     """The change log of a stream of element versions: key, ``seq``, labels, signed number and ``sign``.
 
     A version whose ``seq`` is not above the stored one is dropped. Deleting is sending a version without points. In flat
-    input, rows with the same key and ``seq`` are the points of one version, whenever they arrive.
+    input, rows with the same key and ``seq`` are the points of one version, whenever they arrive; a row sent again adds nothing. Points
+    are told apart by the column ``layout.pos``, or, without it, counted by content: equal points of a version must then arrive in one micro-batch.
+    A null key is a key, and a null in ``seq`` or in the epoch comes before all other values, as in the batch form.
     With ``epoch``, a whole-number column, a version of a later epoch replaces without a negative entry, because
     sums are kept per epoch.
 
     A task sorts what one micro-batch brings for one of ``buckets`` groups of keys; bound micro-batches with the options
-    of the source. The number must stay the same for a checkpoint.
+    of the source. The number must stay the same for a checkpoint, as must Spark's own number of state partitions.
     """
-    order = ["epoch", *[f"q{i}" for i in range(len(layout.seq))]]
-    nested = layout.is_nested(df)
-    carried = [*layout.core, layout.points] if nested else [*layout.attributes, layout.value]
-    body_type = T.StructType([df.schema[c] for c in carried])
-    coded = df.select(
-        F.col(f"`{layout.key}`").cast("string").alias("key"),
-        (F.col(f"`{epoch}`").cast("bigint") if epoch else F.lit(0).cast("bigint")).alias("epoch"),
-        *[_as_long(df, c).alias(f"q{i}") for i, c in enumerate(layout.seq)],
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in carried])).alias("body"),
-        F.pmod(F.xxhash64(F.col(f"`{layout.key}`").cast("string")), F.lit(buckets)).alias("bucket"),
-    )
-    longs = ", ".join(f"{c} bigint" for c in order)
-    reduced = coded.mapInPandas(_newest_per_batch(order, nested), f"key string, {longs}, body string, bucket bigint")
-    log = reduced.groupBy("bucket").transformWithStateInPandas(
-        _KeepNewest(order, f"{longs}, body string", nested),
-        outputStructType=f"key string, {longs}, body string, sign int",
-        outputMode="append",
-        timeMode="none",
-    )
-    opened = log.select(
-        F.col("key").cast(df.schema[layout.key].dataType).alias(layout.key),
-        *([F.col("epoch").cast(df.schema[epoch].dataType).alias(epoch)] if epoch else []),
-        *[_from_long(F.col(f"q{i}"), df.schema[c].dataType).alias(c) for i, c in enumerate(layout.seq)],
-        "sign",
-        F.explode(F.from_json(F.concat(F.lit("["), "body", F.lit("]")), T.ArrayType(body_type))).alias("_body"),
-    ).select("*", "_body.*").drop("_body")
+    log = signed_versions(df, layout, epoch, buckets)
+    key = F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)).cast(df.schema[layout.key].dataType)
+    names = dict(zip(_order_names(layout, False)[1:], layout.seq))
+    columns = [
+        key.alias(layout.key),
+        *([_restored("epoch", df.schema[epoch].dataType).alias(epoch)] if epoch else []),
+        *[_restored(q, df.schema[c].dataType).alias(c) for q, c in names.items()],
+        "sign", "body",
+    ]
+    opened = bodies(log.select(*columns), _body_type(df, layout)).select("*", "_body.*").drop("_body")
     rows = flatten(opened, layout)
+    if "p" in rows.columns and layout.pos not in layout.attributes and not layout.is_nested(df) and layout.pos in df.columns:
+        rows = rows.withColumnRenamed("p", layout.pos)
     value = F.col(layout.value)
     return rows.withColumn(layout.value, F.when(F.col("sign") < 0, -value).otherwise(value))
 
