@@ -116,13 +116,15 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted_periods(docs: DataFrame) -> DataFrame:
     """The documents of the periodic-run query: every tenth one, by the checksum of its id, repeats a stretch of itself up to its end."""
-    checksum = F.crc32(F.col("doc_id").cast("string"))
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    size, mixed = F.nullif(F.size(words).cast("long"), F.lit(0).cast("long")), F.floor(checksum / 10).cast("long")
-    start = mixed % size
-    period = 1 + F.floor((size - start) / (3 + mixed % 8)).cast("long")
-    repeated = F.transform(words, lambda word, i: F.when(i < start, word).otherwise(F.get(words, (start + (i - start) % period).cast("int"))))
-    return docs.select("doc_id", F.when(checksum % 10 == 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+    # Each step is a column of its own: inside the lambda, an expression would be worked out again for every word.
+    own = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("checksum"))
+    chosen = F.when(F.col("checksum") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    split = own.select("doc_id", "text", F.floor(F.col("checksum") / 10).alias("mixed"), chosen.alias("words")).withColumn("size", F.nullif(F.size("words"), F.lit(0)))
+    placed = split.withColumn("start", (F.col("mixed") % F.col("size")).cast("int")).withColumn(
+        "period", (1 + F.floor((F.col("size") - F.col("start")) / (3 + F.col("mixed") % 8))).cast("int")
+    )
+    repeated = F.transform("words", lambda word, i: F.when(i < F.col("start"), word).otherwise(F.get("words", F.col("start") + (i - F.col("start")) % F.col("period"))))
+    return placed.select("doc_id", F.when(F.col("words").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
 
 
 @_query
