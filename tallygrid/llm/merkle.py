@@ -115,8 +115,8 @@ def _raised(base: int, band: int, fanout: int):
     return run
 
 
-def _paths(base: int, payload: str):
-    """Attach to each node at the foot of a block what leads from it to the root."""
+def _paths(base: int, checked: bool = False):
+    """Attach to each node at the foot of a block what leads from it to the root; or, ``checked``, only what comes of it."""
 
     def run(key, foot, block):
         above = block.filter(pc.is_valid(block["root"])).select(["siblings", "positions", "subroot", "root"]).to_pylist()[0]
@@ -144,8 +144,19 @@ def _paths(base: int, payload: str):
             lo, hi, below_lo = here_lo[ancestor], here_hi[ancestor], here_lo
             digests = b"".join(here["digest"].to_pylist())
         size = len(own_lo)
+        if checked:
+            found = []
+            for own, claimed, near, places in zip(foot["digest"].to_pylist(), foot["claim"].to_pylist(), siblings, positions):
+                path, folded = hashlib.sha256(), (own if claimed is None else claimed).hex()
+                for level, place in zip((*near, *above["siblings"]), (*places, *above["positions"])):
+                    text = level.hex()
+                    path.update(text.encode())
+                    cut = 2 * _DIGEST * place
+                    folded = hashlib.sha256(f"{text[:cut]}{folded}{text[cut:]}".encode()).hexdigest()
+                found.append((own.hex(), above["subroot"].hex(), above["root"].hex(), path.hexdigest(), folded))
+            return pa.table([foot["payload"], *(pa.array(list(c), pa.string()) for c in zip(*found))], names=["payload", "leaf", "subroot", "root", "proof_sha256", "folded_root"])
         return pa.table({
-            "tree": foot["tree"], "n": foot["n"], "lo": foot["lo"], "hi": foot["hi"], "digest": foot["digest"], payload: foot[payload],
+            "tree": foot["tree"], "n": foot["n"], "lo": foot["lo"], "hi": foot["hi"], "digest": foot["digest"], "payload": foot["payload"],
             "siblings": pa.array([s + above["siblings"] for s in siblings], pa.list_(pa.binary())),
             "positions": pa.array([p + above["positions"] for p in positions], pa.list_(pa.int32())),
             "subroot": pa.array([above["subroot"]] * size, pa.binary()), "root": pa.array([above["root"]] * size, pa.binary()),
@@ -158,7 +169,7 @@ class Manifest:
     """The trees over a table of leaves.
 
     ``leaves`` has ``group`` (string), ``order`` (any type that sorts), ``digest`` (hex text) and ``payload``, a column that
-    is handed through to the proofs. Nodes are written below the session's shared folder and read from there.
+    is handed through to the proofs; a column ``claim`` (hex text or null) is a leaf to be checked in place of the recorded one. Nodes are written below the session's shared folder and read from there.
     """
 
     def __init__(self, leaves: DataFrame, fanout: int = FANOUT, band: int = BAND):
@@ -168,13 +179,14 @@ class Manifest:
         self._fanout, self._band = fanout, band
         self._folder = new_work_dir(self._spark, "merkle")
         named = leaves.select(
-            F.when(F.col("group").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "group")).alias("tree"), "order", F.unhex("digest").alias("digest"), "payload"
+            F.when(F.col("group").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "group")).alias("tree"), "order", F.unhex("digest").alias("digest"), "payload",
+            (F.unhex("claim") if "claim" in leaves.columns else F.lit(None).cast("binary")).alias("claim"),
         )
         self._leaves = _ranked(named, ["order", "digest"]).select(
-            "tree", "n", F.lit(0).alias("level"), F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), "digest", "payload"
+            "tree", "n", F.lit(0).alias("level"), F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), "digest", "payload", "claim"
         )
-        self._bands = self._built(self._leaves.drop("payload"), "groups")
-        subroots = self._subroots(self._leaves.drop("payload"), self._bands)
+        self._bands = self._built(self._leaves.drop("payload", "claim"), "groups")
+        subroots = self._subroots(self._leaves.drop("payload", "claim"), self._bands)
         top = _ranked(subroots.select(F.lit(_TOP).alias("tree"), F.col("tree").alias("payload"), "digest"), ["payload"])
         self._tops = checkpointed(top.select(
             "tree", "n", F.lit(0).alias("level"), F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), "digest", "payload"
@@ -214,7 +226,7 @@ class Manifest:
             found = found.unionByName(band)
         return found
 
-    def _proved(self, leaves: DataFrame, bands: list[DataFrame], roots: DataFrame) -> DataFrame:
+    def _proved(self, leaves: DataFrame, bands: list[DataFrame], roots: DataFrame, checked: bool = False) -> DataFrame:
         """Leaves with the path to what ``roots`` (``tree``, ``n`` and what is above) says of their trees."""
         payload = leaves.schema["payload"].dataType.simpleString()
         above = None
@@ -234,7 +246,9 @@ class Manifest:
             else:
                 context = context.selectExpr("tree", "block", "int(null) level", "bigint(null) lo", "bigint(null) hi", "binary(null) digest", "siblings", "positions", "subroot", "root")
             met = foot.withColumn("block", self._block(number)).groupBy("tree", "block").cogroup(context.groupBy("tree", "block"))
-            above = met.applyInArrow(_paths(number * self._band, "payload"), f"tree string, n long, lo long, hi long, digest binary, payload {payload}, {_ABOVE}")
+            if checked and not number:
+                return met.applyInArrow(_paths(0, True), f"payload {payload}, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
+            above = met.applyInArrow(_paths(number * self._band), f"tree string, n long, lo long, hi long, digest binary, payload {payload}, {_ABOVE}")
             if number:
                 above = checkpointed(above)
         return above
@@ -253,6 +267,11 @@ class Manifest:
 
     def proofs(self) -> DataFrame:
         """Per leaf: ``payload``, ``leaf``, ``subroot``, ``root`` (hex), and the path: ``siblings`` per level (raw digests, left to right), ``positions`` among them."""
-        proved = self._proved(self._leaves, self._bands, self._group_roots)
+        proved = self._proved(self._leaves.drop("claim"), self._bands, self._group_roots)
         hexed = [F.lower(F.hex(c)).alias(n) for c, n in (("digest", "leaf"), ("subroot", "subroot"), ("root", "root"))]
         return proved.select("payload", *hexed, "siblings", "positions")
+
+    def checks(self) -> DataFrame:
+        """Per leaf what its proof comes to: ``payload``, ``leaf``, ``subroot``, ``root``, ``proof_sha256`` (of all siblings of the path, in order) and
+        ``folded_root``, which the claim, or else the leaf itself, leads to. Paths stay in the tasks."""
+        return self._proved(self._leaves, self._bands, self._group_roots, True)

@@ -163,12 +163,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang")], n_chars, F.col("text"))
 
     changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf(F.col("n_chars").cast("decimal(20,0)") + 1))
-    leaves = docs.select(
-        F.col("lang").alias("group"), F.col("doc_id").alias("order"), leaf(F.col("n_chars")).alias("digest"), F.struct("doc_id", changed.alias("changed")).alias("payload")
-    )
-    proofs = merkle.Manifest(leaves).proofs()
-    checked = proofs.withColumn("folded_root", merkle.folded(F.coalesce("payload.changed", "leaf"), F.col("siblings"), F.col("positions")))
-    return checked.select(
-        "payload.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"), "folded_root",
-        (F.col("folded_root") == F.col("root")).alias("verified"),
-    )
+    leaves = docs.select(F.col("lang").alias("group"), F.col("doc_id").alias("order"), leaf(F.col("n_chars")).alias("digest"), changed.alias("claim"), F.col("doc_id").alias("payload"))
+    checks = merkle.Manifest(leaves).checks()
+    return checks.withColumnRenamed("payload", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
