@@ -2,7 +2,8 @@
 
 The pre-tokenizer of this vocabulary never joins a character to a following space, so a text falls into parts at single
 spaces (each with the space before it) that can be encoded apart; encoded parts are kept in a bounded table. Texts
-where white space runs into such a space from both sides are encoded whole.
+where white space runs into such a space from both sides, or that hold the string of an added token, are encoded whole. Null and empty texts
+have no ids; texts of any length are encoded to the end.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from array import array
 import numpy as np
 
 _RUN = re.compile(r"\s (?=\s|\Z)")
-_MOST = 600_000
+_MOST = 300_000
 
 
 def _byte_table() -> dict[int, str]:
@@ -30,41 +31,51 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True  # in a text, the strings of special tokens are ordinary text
+        # The strings of added tokens stand for their tokens wherever they are; texts that hold one are encoded whole.
+        self._added = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._model = self._whole.model
         self._bytes = _byte_table()
-        self._known: dict[str, bytes] = {}
         self.size = self._whole.get_vocab_size()
         self.kind, self._code = (np.dtype("<u2"), "H") if self.size <= 1 << 16 else (np.dtype("<u4"), "I")
+        self._lead = self._bytes[ord(" ")]
+        self._signs = {sign: self._model_ids(sign) for sign in ",.\n"}
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self._code, ids).tobytes()
 
-    def _model_ids(self, word: str) -> list[int]:
-        return [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._bytes))]
+    def _model_ids(self, word: str) -> bytes:
+        text = self._lead + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(self._bytes)
+        return self._packed([t.id for t in self._model.tokenize(text)])
+
+    def _word(self, space: str, word: str) -> bytes:
+        """The ids of letters only."""
+        return (self._known.get(word) or self._older.get(word) if space else None) or self._model_ids(space + word)
 
-    def _part_ids(self, space: str, part: str) -> list[int]:
+    def _part(self, space: str, part: str) -> bytes:
         """The ids of a part without white space at its ends, or of any part by the whole tokenizer."""
         if part.isalpha():
-            return self._model_ids(space + part)
+            return self._word(space, part)
         if part[:-1].isalpha() and part[-1] in ",.":
-            return self._model_ids(space + part[:-1]) + self._model_ids(part[-1])
+            return self._word(space, part[:-1]) + self._signs[part[-1]]
         line, found, rest = part.partition("\n")
         if found and line and rest and not line[-1].isspace() and not rest[0].isspace():
-            return self._part_ids(space, line) + self._model_ids(found) + self._part_ids("", rest)
-        return self._whole.encode(space + part, add_special_tokens=False).ids
+            return self._part(space, line) + self._signs[found] + self._part("", rest)
+        return self._packed(self._whole.encode(space + part, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         """The ids as packed numbers of type ``kind``."""
-        if _RUN.search(text):
+        if _RUN.search(text) or any(token in text for token in self._added):
             return self._packed(self._whole.encode(text, add_special_tokens=False).ids)
         first, *parts = text.split(" ")
-        known = self._known
-        if len(known) > _MOST:
-            known.clear()
+        if len(self._known) > _MOST:
+            # What has been in use since the last turn stays at hand, so common parts are never encoded again.
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
         for part in set(parts).difference(known):
-            known[part] = self._packed(self._part_ids(" ", part))
-        start = self._packed(self._part_ids("", first)) if first else b""
+            known[part] = older.get(part) or self._part(" ", part)
+        start = self._part("", first) if first else b""
         return start + b"".join(map(known.__getitem__, parts))
 
 

@@ -14,9 +14,7 @@ from tallygrid.session import new_work_dir
 
 
 def whole():
-    tokenizer = Tokenizer.from_file(public_file(TOKENIZER))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_file(TOKENIZER))
 
 
 def test_parts_encode_as_the_whole():
@@ -28,6 +26,11 @@ def test_parts_encode_as_the_whole():
         assert np.frombuffer(own.ids(text), own.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_strings_of_added_tokens_are_those_tokens():
+    own = byte_bpe(public_file(TOKENIZER))
+    assert np.frombuffer(own.ids("a <|endoftext|> b"), own.kind).tolist() == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("lanes", [1, 3, 16, 64])
 def test_coding_round_trip_and_checkpoints(lanes):
     rng = np.random.default_rng(lanes)
