@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from decimal import Decimal
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,18 +115,19 @@ def cell_sums(rows: DataFrame, spec: ViewSpec, measure: str = "double", keep: Se
     return rows.groupBy(*keys).agg(summed(measure))
 
 
-def with_totals(cells: DataFrame, spec: ViewSpec, rule: str = "documented", keep: Sequence[str] = ()) -> DataFrame:
+def with_totals(cells: DataFrame, spec: ViewSpec, rule: str = "documented", keep: Sequence[str] = (), levels: bool = False) -> DataFrame:
     """Cells plus total cells, with ``is_total`` and ``hidden``.
 
     Totals are summed from the cells, which are few, and not from the value rows. ``is_total`` comes from the
-    grouping, so a stored label that reads ``Total`` is not mistaken for one.
+    grouping, so a stored label that reads ``Total`` is not mistaken for one. With ``levels`` there is a column ``level``, the number of labels
+    that a total stands for, by which the wider of two totals that read the same is told.
     """
     sets = total_sets(spec, rule)
     hidden = F.lit(spec.is_hidden)
     keys = [*keep, *spec.columns]
     if not sets:
         return cells.select(
-            *[F.col(f"`{c}`") for c in keys], "value", F.lit(False).alias("is_total"), hidden.alias("hidden")
+            *[F.col(f"`{c}`") for c in keys], "value", F.lit(False).alias("is_total"), hidden.alias("hidden"), *([F.lit(0).alias("level")] if levels else [])
         )
     every = [list(range(len(spec.axes)))] + [list(s) for s in sets]
     grouping_sets = [[*[F.col(f"`{k}`") for k in keep], *[F.col(f"`{spec.columns[i]}`") for i in s]] for s in every]
@@ -144,6 +145,7 @@ def with_totals(cells: DataFrame, spec: ViewSpec, rule: str = "documented", keep
         "value",
         is_total.alias("is_total"),
         (hidden & ~is_total).alias("hidden"),
+        *([reduce(add, [F.col(f"_total_{i}") for i in range(len(spec.axes))]).cast("int").alias("level")] if levels else []),
     )
 
 

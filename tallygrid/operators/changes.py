@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import accounting
@@ -13,11 +13,18 @@ TOTAL_CHANGE = 1e-8
 UPDATE, DELETE, DELETE_ROW, DELETE_COLUMN, HEADER = "UPD", "DEL", "DELR", "DELC", "DIM"
 
 
+def precedence(cells: DataFrame) -> Column:
+    """Which of several cells with the same labels counts: the total of most labels, else any total, else the larger number."""
+    total = F.col("is_total").cast("int") if "is_total" in cells.columns else F.lit(0)
+    level = F.col("level") if "level" in cells.columns else total
+    return F.struct(total.alias("total"), level.alias("level"), F.col("value").alias("value"))
+
+
 def _side(cells: DataFrame, keys: list[str], before: bool) -> DataFrame:
     total = F.col("is_total") if "is_total" in cells.columns else F.lit(False)
     hidden = F.col("hidden") if "hidden" in cells.columns else F.lit(False)
     return cells.filter(~hidden).select(
-        *[F.col(f"`{k}`") for k in keys], F.struct("value", total.alias("is_total")).alias("_cell"), F.lit(before).alias("_was")
+        *[F.col(f"`{k}`") for k in keys], F.struct("value", total.alias("is_total")).alias("_cell"), precedence(cells).alias("_rank"), F.lit(before).alias("_was")
     )
 
 
@@ -27,15 +34,14 @@ def cell_changes(previous: DataFrame, current: DataFrame, keys: list[str],
 
     Base cells are reported when new, different, or listed in ``touched``; total cells when they moved by more than
     1e-8, a new total counting from 0. Cells marked ``hidden`` are neither reported nor deleted, as no consumer has them;
-    a cell that becomes hidden is deleted. Where a total and a base cell have the same labels, the total counts. Both
+    a cell that becomes hidden is deleted. Where several cells have the same labels, the widest total counts. Both
     states are stacked and reduced per cell in a single shuffle.
     """
     sides = _side(previous, keys, True).unionByName(_side(current, keys, False))
     columns = [F.col(f"`{k}`") for k in keys]
-    rank = F.col("_cell.is_total").cast("int")
     merged = sides.groupBy(*columns).agg(
-        F.max_by("_cell", F.when(F.col("_was"), rank)).alias("_before"),
-        F.max_by("_cell", F.when(~F.col("_was"), rank)).alias("_after"),
+        F.max_by("_cell", F.when(F.col("_was"), F.col("_rank"))).alias("_before"),
+        F.max_by("_cell", F.when(~F.col("_was"), F.col("_rank"))).alias("_after"),
     ).select(
         *columns,
         F.coalesce("_after.is_total", "_before.is_total").alias("is_total"),
@@ -65,13 +71,13 @@ def vanished(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFr
 
 
 def published(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """The visible cells, one per set of labels: a total replaces a base cell whose stored labels read the same."""
+    """The visible cells, one per set of labels: a total replaces whatever it totals whose labels read the same."""
     shown = cells.filter(~F.col("hidden")) if "hidden" in cells.columns else cells
     if "is_total" not in cells.columns:
         return shown
     columns = [F.col(f"`{k}`") for k in keys]
     rest = [F.col(f"`{c}`") for c in cells.columns if c not in keys]
-    one = shown.groupBy(*columns).agg(F.max_by(F.struct(*rest), F.col("is_total").cast("int")).alias("_one"))
+    one = shown.groupBy(*columns).agg(F.max_by(F.struct(*rest), precedence(shown)).alias("_one"))
     return one.select(*columns, "_one.*")
 
 

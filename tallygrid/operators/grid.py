@@ -12,9 +12,14 @@ from ..functions.display import parse_accounting, sort_key
 from ..functions.labels import TOTAL_LABEL, join_key
 from ..plans.spec import Axis, ViewSpec
 from ..session import checkpointed
+from .changes import precedence
 from .ordering import ordered_chunks, with_index
 
 
+# Chunks whose effects are put together in one task.
+COMPOSED = 1024
+
+
 def _axes(spec: ViewSpec, rows: bool) -> tuple[Axis, ...]:
     return spec.row_axes if rows else spec.col_axes
 
@@ -57,8 +62,43 @@ def _with_collapsed(labels: DataFrame, axes: tuple[Axis, ...], expanded: DataFra
     return labels.join(opened, names, "left").withColumn("_collapsed", has_total & F.col("_open").isNull()).drop("_open")
 
 
+def _composed(key: tuple, run: pd.DataFrame) -> pd.DataFrame:
+    """What a run of chunks, one after the other, makes of every start state."""
+    run = run.sort_values("_chunk")
+    states = list(range(-1, len(run["_ends"].iloc[0]) - 1))
+    for after in run["_ends"]:
+        states = [int(after[s + 1]) for s in states]
+    return pd.DataFrame({"_chunk": [key[0]], "_ends": [states]})
+
+
+def _linked(key: tuple, run: pd.DataFrame) -> pd.DataFrame:
+    """The start state of every chunk of a run that starts in ``_start``."""
+    run = run.sort_values("_chunk")
+    starts, state = [], int(run["_start"].iloc[0])
+    for after in run["_ends"]:
+        starts.append(state)
+        state = int(after[state + 1])
+    return pd.DataFrame({"_chunk": run["_chunk"], "_start": starts})
+
+
+def start_states(ends: DataFrame, block: int | None = None) -> DataFrame:
+    """The state (from -1) in which each chunk starts, from ``_chunk`` and ``_ends``, the state after the chunk for every state before it.
+
+    What chunks do to a state can be put together, so runs of ``block`` chunks are composed into one, these again, and so on, and the start
+    states are handed back down: no task holds more than ``block`` chunks.
+    """
+    block = block or COMPOSED
+    grouped = ends.withColumn("_block", F.floor(F.col("_chunk") / block).cast("bigint"))
+    composed = checkpointed(grouped.groupBy("_block").applyInPandas(_composed, "_chunk bigint, _ends array<int>"))
+    if composed.filter("_chunk <> 0").isEmpty():
+        above = composed.select(F.col("_chunk").alias("_block"), F.lit(-1).alias("_start"))
+    else:
+        above = start_states(composed, block).withColumnRenamed("_chunk", "_block")
+    return grouped.join(above, "_block").groupBy("_block").applyInPandas(_linked, "_chunk bigint, _start int")
+
+
 def row_visibility(cells: DataFrame, spec: ViewSpec, expanded: DataFrame | None = None, chunk_rows: int | None = None,
-                   **sorting) -> DataFrame:
+                   chunk_block: int | None = None, **sorting) -> DataFrame:
     """Grid rows with ``hidden_row``: a closed total row hides what follows, up to and including the next open one.
 
     A row that ends a block is judged before it ends it. Only a ``Total`` past the first character of the joined row
@@ -69,11 +109,12 @@ def row_visibility(cells: DataFrame, spec: ViewSpec, expanded: DataFrame | None
     state = F.when(F.col("_collapsed"), F.lit(True)).when(F.instr("_text", TOTAL_LABEL) > 1, F.lit(False))
     chunks = _sorted(labels.withColumn("_state", state), axes, chunk_rows)
     earlier = Window.partitionBy("_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    summary = chunks.groupBy("_chunk").agg(F.max_by("_state", F.when(F.col("_state").isNotNull(), F.col("_at"))).alias("_end"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select("_chunk", F.last("_end", ignorenulls=True).over(before).alias("_start"))
+    end = F.max_by("_state", F.when(F.col("_state").isNotNull(), F.col("_at"))).cast("int") - 1
+    # Outside (-1) and inside a closed block (0): a chunk without any ending passes on what it gets.
+    ends = chunks.groupBy("_chunk").agg(F.array(F.coalesce(end, F.lit(-1)), F.coalesce(end, F.lit(0))).alias("_ends"))
+    carried = start_states(ends, chunk_block)
     judged = chunks.withColumn("_inside", F.last("_state", ignorenulls=True).over(earlier)).join(carried, "_chunk")
-    hidden = F.coalesce("_inside", "_start", F.lit(False))
+    hidden = F.coalesce("_inside", F.col("_start") >= 0)
     return judged.select(*[F.col(f"`{a.column}`") for a in axes], hidden.alias("hidden_row"))
 
 
@@ -90,13 +131,13 @@ def _walk_columns(run: pd.DataFrame, state: int) -> tuple[list[bool], int]:
 
 
 def column_visibility(cells: DataFrame, spec: ViewSpec, expanded: DataFrame | None = None, chunk_rows: int | None = None,
-                      **sorting) -> DataFrame:
+                      chunk_block: int | None = None, **sorting) -> DataFrame:
     """Grid columns with ``hidden_col``: a closed total column hides what follows, until a column that has ``Total``
     at the last total level of the closed one.
 
     A closed column that is itself hidden opens no block, so each column depends on the one before. Chunks of the
-    ordered columns are walked for every possible start state, the start states are linked, and each chunk is walked
-    once more with its own.
+    ordered columns are walked for every possible start state, these outcomes are composed (:func:`start_states`), and each chunk is walked
+    once more from its own.
     """
     axes = spec.col_axes
     depth = len(axes)
@@ -116,17 +157,7 @@ def column_visibility(cells: DataFrame, spec: ViewSpec, expanded: DataFrame | No
 
     narrow = chunks.select("_chunk", "_at", "_bits", "_last", "_collapsed")
     ends = narrow.groupBy("_chunk").applyInPandas(outcomes, "_chunk bigint, _ends array<int>")
-    # One entry per chunk of thousands of columns: a single pass carries the state from chunk to chunk.
-
-    def linked(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("_chunk")
-        starts, state = [], -1
-        for after in run["_ends"]:
-            starts.append(state)
-            state = int(after[state + 1])
-        return pd.DataFrame({"_chunk": run["_chunk"], "_start": starts})
-
-    starts = ends.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(linked, "_chunk bigint, _start int")
+    starts = start_states(ends, chunk_block)
 
     names = [a.column for a in axes]
     schema = ", ".join([*[f"`{n}` string" for n in names], "hidden_col boolean"])
@@ -160,8 +191,8 @@ def column_names(cells: DataFrame, spec: ViewSpec, separator: str = "\t") -> lis
 
 
 def _shown_value(cells: DataFrame):
-    """A total wins over a cell whose stored labels read the same."""
-    return F.max_by("value", F.col("is_total").cast("int")) if "is_total" in cells.columns else F.first("value")
+    """The widest total wins over what reads the same."""
+    return F.max_by("value", precedence(cells))
 
 
 def wide(cells: DataFrame, spec: ViewSpec, columns: list[str] | None = None, separator: str = "\t") -> DataFrame:
@@ -177,6 +208,23 @@ def wide(cells: DataFrame, spec: ViewSpec, columns: list[str] | None = None, sep
     return cells.withColumn("_across", text).groupBy(*rows).pivot("_across", names).agg(_shown_value(cells))
 
 
+def pages(cells: DataFrame, spec: ViewSpec, width: int = 100, **sorting) -> tuple[DataFrame, DataFrame]:
+    """A grid of any number of columns, cut into pages of ``width``: its headers and its pages.
+
+    Headers: ``page``, ``place``, and the column labels, in grid order. Pages: ``page``, the row labels, and a number per place, ``c0`` and on.
+    The order of the columns is worked out by tasks and the places have fixed names, so no column name passes through the driver.
+    """
+    cells = checkpointed(cells)
+    names = [a.column for a in spec.col_axes]
+    order = checkpointed(grid_order(cells, spec, rows=False, **sorting).select(
+        F.floor(F.col("position") / width).cast("bigint").alias("page"), (F.col("position") % width).cast("int").alias("place"), *[F.col(f"`{n}`") for n in names]
+    ))
+    placed = cells.join(order, names)
+    rows = [F.col(f"`{a.column}`") for a in spec.row_axes]
+    shown = placed.groupBy("page", *rows).pivot("place", list(range(width))).agg(_shown_value(cells))
+    return order, shown.select("page", *rows, *[F.col(f"`{i}`").alias(f"c{i}") for i in range(width)])
+
+
 def without_empty(grid: DataFrame, row_columns: list[str]) -> DataFrame:
     """Drop rows and columns of a wide table that hold no number."""
     grid = checkpointed(grid)

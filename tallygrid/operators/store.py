@@ -11,8 +11,7 @@ from .ordering import with_neighbour
 
 
 def _seq_value(layout: Layout) -> Column:
-    if len(layout.seq) == 1:
-        return F.col(f"`{layout.seq[0]}`")
+    """The order as one value that is never null, so that a version without ``seq`` counts, as the earliest one."""
     return F.struct(*[F.col(f"`{c}`") for c in layout.seq])
 
 
@@ -63,7 +62,7 @@ def changelog(df: DataFrame, layout: Layout, chunk: Column | None = None) -> Dat
     how finely the versions of a key are spread; without it, chunks come from the data (see :func:`with_neighbour`).
     """
     next_seq = with_neighbour(df, [layout.key], list(layout.seq), chunk, "_next", following=True)
-    own = _seq_value(layout)
+    own = F.col(f"`{layout.seq[0]}`") if len(layout.seq) == 1 else _seq_value(layout)
     entry = F.struct(own.alias("applied_seq"), F.lit(1).alias("sign"))
     undo = F.struct(F.col("_next").alias("applied_seq"), F.lit(-1).alias("sign"))
     steps = F.when(F.col("_next").isNull(), F.array(entry)).otherwise(F.array(entry, undo))

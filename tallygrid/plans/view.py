@@ -51,12 +51,13 @@ def transformed(df: DataFrame, layout: Layout, spec: ViewSpec) -> DataFrame:
 
 
 def view_cells(df: DataFrame, layout: Layout, spec: ViewSpec, measure: str = "double", rule: str = "documented",
-               only_visible: bool = False) -> DataFrame:
+               only_visible: bool = False, levels: bool = False) -> DataFrame:
     """All cells of a view over elements of which each key occurs in one version.
 
-    Columns: the column labels, the row labels, ``value``, ``is_total``, ``hidden``.
+    Columns: the column labels, the row labels, ``value``, ``is_total``, ``hidden``, and with ``levels`` how many labels a total stands
+    for. What goes on as records or as a grid needs it if labels may read ``Total``.
     """
-    result = c.with_totals(c.view_sums(transformed(df, layout, spec), layout, spec, measure), spec, rule)
+    result = c.with_totals(c.view_sums(transformed(df, layout, spec), layout, spec, measure), spec, rule, levels=levels)
     if only_visible:
         result = c.visible(result)
     if measure != "double":

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.labels import TOTAL_LABEL
 from ..model import Layout
 from ..operators.cells import labelled, summed
-from ..operators.changes import as_json, cell_changes, published, update_records
+from ..operators.changes import cell_changes
 from ..plans.spec import ViewSpec, total_sets
 
 # The send interval in milliseconds, and the fastest rate.
@@ -36,8 +36,11 @@ def running_cells(log: DataFrame, layout: Layout, spec: ViewSpec, measure: str =
     """Sums of a change log per cell; works on streams (update mode) and on tables alike.
 
     ``level`` is 0 for base cells and numbers the kinds of total cells. Each value row enters its cell and its total
-    cells, and every task sums its rows before the shuffle. Cells that fall back to zero stay.
+    cells, and every task sums its rows before the shuffle. Cells that fall back to zero stay. A transform needs whole elements,
+    which a change log does not have, so views with one are refused; :func:`tallygrid.streaming.live.live_records` takes them.
     """
+    if spec.transform is not None:
+        raise ValueError(f"view {spec.name}: a change log cannot be transformed")
     rows = labelled(log, layout, spec, measure, keep)
     variants = []
     for level, kept in enumerate([tuple(range(len(spec.axes))), *total_sets(spec, rule)]):
@@ -85,80 +88,54 @@ def snapshot(feed: DataFrame, keys: list[str]) -> DataFrame:
 def compact(spark: SparkSession, feed: str, states: str, keys: list[str]) -> int:
     """Fold the micro-batches published since the last call into a new full state, and return its last batch.
 
-    Reads the newest state and only the newer folders of the feed; both are partition-pruned.
+    Reads the newest state and only the newer folders of the feed; both are partition-pruned. Without any micro-batch
+    there is no state to write, and the result is -1.
     """
     before = _newest_state(spark, states)
-    after = spark.read.parquet(feed)
-    if before is not None:
+    after = _table(spark, feed)
+    if after is not None and before is not None:
         after = after.filter(F.col("batch") > before[0])
-    last = after.agg(F.max("batch")).first()[0]
+    last = None if after is None else after.agg(F.max("batch")).first()[0]
     if last is None:
-        return before[0]
+        return -1 if before is None else before[0]
     merged = after if before is None else before[1].unionByName(after)
     snapshot(merged, keys).write.mode("overwrite").parquet(f"{states}/batch={last}")
     return last
 
 
-def _newest_state(spark: SparkSession, states: str) -> tuple[int, DataFrame] | None:
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A folder of micro-batches, or None as long as it is missing or holds none."""
     try:
-        found = spark.read.parquet(states)
+        return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
+
+
+def _newest_state(spark: SparkSession, states: str) -> tuple[int, DataFrame] | None:
+    found = _table(spark, states)
+    if found is None:
+        return None
     last = found.agg(F.max("batch")).first()[0]
-    return last, found.filter(F.col("batch") == last)
+    return None if last is None else (last, found.filter(F.col("batch") == last))
 
 
 def current_state(spark: SparkSession, feed: str, states: str, keys: list[str]) -> DataFrame:
-    """What a consumer gets on attaching: the newest full state, brought up to date with the feed after it."""
-    after = spark.read.parquet(feed)
-    before = _newest_state(spark, states)
+    """What a consumer gets on attaching: the newest full state, brought up to date with the feed after it.
+
+    A feed without any micro-batch has no columns yet and is refused; :class:`tallygrid.streaming.live.Feed` serves consumers that come that early.
+    """
+    after, before = _table(spark, feed), _newest_state(spark, states)
+    if after is None and before is None:
+        raise ValueError(f"nothing is published in {feed}")
+    if after is None:
+        return snapshot(before[1], keys)
     if before is None:
         return snapshot(after, keys)
     return snapshot(before[1].unionByName(after.filter(F.col("batch") > before[0])), keys)
 
 
-def run_messages(cells: DataFrame, spec: ViewSpec, feed: str, checkpoint: str, rate: int | None = None) -> StreamingQuery | None:
-    """Publish change records, one folder of JSON records per micro-batch, next to the states they lead to.
-
-    Each micro-batch brings the cells it touched. They are compared with what was published before: base cells are
-    reported when new or different, totals when they moved by more than 1e-8, hidden cells never. A repeated micro-batch
-    replaces its own folders, and compares with the batches before it only.
-    """
-    if rate == 0:
-        return None
-    keys = spec.columns
-
-    def publish(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = published(batch.drop("level"), keys).drop("hidden")
-        before = _before(spark, f"{feed}/cells", number, keys)
-        touched = now.select(*[F.col(f"`{k}`") for k in keys])
-        earlier = now.limit(0) if before is None else before.join(touched, keys, "left_semi")
-        records = update_records(cell_changes(earlier, now, keys), spec)
-        as_json(records).write.mode("overwrite").parquet(f"{feed}/records/batch={number}")
-        now.write.mode("overwrite").parquet(f"{feed}/cells/batch={number}")
-
-    writer = cells.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(publish)
-    if rate is None:
-        return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=rate_interval(rate)).start()
-
-
-def _before(spark: SparkSession, cells: str, number: int, keys: list[str]) -> DataFrame | None:
-    """The cells as published before a micro-batch."""
-    if number == 0:
-        return None
-    try:
-        found = spark.read.parquet(cells)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return snapshot(found.filter(F.col("batch") < number), keys)
-
-
 def closed_epochs(cells: DataFrame, epoch: str) -> DataFrame:
     """All epochs but the last one, which is still open."""
     epochs = cells.select(epoch).distinct()

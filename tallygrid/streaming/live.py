@@ -14,6 +14,7 @@ or different are updated, cells that it does not have are deleted. From then on
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import or_
@@ -329,10 +330,11 @@ class Feed:
             return False
         return True
 
-    def start(self, records: DataFrame, rate: int | None = None) -> StreamingQuery | None:
+    def start(self, records: DataFrame, rate: int | None = None, partitions: int | None = None) -> StreamingQuery | None:
         """Publish the records of every micro-batch. Without ``rate``, run over what is there and end; a rate of 0 starts nothing.
 
-        A repeated micro-batch replaces its own folder. The rate may differ from start to start: stopping and starting changes it.
+        A repeated micro-batch replaces its own folder. The rate may differ from start to start: stopping and starting changes it. ``partitions`` is
+        the number of tasks that share the state, by default the session's shuffle partitions; the first start decides for the life of the feed.
         """
         if rate == 0:
             return None
@@ -344,15 +346,18 @@ class Feed:
 
         writer = records.writeStream.outputMode("append").option("checkpointLocation", self._path("checkpoint")).foreachBatch(publish)
         writer = writer.trigger(availableNow=True) if rate is None else writer.trigger(processingTime=rate_interval(rate))
-        configured = spark.conf.get(STATE_STORE, None)
-        spark.conf.set(STATE_STORE, ROCKSDB)
+        wanted = {STATE_STORE: ROCKSDB, **({SHUFFLE: str(partitions)} if partitions else {})}
+        configured = {name: spark.conf.get(name, None) for name in wanted}
+        for name, setting in wanted.items():
+            spark.conf.set(name, setting)
         try:
             return writer.start()
         finally:
-            if configured is None:
-                spark.conf.unset(STATE_STORE)
-            else:
-                spark.conf.set(STATE_STORE, configured)
+            for name, setting in configured.items():
+                if setting is None:
+                    spark.conf.unset(name)
+                else:
+                    spark.conf.set(name, setting)
 
     def change_rate(self, query: StreamingQuery | None, records: DataFrame, rate: int) -> StreamingQuery | None:
         """Go on at another rate from where ``query`` is; a rate of 0 pauses."""
@@ -436,6 +441,8 @@ class Feed:
         return state.select("user_map_key.key", "user_map_value.*")
 
 
+SHUFFLE = "spark.sql.shuffle.partitions"
+
 COUNTERS = "live counters"
 
 
@@ -477,6 +484,15 @@ class Counters(StreamingQueryListener):
         while len(self.batches) > self._keep:
             self.batches.pop(next(iter(self.batches)))
 
+    def wait_for(self, query: StreamingQuery, seconds: float = 60.0) -> None:
+        """Wait until the last micro-batch of a query is counted; progress is told a moment after it is made."""
+        last = query.lastProgress
+        until = time.monotonic() + seconds
+        while last is not None and COUNTERS in last.observedMetrics and (str(last.id), last.batchId) not in self.batches:
+            if time.monotonic() > until:
+                raise TimeoutError(f"micro-batch {last.batchId} is not told of")
+            time.sleep(0.05)
+
     def onQueryIdle(self, event) -> None:
         pass
 

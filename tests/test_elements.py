@@ -217,3 +217,10 @@ def test_attribute_names_need_no_data(spark):
     empty = spark.createDataFrame([], "invariant_key string, seq long")
     found = el.attribute_catalog(empty, Layout(core=("A",), perimeter=("B",)), counted=False).collect()
     assert [tuple(r) for r in found] == [("A", 0, True, None), ("B", 1, False, None)]
+
+
+def test_a_version_without_order_is_the_earliest(spark):
+    rows = [("a", None, "USD", [("m", None, 5.0)]), ("b", None, "CAD", []), ("b", 1, "USD", [("m", "x", 2.0)])]
+    found = st.latest(frame(spark, rows), LAYOUT)
+    assert tuples(found, "invariant_key", "seq", "CCY") == [("a", None, "USD"), ("b", 1, "USD")]
+    assert tuple(st.counts(frame(spark, rows), LAYOUT).first()) == (3, 2, 2)

@@ -8,7 +8,9 @@ from conftest import tuples
 from tallygrid.functions import display as d
 from tallygrid.operators import changes as ch
 from tallygrid.operators import grid as g
+from tallygrid.model import Layout
 from tallygrid.plans.spec import ViewSpec
+from tallygrid.plans.view import view_cells
 
 
 def one(spark, column):
@@ -198,3 +200,39 @@ def test_a_total_wins_over_a_label_that_reads_total(spark):
     assert sorted((r["rowKeys"][0], r["value"]) for r in records.collect()) == [("1Y", "3"), ("Total", "7")]
     grown = cells_of(spark, [("USD", "Total", 5.0, False, False), ("USD", "Total", 7.0, True, False), ("USD", "1Y", 3.0, False, False)])
     assert ch.cell_changes(cells, grown, ["CCY", "TENOR"]).count() == 0
+
+
+def test_the_widest_of_totals_that_read_the_same_counts(spark):
+    spec = ViewSpec("v", rows=("TENOR",), cols=("CCY",), totals=("TENOR", "CCY"))
+    layout = Layout(core=("CCY", "TENOR"))
+    rows = [("Total", "Total", 4.0), ("USD", "m", 3.0), ("Total", "m", -9.0)]
+    for order in (rows, rows[::-1]):
+        cells = view_cells(spark.createDataFrame(order, "CCY string, TENOR string, value double").coalesce(1), layout, spec, levels=True)
+        assert tuples(ch.published(cells, spec.columns).filter("CCY = 'Total' AND TENOR = 'Total'"), "value", "is_total") == [(-2.0, True)]
+        changes = ch.cell_changes(cells.limit(0), cells, spec.columns)
+        assert tuples(changes.filter("CCY = 'Total' AND TENOR = 'Total'"), "command", "value") == [("UPD", -2.0)]
+        assert tuples(g.wide(cells, spec).filter("TENOR = 'Total'"), "Total") == [(-2.0,)]
+
+
+def test_start_states_in_blocks_equal_a_walk(spark):
+    import random
+
+    rng = random.Random(3)
+    ends = [(c, [rng.randrange(-1, 3) for _ in range(4)]) for c in sorted(rng.sample(range(5000), 60))]
+    state, wanted = -1, []
+    for chunk, after in ends:
+        wanted.append((chunk, state))
+        state = after[state + 1]
+    for block in (3, 100, 10_000):
+        found = g.start_states(spark.createDataFrame(ends, "_chunk bigint, _ends array<int>").repartition(3), block)
+        assert sorted((r._chunk, r._start) for r in found.collect()) == wanted
+
+
+def test_pages_of_many_columns(spark):
+    spec = ViewSpec("v", rows=("K",), cols=("C",))
+    cells = spark.range(50_000).select(F.format_string("c%06d", "id").alias("C"), F.concat(F.lit("k"), F.col("id") % 3).alias("K"), F.col("id").cast("double").alias("value"))
+    headers, grid = g.pages(cells, spec, 500)
+    assert (headers.count(), headers.agg(F.max("page")).first()[0], len(grid.columns)) == (50_000, 99, 502)
+    assert grid.count() == 300
+    assert tuples(headers.filter("C = 'c012345'"), "page", "place") == [(24, 345)]
+    assert tuples(grid.filter("page = 24 AND K = 'k0'"), "c345") == [(12345.0,)]

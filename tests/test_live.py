@@ -46,7 +46,7 @@ class Run:
 
     def give(self, rows):
         self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.work}/in")
-        query = self.feed.start(self.stream())
+        query = self.feed.start(self.stream(), partitions=2)
         query.awaitTermination()
         return query
 
@@ -63,7 +63,8 @@ def batch_cells(spark, rows, views):
 def test_feed_equals_batch_after_every_micro_batch(spark):
     rows, run = elements(160), Run(spark, VIEWS)
     for a, b in ((0, 60), (60, 61), (61, 160)):
-        run.give(random.Random(a).sample(rows[a:b], b - a))
+        query = run.give(random.Random(a).sample(rows[a:b], b - a))
+        assert len(query.lastProgress.stateOperators) == 2  # versions, and the sums of all views
         attached, position = run.feed.attach()
         assert cells(attached) == batch_cells(spark, rows[:b], VIEWS)
     assert position == 2
@@ -96,7 +97,7 @@ def test_cost_does_not_grow_with_age(spark):
     for i in range(50):
         spark.createDataFrame([(f"k{i % 5}", i, "USD", 0, None, [("m", 1.0)])], SCHEMA).coalesce(1).write.mode("append").parquet(f"{run.work}/in")
     source = stream_files(spark, f"{run.work}/in", SCHEMA, max_files=1)
-    query = run.feed.start(live.live_records(source, LAYOUT, VIEWS[:1], buckets=2))
+    query = run.feed.start(live.live_records(source, LAYOUT, VIEWS[:1], buckets=2), partitions=1)
     query.awaitTermination()
     inputs = [p.numInputRows for p in query.recentProgress if p.numInputRows]
     assert inputs == [1] * 50
@@ -104,12 +105,6 @@ def test_cost_does_not_grow_with_age(spark):
     assert run.feed.position() == 49
 
 
-def test_one_state_store_for_all_views(spark):
-    run = Run(spark, VIEWS)
-    query = run.give(elements(20))
-    assert len(query.lastProgress.stateOperators) == 2
-
-
 BASED = ViewSpec("moves", rows=("METRIC",), cols=("CCY",), totals=("CCY",), transform="against baseline", transform_arg="2.0")
 
 

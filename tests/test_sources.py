@@ -229,3 +229,21 @@ def test_tsv_roundtrip_of_empty_labels(spark, tmp_path):
     tsv.write_tsv(rows, path, ["ID", "A", "B"], "v")
     back, _ = tsv.read_tsv(spark, path, float32=False)
     assert tuples(back, "invariant_key", "A", "B", "value") == [("1", "", "x", 1.5), ("2", "", "y", 2.5)]
+
+
+def test_many_requests_equal_one_by_one(spark, newest):
+    texts = [
+        "CCY=USD", "CCY=USD\tCAD\fTENOR=1Y", "CCY=Total\fTENOR=1Y", "CCY=x\fCCY=CAD", "nothing", "=x\fBOOK=-", "BOOK=Alpha\t", "FLOOR=1", "TENOR=-", "CCY=\t", "METRIC=NPV\fBOOK=Alpha", "",
+    ]
+    renaming = ViewSpec("r", rows=("TENOR", "MADE UP"), cols=("CCY",), renames={"CCY": {"USD": "D", "CAD": "D"}}, filters={"METRIC": ("IR",)})
+    texts += ["CCY=D", "CCY=D\tUSD\fMADE UP=MADE UP"]
+    specs = {"v": SPEC, "r": renaming, "plain": ViewSpec("plain")}
+    asked = [(f"{v} {i}", v, t) for v in specs for i, t in enumerate(texts)]
+    requests = spark.createDataFrame(asked, "request_id string, view string, request string")
+    found = {}
+    for r in dr.drill_many(newest, LAYOUT, specs, requests, 3).orderBy("request_id", "rank").collect():
+        found.setdefault(r["request_id"], []).append(tuple(r)[2:])
+    for name, view, text in asked:
+        assert found.get(name, []) == [tuple(r) for r in dr.drill(newest, LAYOUT, specs[view], text, 3).collect()], (view, text)
+    with pytest.raises(Exception, match="no view named w"):
+        dr.drill_many(newest, LAYOUT, specs, spark.createDataFrame([("a", "w", "CCY=USD")], requests.schema), 3).collect()

@@ -193,3 +193,50 @@ def test_the_newest_rows_of_a_key_may_have_nulls_in_their_order(spark):
     rows = spark.createDataFrame([("k", 1, None, 1.0), ("k", 1, None, 2.0), ("k", 0, 5, 3.0)], "invariant_key string, a int, b int, value double")
     layout = Layout(seq=("a", "b"))
     assert tuples(st.latest_rows(rows, layout), "value") == [(1.0,), (2.0,)]
+
+
+def test_compacting_a_feed_without_batches(spark):
+    work = new_work_dir(spark, "compact")
+    assert sc.compact(spark, f"{work}/feed", f"{work}/states", ["k"]) == -1
+    with pytest.raises(ValueError):
+        sc.current_state(spark, f"{work}/feed", f"{work}/states", ["k"])
+    for number in (0, 1):
+        spark.createDataFrame([("a", float(number))], "k string, value double").write.parquet(f"{work}/feed/batch={number}")
+        for _ in range(2):
+            assert sc.compact(spark, f"{work}/feed", f"{work}/states", ["k"]) == number
+    assert tuples(sc.current_state(spark, f"{work}/feed", f"{work}/states", ["k"])) == [("a", 1.0)]
+
+
+def test_a_change_log_takes_no_transform(spark):
+    log = spark.createDataFrame([], "CCY string, METRIC string, TENOR string, value double")
+    with pytest.raises(ValueError):
+        sc.running_cells(log, LAYOUT, ViewSpec("v", rows=("CCY",), transform="against baseline"))
+
+
+FLAT = Layout(core=("CCY",), perimeter=("METRIC",))
+
+
+def flat_log(spark, batches, extra=""):
+    work = new_work_dir(spark, "flat")
+    schema = f"invariant_key string, seq long, CCY string, METRIC string, value double{extra}"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{work}/in")
+        log = upsert.changelog_stream(stream_files(spark, f"{work}/in", schema), FLAT, buckets=4)
+        upsert.run_changelog(log, f"{work}/log", f"{work}/cp").awaitTermination()
+    return spark.read.schema(log.schema).parquet(f"{work}/log").groupBy("invariant_key", "seq", "CCY", "METRIC").agg(F.sum("value").alias("value")).filter("value <> 0")
+
+
+def test_flat_rows_without_key_or_order_stay(spark):
+    rows = [(None, 1, "USD", "m", 1.0), (None, 2, "USD", "m", 2.0), ("a", None, "USD", "m", 3.0), ("b", None, None, None, 4.0), ("b", 0, "CAD", "n", 5.0)]
+    assert tuples(flat_log(spark, [rows[:3], rows[3:]])) == [(None, 2, "USD", "m", 2.0), ("a", None, "USD", "m", 3.0), ("b", 0, "CAD", "n", 5.0)]
+
+
+def test_rows_sent_again_add_nothing(spark):
+    first = [("a", 1, "USD", "m", 1.0), ("a", 1, "USD", "m", 1.0), ("a", 1, "USD", "n", 2.0)]
+    assert tuples(flat_log(spark, [first, first, [("a", 1, "USD", "o", 7.0)], first[:1]])) == [
+        ("a", 1, "USD", "m", 2.0), ("a", 1, "USD", "n", 2.0), ("a", 1, "USD", "o", 7.0)]
+
+
+def test_points_are_told_apart_by_position(spark):
+    one, two = ("a", 1, "USD", "m", 1.0, 0), ("a", 1, "USD", "m", 1.0, 1)
+    assert tuples(flat_log(spark, [[one], [two, one], [two], [two, two]], ", pos int")) == [("a", 1, "USD", "m", 2.0)]

@@ -10,7 +10,7 @@ from tallygrid.plans.spec import ViewSpec
 from tallygrid.plans.view import view_cells
 from tallygrid.session import checkpointed
 
-from .inputs import FLAGS, FLAGS_SQL, MONEY, flagged_lines, table, total
+from .inputs import EVENTS, EVENTS_SQL, FLAGS, FLAGS_SQL, MONEY, events, flagged_lines, table, total
 from .registry import query
 
 SHOWN = """CASE WHEN c_acctbal < 0
@@ -243,3 +243,22 @@ def drop_empty(spark, sf):
     kept = F.concat_ws("/", "l_returnflag", "l_linestatus") == "A/F"
     emptied = cells.withColumn("value", F.when(kept & (F.col("SHIP_YEAR") < "1999"), F.col("value")))
     return g.without_empty(g.wide(emptied, PIVOT, separator="/"), ["SHIP_YEAR"])
+
+
+WIDE = ViewSpec("hours", rows=("event_type",), cols=("DAY", "HOUR"))
+PAGE = 50
+
+
+@query(f"""
+SELECT CAST(col // {PAGE} AS BIGINT) AS page, CAST(col % {PAGE} AS INT) AS place, DAY, HOUR, event_type, value FROM (
+  SELECT dense_rank() OVER (ORDER BY DAY, HOUR) - 1 AS col, DAY, HOUR, event_type, {total('value')}
+  FROM (SELECT *, lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS HOUR FROM ({EVENTS_SQL})) GROUP BY DAY, HOUR, event_type)
+""")
+def grid_pages(spark, sf):
+    """A grid of hundreds of columns, one per hour, in pages."""
+    rows = events(spark, sf).withColumn("HOUR", F.lpad(F.hour("ts").cast("string"), 2, "0"))
+    cells = view_cells(rows, EVENTS.with_(core=("event_type", "DAY", "HOUR")), WIDE, MONEY)
+    headers, grid = g.pages(cells, WIDE, PAGE)
+    places = F.array(*[F.struct(F.lit(i).alias("place"), F.col(f"c{i}").alias("value")) for i in range(PAGE)])
+    long = grid.select("page", "event_type", F.inline(places)).filter("value is not null")
+    return long.join(headers, ["page", "place"]).select("page", "place", "DAY", "HOUR", "event_type", "value")

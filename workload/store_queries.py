@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallygrid.model import Layout
+from tallygrid.functions.display import accounting
 from tallygrid.operators import difference as diff
+from tallygrid.operators import drill as dr
 from tallygrid.operators import elements as el
 from tallygrid.operators import store as st
 from tallygrid.operators.changes import as_json, cell_changes, update_records, vanished, vanished_axis_records
 from tallygrid.operators.drill import drill, drill_from
+from tallygrid.operators.grid import wide
 from tallygrid.operators.ordering import numbered
 from tallygrid.plans.spec import ViewSpec
 from tallygrid.plans.view import all_views, view_cells
@@ -490,3 +493,77 @@ def multi_view_long_rename(spark, sf):
     )
     cells = all_views(table(spark, sf, "customer"), layout, specs, MONEY)
     return cells.select("view", F.col("col_keys")[0].alias("col_key"), F.col("row_keys")[0].alias("row_key"), "value")
+
+
+@query(f"""
+SELECT user_id, CASE WHEN user_id % 7 <> 0 THEN ts END AS ts, event_type, value, 1 AS points FROM ({NEWEST_SQL})
+""")
+def missing_seq(spark, sf):
+    """Keys whose only version has no order keep what it holds, and their points count."""
+    newest = st.latest(events(spark, sf), EVENTS).withColumn("ts", F.when(F.col("user_id") % 7 != 0, F.col("ts")))
+    single = EVENTS.with_(seq=("ts",))
+    stored = st.counts(newest, single).select((F.col("points") / F.col("elements")).cast("int").alias("points"))
+    return st.latest(newest, single).select("user_id", "ts", "event_type", "value").join(stored, F.lit(True))
+
+
+TIES = ViewSpec("ties", rows=("KIND",), cols=("DAY",), totals=("KIND", "DAY"))
+
+TIES_SQL = f"""
+  SELECT CASE WHEN GROUPING(D) = 1 THEN 'Total' ELSE D END AS day_label, CASE WHEN GROUPING(K) = 1 THEN 'Total' ELSE K END AS kind_label,
+         GROUPING(D) + GROUPING(K) AS level, {total('value')}
+  FROM (SELECT CASE WHEN day(ts) = 1 THEN 'Total' ELSE DAY END AS D, CASE WHEN event_type = 'click' THEN 'Total' ELSE event_type END AS K, value FROM ({EVENTS_SQL}))
+  GROUP BY GROUPING SETS ((D, K), (D), (K), ())
+  QUALIFY row_number() OVER (PARTITION BY day_label, kind_label ORDER BY level DESC) = 1
+"""
+
+
+@query(f"""
+SELECT 'record' AS source, day_label AS "DAY", kind_label AS "KIND", format('{{:,}}', CAST(round_even(value, 0) AS BIGINT)) AS value FROM ({TIES_SQL})
+UNION ALL SELECT 'change', day_label, kind_label, format('{{:,}}', CAST(round_even(value, 0) AS BIGINT)) FROM ({TIES_SQL}) WHERE value > 1e-8
+UNION ALL SELECT 'grid', day_label, kind_label, format('{{:,}}', CAST(round_even(value, 0) AS BIGINT)) FROM ({TIES_SQL})
+""")
+def total_ties(spark, sf):
+    """Stored labels that read ``Total`` on both sides: of everything that reads the same, the widest total is shown."""
+    named = EVENTS.with_(core=("KIND", "DAY"))
+    rows = events(spark, sf).select(
+        F.when(F.col("event_type") == "click", "Total").otherwise(F.col("event_type")).alias("KIND"), F.when(F.dayofmonth("ts") == 1, "Total").otherwise(F.col("DAY")).alias("DAY"), "value"
+    )
+    cells = checkpointed(view_cells(rows, named, TIES, MONEY, levels=True))
+    records = update_records(cells, TIES).select(F.lit("record").alias("source"), F.col("colKeys")[0].alias("DAY"), F.col("rowKeys")[0].alias("KIND"), "value")
+    changes = update_records(cell_changes(cells.limit(0), cells, TIES.columns), TIES).select(F.lit("change").alias("source"), F.col("colKeys")[0].alias("DAY"), F.col("rowKeys")[0].alias("KIND"), "value")
+    grid = wide(cells, TIES)
+    across = [c for c in grid.columns if c != "KIND"]
+    long = grid.select("KIND", F.explode(F.create_map(*[x for c in across for x in (F.lit(c), F.col(f"`{c}`"))])).alias("DAY", "value")).filter("value is not null")
+    return records.unionByName(changes).unionByName(long.select(F.lit("grid").alias("source"), "DAY", "KIND", accounting(F.col("value")).alias("value")))
+
+
+HOURS = EVENTS.with_(key="event_id", seq=("ts",), core=("event_type", "DAY", "HOUR"))
+HOURS_SQL = f"SELECT *, lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS HOUR FROM ({EVENTS_SQL})"
+HOUR_VIEW = ViewSpec("hours", rows=("event_type",), cols=("DAY", "HOUR", "SITE"), filters={"event_type": ("click", "view", "purchase")},
+                     renames={"event_type": {"click": "visit", "view": "visit"}})
+
+
+def _hours(spark, sf):
+    return events(spark, sf).withColumn("HOUR", F.lpad(F.hour("ts").cast("string"), 2, "0"))
+
+
+@query(f"""
+WITH e AS ({HOURS_SQL}), asked AS (
+  SELECT 'a ' || DAY || ' ' || HOUR AS request_id, * FROM e WHERE event_type IN ('click', 'view', 'purchase')
+  UNION ALL SELECT 'b ' || HOUR AS request_id, * FROM e WHERE event_type IN ('click', 'view')
+  UNION ALL SELECT 'c ' || DAY AS request_id, * FROM e WHERE event_type IN ('click', 'view', 'error', 'visit'))
+SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY ts DESC, event_id) AS INT) AS rank, value, ts, event_id, event_type, DAY, HOUR
+FROM asked QUALIFY rank <= 3
+""")
+def drill_many(spark, sf):
+    """Hundreds of cells drilled in one pass: by day and hour, by a renamed label, and by a list; made-up labels ask nothing, unknown ones match nothing."""
+    rows = _hours(spark, sf)
+    asked = [
+        (F.concat_ws(" ", F.lit("a"), "d", "h"), F.concat(F.lit("DAY="), "d", F.lit("\fHOUR="), "h", F.lit("\fSITE=x"))),
+        (F.concat_ws(" ", F.lit("b"), "h"), F.concat(F.lit("event_type=visit\fHOUR="), "h", F.lit("\fDAY=Total"))),
+        (F.concat_ws(" ", F.lit("c"), "d"), F.concat(F.lit("nothing\fevent_type=x\fevent_type=error\tvisit\t\fDAY="), "d")),
+        (F.concat_ws(" ", F.lit("none"), "d"), F.concat(F.lit("FLOOR=1\fDAY="), "d")),
+    ]
+    times = rows.select(F.col("DAY").alias("d"), F.col("HOUR").alias("h")).distinct()
+    requests = times.select(F.inline(F.array(*[F.struct(i.alias("request_id"), r.alias("request")) for i, r in asked]))).distinct().withColumn("view", F.lit("hours"))
+    return dr.drill_many(rows, HOURS, {"hours": HOUR_VIEW}, requests, 3)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallygrid.functions.display import accounting
 from tallygrid.operators.elements import flatten
 from tallygrid.operators.store import latest
 from tallygrid.plans.spec import ViewSpec
@@ -13,6 +14,7 @@ from tallygrid.sources.feeds import stream_files
 from tallygrid.streaming import cells as sc
 from tallygrid.streaming import upsert
 
+from .feeds import fed
 from .inputs import EVENTS, EVENTS_SQL, MONEY, PAIRS, PAIRS_SQL, pairs, table, total
 from .registry import query
 from .store_queries import NEWEST_SQL
@@ -203,23 +205,12 @@ SELECT 'types' AS "viewName", 'UPD' AS command, CASE WHEN GROUPING(event_type) =
 FROM ({EVENTS_SQL}) GROUP BY GROUPING SETS ((DAY, event_type), (DAY))
 """)
 def stream_messages(spark, sf):
-    """Change records of a stream that arrives in several micro-batches; the last record of each cell tells its number."""
-    work = new_work_dir(spark, "messages")
-    source = _batches(spark, sf, work)
-    cells = sc.running_cells(source, EVENTS, MESSAGES, MONEY)
-    sc.run_messages(cells, MESSAGES, f"{work}/feed", f"{work}/checkpoint").awaitTermination()
-    schema = "viewName string, command string, rowKeys array<string>, colKeys array<string>, value string"
-    records = spark.read.parquet(f"{work}/feed/records").select("batch", F.from_json("value", schema).alias("r"))
-    flat = records.select("batch", "r.viewName", F.col("r.rowKeys")[0].alias("row_key"), F.col("r.colKeys")[0].alias("col_key"), "r.command", "r.value")
-    newest = flat.groupBy("viewName", "row_key", "col_key").agg(F.max_by(F.struct("command", "value"), "batch").alias("n"))
-    return newest.select("viewName", "n.command", "row_key", "col_key", "n.value")
-
-
-def _batches(spark, sf, work):
-    """The events as a stream of three files, one per micro-batch, split by the day of the month."""
-    events = table(spark, sf, "events")
-    for part in range(3):
-        events.filter(F.dayofmonth("ts") % 3 == part).coalesce(1).write.mode("append").parquet(f"{work}/in")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
-    day = F.to_date("ts").cast("string").alias("DAY")
-    return source.select("user_id", "ts", "event_id", "event_type", day, "value")
+    """Change records of a feed that arrives in several micro-batches; the last record of each cell tells its number.
+
+    Every event is an element of its own here, so the feed's sums are those of all events."""
+    own = EVENTS.with_(key="event_id", seq=("ts",))
+    feed, _ = fed(spark, sf, [MESSAGES], own)
+    newest = feed.records().groupBy("view", "col_keys", "row_keys").agg(F.max_by(F.struct("command", "value"), "batch").alias("n"))
+    return newest.select(
+        F.col("view").alias("viewName"), "n.command", F.col("row_keys")[0].alias("row_key"), F.col("col_keys")[0].alias("col_key"), accounting(F.col("n.value")).alias("value")
+    )
