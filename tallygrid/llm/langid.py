@@ -273,11 +273,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return own.mapInArrow(_predictions(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with a struct column ``language_found`` (``lang_pred``, ``score``), for filters on the same rows."""
+def judged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` as a struct ``row``, with ``lang_pred`` and ``score``: whatever the columns of ``docs`` are called, nothing clashes."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     schema = StructType([packed.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    found = packed.mapInArrow(_predictions(model), schema)
-    return found.select("row.*", F.struct("lang_pred", "score").alias("language_found"))
+    return packed.mapInArrow(_predictions(model), schema)
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with a struct column ``language_found`` (``lang_pred``, ``score``); ``docs`` must not have one of that name (see :func:`judged`)."""
+    return judged(docs, model, text_col).select("row.*", F.struct("lang_pred", "score").alias("language_found"))

@@ -10,8 +10,8 @@ Queries travel in blocks to every block of vectors of their length, so a task ho
 query; the best of all blocks are exact.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id. A query's own id is no candidate,
-so rows that repeat it are none either; other repeated rows each count. Ties go to the smaller id. Components are whole numbers within
-2^20, which keeps scores within 64 bits. Extra columns are ignored.
+so rows that repeat it are none either; other repeated rows each count. Ties go to the smaller id. A vector whose components could take a
+score beyond 64 bits is an error. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,12 @@ def whole_numbers(vector: list | None) -> np.ndarray | None:
     if not vector or any(x is None for x in vector):
         return None
     values = np.array(vector, dtype=np.float64)
-    return np.floor(1024.0 * values).astype(np.int64) if np.isfinite(values).all() else None
+    if not np.isfinite(values).all():
+        return None
+    # A score adds as many products as there are components, each within the square of the largest one.
+    if np.abs(values).max() > (2.0**62 / len(values)) ** 0.5 / 1024.0 - 1.0:
+        raise ValueError("components too large for scores of 64 bits")
+    return np.floor(1024.0 * values).astype(np.int64)
 
 
 class ImpactIndex:

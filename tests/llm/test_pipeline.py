@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert numbers == list(range(1, 14)) and set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
 def test_warc_query_equals_its_sql(spark):
@@ -56,3 +56,15 @@ def test_stages_bear_edge_cases(spark, tmp_path):
             stage(spark, docs, SF).write.parquet(path)
             docs = spark.read.parquet(path)
             assert name == "tokens" or docs.columns == columns
+
+
+def test_a_column_of_a_found_name_and_rows_without_id(spark):
+    docs = spark.createDataFrame(
+        [(None, "a line of its own with quite some words", "x"), (1, "one two three four five six seven", "y"), (1, "one two three four five six seven", "y"),
+         (2, "one two three four five six seven", "z")], "doc_id long, text string, language_found string"
+    )
+    kept = cp.near_duplicates(spark, docs, SF)
+    assert sorted([tuple(r) for r in kept.collect()], key=str) == sorted([tuple(r) for r in docs.take(2)], key=str)
+    labelled = spark.read.parquet(f"{SF}/documents.parquet").withColumn("language_found", __import__("pyspark").sql.functions.lit("kept"))
+    found = cp.language(spark, labelled, SF)
+    assert found.columns == labelled.columns and found.first()["language_found"] == "kept"

@@ -148,3 +148,10 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_BYTES", 1)
     assert sorted(map(tuple, dc.overlaps(docs, benchmark).collect())) == want and len(want) == 6
     assert dc.without_contaminated(docs, benchmark).count() == 0
+
+
+def test_components_that_overflow_scores_are_an_error():
+    assert topk.whole_numbers([1e5, -1e5, 0.25]).tolist() == [102400000, -102400000, 256]
+    with pytest.raises(ValueError):
+        topk.whole_numbers([3e9, 1.0])
+    assert topk.whole_numbers([float("inf"), 1.0]) is None
