@@ -1,14 +1,13 @@
 """From raw documents to token files: five stages, each applying one operator of ``tallygrid.llm`` to what the stage before has kept.
 
 1. ``language``: documents without letters, or whose language is uncertain, go.
-2. ``near_duplicates``: of every class of documents linked by a shingle similarity of 0.75 or more, the smallest id stays. Rows that repeat
-   an id stay or go together; documents without words are no one's duplicates.
+2. ``near_duplicates``: of every class of documents linked by a shingle similarity of 0.75 or more, the smallest id stays. Of rows that repeat
+   an id and a text one stays; documents without words are no one's duplicates, and neither are rows without an id.
 3. ``decontaminated``: documents that overlap with a benchmark item go.
 4. ``mixed``: documents are sampled to tempered shares of sources, languages and topics.
 5. ``tokens``: the sample is written as range-coded token ids and read back; one row per document.
 
-All stages but the last return the columns of documents. Rows with a null id pass the first stage only: the second returns rows that have
-an id. Null and empty texts go in the first stage (they have no letters). Empty tables give empty results.
+All stages but the last return the columns of documents, whatever their names. Rows with a null id pass the first two stages as any others. Null and empty texts go in the first stage (they have no letters). Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,16 +29,19 @@ SHARE = 0.8
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a score of at least ``LEAST_SCORE``."""
     model = langid.train(docs, public_file(PIECES))
-    found = langid.with_language(docs, model)
-    kept = (F.col("language_found.lang_pred") != langid.UNKNOWN_LANGUAGE) & (F.col("language_found.score") >= LEAST_SCORE)
-    return found.filter(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = langid.judged(docs, model)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN_LANGUAGE) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each class."""
     classes = jaccard_join.similar_documents(docs.select("doc_id", "text"))
     smallest = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(smallest, "doc_id", "left_semi")
+    kept = docs.join(smallest, "doc_id", "left_semi")
+    repeated = kept.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.unionByName(docs.filter("doc_id is null")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
