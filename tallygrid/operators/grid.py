@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.display import parse_accounting, sort_key
 from ..functions.labels import TOTAL_LABEL, join_key
 from ..plans.spec import Axis, ViewSpec
-from ..session import checkpointed
+from ..session import checkpointed, ship
 from .changes import precedence
 from .ordering import ordered_chunks, with_index
 
@@ -87,6 +87,7 @@ def start_states(ends: DataFrame, block: int | None = None) -> DataFrame:
     What chunks do to a state can be put together, so runs of ``block`` chunks are composed into one, these again, and so on, and the start
     states are handed back down: no task holds more than ``block`` chunks.
     """
+    ship(ends.sparkSession)
     block = block or COMPOSED
     grouped = ends.withColumn("_block", F.floor(F.col("_chunk") / block).cast("bigint"))
     composed = checkpointed(grouped.groupBy("_block").applyInPandas(_composed, "_chunk bigint, _ends array<int>"))

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import ship
+
 FORMAT = "pushed_elements"
 _SEGMENT = ".arrow"
 
@@ -131,5 +133,5 @@ class PushedElements(DataSource):
 
 def pushed(spark: SparkSession, folder: str, schema: T.StructType | str, **options) -> DataFrame:
     """What producers push to a folder, as a stream. Elements are told apart and ordered by their own key and order columns."""
-    spark.dataSource.register(PushedElements)
+    ship(spark).dataSource.register(PushedElements)
     return spark.readStream.format(FORMAT).schema(_schema(schema)).options(**options).load(folder)

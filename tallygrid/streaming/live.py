@@ -34,7 +34,6 @@ from ..operators.difference import BASELINE_SUFFIX
 from ..operators.elements import flatten
 from ..plans.spec import ViewSpec, total_sets
 from ..plans.view import BASELINE_TRANSFORM, baseline_factor, transformed
-from ..session import ship
 from .cells import rate_interval
 from .upsert import BASELINE, OWN, ROCKSDB, STATE_STORE, _body_type, bodies, signed_versions
 
@@ -338,7 +337,7 @@ class Feed:
         """
         if rate == 0:
             return None
-        spark = ship(self._spark)
+        spark = self._spark
         target = self._path("records")
 
         def publish(batch: DataFrame, number: int) -> None:

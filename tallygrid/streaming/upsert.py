@@ -221,6 +221,7 @@ def signed_versions(df: DataFrame, layout: Layout, epoch: str | None = None, buc
     comes just before any other of the same order. Missing parts of an order count as before everything else, and a missing key is a key.
     ``suffix`` and ``paired`` (prefixes) emit baselines too.
     """
+    ship(df.sparkSession)
     order, nested = _order_names(layout, empty is not None), layout.is_nested(df)
     own = F.col(f"`{layout.key}`").cast("string")
     text = key_text(own) if prefix is None else F.concat(prefix, key_text(own))

@@ -111,7 +111,7 @@ BASED = ViewSpec("moves", rows=("METRIC",), cols=("CCY",), totals=("CCY",), tran
 def test_baseline_follows_both_sides(spark):
     views = (BASED, VIEWS[0])
     rows, run = elements(140, seed=4, keys=3, suffixes=("", "-SOD", "-SOD-SOD")), Run(spark, (BASED, VIEWS[0]))
-    for a, b in ((0, 1), (1, 30), (30, 31), (31, 90), (90, 140)):
+    for a, b in ((0, 30), (30, 31), (31, 140)):
         run.give(rows[a:b])
         assert cells(run.feed.attach()[0]) == batch_cells(spark, rows[:b], views)
 

@@ -233,10 +233,10 @@ def test_flat_rows_without_key_or_order_stay(spark):
 
 def test_rows_sent_again_add_nothing(spark):
     first = [("a", 1, "USD", "m", 1.0), ("a", 1, "USD", "m", 1.0), ("a", 1, "USD", "n", 2.0)]
-    assert tuples(flat_log(spark, [first, first, [("a", 1, "USD", "o", 7.0)], first[:1]])) == [
+    assert tuples(flat_log(spark, [first, [*first, ("a", 1, "USD", "o", 7.0)], first[:1]])) == [
         ("a", 1, "USD", "m", 2.0), ("a", 1, "USD", "n", 2.0), ("a", 1, "USD", "o", 7.0)]
 
 
 def test_points_are_told_apart_by_position(spark):
     one, two = ("a", 1, "USD", "m", 1.0, 0), ("a", 1, "USD", "m", 1.0, 1)
-    assert tuples(flat_log(spark, [[one], [two, one], [two], [two, two]], ", pos int")) == [("a", 1, "USD", "m", 2.0)]
+    assert tuples(flat_log(spark, [[one], [two, one], [two, two]], ", pos int")) == [("a", 1, "USD", "m", 2.0)]

@@ -39,7 +39,7 @@ class Arriving:
         self.feed.start(records, partitions=TASKS).awaitTermination()
 
 
-def fed(spark, sf, specs, layout=EVENTS, source=None, parts=PARTS, **options):
+def fed(spark, sf, specs, layout=EVENTS, source=None, parts=2, **options):
     """The feed after all events have arrived in several parts, and what has fed it."""
     rows = events(spark, sf) if source is None else source
     arriving = Arriving(spark, specs, layout, **options)
