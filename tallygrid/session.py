@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -95,3 +97,11 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         context._tallygrid_shipped = archive
     return spark
+
+
+def by_value(module: str) -> None:
+    """Have the functions and classes of a module travel whole.
+
+    Spark plans stateful operators and Python sources of streams in processes that do not get the files sent by :func:`ship`.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])

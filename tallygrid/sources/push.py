@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import ship
+from ..session import by_value, ship
+
+by_value(__name__)
 
 FORMAT = "pushed_elements"
 _SEGMENT = ".arrow"

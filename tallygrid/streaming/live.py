@@ -34,9 +34,12 @@ from ..operators.difference import BASELINE_SUFFIX
 from ..operators.elements import flatten
 from ..plans.spec import ViewSpec, total_sets
 from ..plans.view import BASELINE_TRANSFORM, baseline_factor, transformed
+from ..session import by_value
 from .cells import rate_interval
 from .upsert import BASELINE, OWN, ROCKSDB, STATE_STORE, _body_type, bodies, signed_versions
 
+by_value(__name__)
+
 # Markers in the feed: they tell where the batch of an epoch begins and ends.
 OPEN, CLOSE = "open", "close"
 

@@ -24,7 +24,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..model import Layout
 from ..operators.elements import flatten
-from ..session import ship
+from ..session import by_value, ship
+
+by_value(__name__)
 
 # Groups that share the versions superseded within a batch of rows.
 SPREAD = 256

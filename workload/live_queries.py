@@ -28,6 +28,8 @@ TYPES = ViewSpec("types", rows=("event_type",), cols=("DAY",), totals=("event_ty
 DAYS = ViewSpec("days", rows=("DAY",), filters={"event_type": ("click", "view")})
 ACTIONS = ViewSpec("actions", rows=("event_type",), renames={"event_type": {"click": "visit", "view": "visit"}})
 
+ACTS = ViewSpec("acts", rows=("event_type",))
+
 TYPES_SQL = f"""
 SELECT 'types' AS view, DAY AS col_key, CASE WHEN GROUPING(event_type) = 1 THEN 'Total' ELSE event_type END AS row_key,
        GROUPING(event_type) = 1 AS is_total, {total('value')}
@@ -237,3 +239,27 @@ def stream_push(spark, sf):
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("elements"), F.countDistinct("event_id").alias("different"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value")
     )
+
+
+@query(f"""
+SELECT event_type, true AS bounded, {total('value')} FROM ({NEWEST_SQL}) GROUP BY ALL {NOT_ZERO}
+""")
+def stream_paced(spark, sf):
+    """A feed at a rate, in micro-batches of at most one file, that is paused and goes on at another rate."""
+    arriving = Arriving(spark, [ACTS])
+    rows = events(spark, sf)
+
+    def records():
+        source = stream_files(spark, f"{arriving.work}/in", rows.schema, max_files=1)
+        return live.live_records(source, EVENTS, [ACTS], MONEY, buckets=8)
+
+    rows.filter(part_of(2) == 0).repartition(2).write.mode("append").parquet(f"{arriving.work}/in")
+    running = arriving.feed.start(records(), 5, TASKS)
+    running.processAllAvailable()
+    paused = arriving.feed.change_rate(running, records(), 0)
+    rows.filter(part_of(2) == 1).write.mode("append").parquet(f"{arriving.work}/in")
+    running = arriving.feed.change_rate(paused, records(), 4)
+    running.processAllAvailable()
+    arriving.feed.change_rate(running, records(), 0)
+    cells, position = arriving.feed.attach()
+    return cells.filter("value <> 0").select(F.col("row_keys")[0].alias("event_type"), F.lit(position >= 2).alias("bounded"), "value")
