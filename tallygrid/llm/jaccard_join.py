@@ -182,7 +182,9 @@ def _groups(buckets: int):
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(sig)))
         any_flag = np.bitwise_or.reduceat(flags, first) if len(sig) else flags
-        wanted = (size > 1) & (((any_flag & (_PROBES | _SURE)) > 0) & (((any_flag & _EMPTY) == 0) | ((any_flag & _LACKING) > 0)))
+        # A group of blank segments matters only if one of its sets lacks a shingle; a segment that clashes with blank ones always does.
+        any_real = np.bitwise_or.reduceat((flags & _EMPTY) == 0, first) if len(sig) else np.zeros(0, bool)
+        wanted = (size > 1) & ((any_flag & (_PROBES | _SURE)) > 0) & (any_real | ((any_flag & _LACKING) > 0))
         kept = np.repeat(wanted, size)
         whole = sig[kept].astype(np.int64) * buckets + bucket
         return _rows(_ENTRY_ROW, doc[kept], sig=whole, size=np.repeat(size, size)[kept], flags=flags[kept].astype(np.int32))
