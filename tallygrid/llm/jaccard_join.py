@@ -14,9 +14,10 @@ An empty segment says nothing, so it is left out, except for the rare sets with
 
 Equal sets of one slice of a batch are folded into one first, so a group of copies sends one entry per slice. Groups of the chosen
 signatures are resolved without forming all pairs: every set that chose a signature is verified against the member that shares most
-with others, links become components, and a second round verifies a set only with those members of its groups that are then
-still in another component. Sizes and parity sketches rule out most dissimilar pairs before their sets are fetched.
-Each component is what all links of the join would give. Verification counts the common shingles of both whole sets.
+with others, links become components, and a second round takes only groups of three or more that still hold several components, and
+there verifies a set only with members of other components. Ids alone travel with the signatures; sizes and parity sketches, which
+rule out most dissimilar pairs before their sets are fetched, join distinct pairs in the first round and open groups in the second.
+Each component is what all links of the join would give. Verification counts the common shingles (64-bit hashes) of both whole sets.
 
 A null or empty text has no shingles, is linked with nothing and is its own component. Rows with a null id are not returned.
 Rows that repeat an id (and its text) each return the same. Ties cannot occur. Extra columns are ignored.
@@ -50,7 +51,7 @@ _ENTRY = (4, "i8", "u1")
 #: Bits of the filter that keeps documents without partners out of the shuffle of texts. Its size is fixed, whatever the input.
 _FILTER_BITS = 22
 #: Words of 64 bits of a set's parity sketch.
-_WORDS = 2
+_WORDS = 8
 _INFO = ("i8", "i4", "i8", "i4", *("i8",) * _WORDS)
 _SKETCH = [f"k{i}" for i in range(_WORDS)]
 _ENTRY_ROW, _INFO_ROW = 0, 1
@@ -141,7 +142,7 @@ def _entries(buckets: int):
                 if not len(values):
                     info.append((doc, 0, doc, 0, *(0,) * _WORDS))
                     continue
-                key = (len(values), int(values.sum()), int(mix(values).sum()))
+                key = values.tobytes()
                 if key in known:
                     info.append((doc, len(values), known[key], 0, *(0,) * _WORDS))
                     continue
@@ -197,29 +198,29 @@ def _own_sets(found: DataFrame) -> DataFrame:
     return found.filter((F.col("kind") == _INFO_ROW) & (F.col("n") > 0) & (F.col("rep") == F.col("doc_id"))).dropDuplicates(["doc_id"])
 
 
-def _chosen(found: DataFrame) -> DataFrame:
-    """What each set looks at: ``sig``, ``s``, ``sure`` (small bands, where all signatures count), its size and sketch."""
+def _chosen(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """What each set looks at: ``sig``, ``s`` and ``sure`` (small bands, where all signatures count)."""
     entries = found.filter(F.col("kind") == _ENTRY_ROW)
-    sets = _own_sets(found).select("doc_id", "n", "units", *_SKETCH)
-    sure = entries.filter(F.col("flags").bitwiseAND(_SURE) > 0).select("sig", "doc_id").distinct()
+    sure = entries.filter(F.col("flags").bitwiseAND(_SURE) > 0).select("sig", F.col("doc_id").alias("s")).distinct()
     usable = (F.col("flags").bitwiseAND(_PROBES) > 0) & ((F.col("flags").bitwiseAND(_EMPTY) == 0) | (F.col("flags").bitwiseAND(_LACKING) > 0))
     offered = entries.filter(usable).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("size", "sig"))).alias("offered"))
     most = F.floor(F.col("n") * (2 * (100 - PERCENT)) / F.lit(100 + PERCENT)).cast("int") + 1
     needed = most - (F.col("units") - F.size("offered"))
     taken = offered.join(sets.select("doc_id", "n", "units"), "doc_id").withColumn("needed", needed).filter("needed > 0")
-    taken = taken.select("doc_id", F.explode(F.slice("offered", F.lit(1), F.col("needed"))).alias("o")).select("o.sig", "doc_id").distinct()
-    both = sure.withColumn("sure", F.lit(True)).unionByName(taken.withColumn("sure", F.lit(False)))
-    named = sets.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), *(F.col(k).alias(f"s_{k}") for k in _SKETCH))
-    return both.withColumnRenamed("doc_id", "s").join(named, "s")
+    taken = taken.select("doc_id", F.explode(F.slice("offered", F.lit(1), F.col("needed"))).alias("o")).select("o.sig", F.col("doc_id").alias("s")).distinct()
+    return sure.withColumn("sure", F.lit(True)).unionByName(taken.withColumn("sure", F.lit(False)))
 
 
 def _members(found: DataFrame, chosen: DataFrame) -> DataFrame:
-    """All sets of the groups of chosen signatures: ``sig``, ``r``, its size and sketch, and how much it shares with others."""
-    entries = found.filter(F.col("kind") == _ENTRY_ROW)
-    central = entries.groupBy("doc_id").agg(F.sum("size").alias("central"))
-    sets = _own_sets(found).select("doc_id", F.col("n").alias("n_r"), *(F.col(k).alias(f"r_{k}") for k in _SKETCH)).join(central, "doc_id")
-    kept = entries.select("sig", "doc_id").distinct().join(chosen.select("sig").distinct(), "sig", "left_semi")
-    return kept.join(sets, "doc_id").withColumnRenamed("doc_id", "r")
+    """All sets of the groups of chosen signatures: ``sig``, ``r``."""
+    entries = found.filter(F.col("kind") == _ENTRY_ROW).select("sig", F.col("doc_id").alias("r")).distinct()
+    return entries.join(chosen.select("sig").distinct(), "sig", "left_semi")
+
+
+def _described(frame: DataFrame, sets: DataFrame, column: str, side: str) -> DataFrame:
+    """``frame`` with the size and sketch of the sets in a column, named after ``s`` or ``r``."""
+    named = sets.select(F.col("doc_id").alias(column), F.col("n").alias(f"n_{side}"), *(F.col(k).alias(f"{side}_{k}") for k in _SKETCH))
+    return frame.join(named, column)
 
 
 def _may_be_similar() -> Column:
@@ -229,25 +230,13 @@ def _may_be_similar() -> Column:
     return fits & ((100 + PERCENT) * bits <= (100 - PERCENT) * (F.col("n_s") + F.col("n_r")))
 
 
-def _six_bytes(values: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash: two sets of a thousand confuse any of their shingles once in some 10^8 pairs."""
-    planes = (values >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return np.ascontiguousarray(planes[:, :6]).tobytes()
-
-
-def _from_six_bytes(raw: bytes) -> np.ndarray:
-    planes = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    planes[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return planes.reshape(-1).view("<u8")
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The set of a document once per group of pairs that asks for it."""
     for batch in slices(batches):
         rows, size = [], 0
         for doc, text, asked in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text")), batch.column("asked").to_pylist()):
             if asked:
-                values = _six_bytes(shingles(text))
+                values = shingles(text).astype("<u8").tobytes()
                 rows += [(a["key"], a["part"], doc, values) for a in asked]
                 size += len(asked) * len(values)
             if size >= SLICE_BYTES:
@@ -270,8 +259,8 @@ def similar(one: np.ndarray, other: np.ndarray) -> bool:
 def _verified(key, group):
     leader = key[0].as_py()
     sets = dict(zip(group.column("doc_id").to_pylist(), group.column("values").to_pylist()))
-    first = _from_six_bytes(sets[leader])
-    linked = [d for d, values in sets.items() if d != leader and similar(first, _from_six_bytes(values))]
+    first = np.frombuffer(sets[leader], dtype="<u8")
+    linked = [d for d, values in sets.items() if d != leader and similar(first, np.frombuffer(values, dtype="<u8"))]
     return pa.table({"a": pa.array([leader] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
 
@@ -310,32 +299,40 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return sets.groupBy("key", "part").applyInArrow(_verified, "a long, b long")
 
 
-def _leader_pairs(chosen: DataFrame, members: DataFrame) -> DataFrame:
+def _leader_pairs(found: DataFrame, chosen: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """Sets with the leader of each group they look at: the member that shares most with others, as the origin of copies does."""
-    rest = [c for c in members.columns if c != "sig"]
-    leader = F.max_by(F.struct(*rest), F.struct("central", -F.col("r"))).alias("l")
-    leaders = members.groupBy("sig").agg(leader).select("sig", "l.*")
-    return chosen.join(leaders, "sig").filter((F.col("s") != F.col("r")) & _may_be_similar()).select(F.col("r").alias("a"), F.col("s").alias("b")).distinct()
+    central = found.filter(F.col("kind") == _ENTRY_ROW).groupBy(F.col("doc_id").alias("r")).agg(F.sum("size").alias("central"))
+    leader = F.max_by("r", F.struct("central", -F.col("r"))).alias("a")
+    leaders = members.join(central, "r").groupBy("sig").agg(leader, F.count("*").alias("many"), F.min("r").alias("low"), F.max("r").alias("high"))
+    # In a group of two the leader may be the one that looks.
+    other = F.when((F.col("many") == 2) & (F.col("s") == F.col("a")), F.when(F.col("low") == F.col("a"), F.col("high")).otherwise(F.col("low"))).otherwise(F.col("s"))
+    pairs = chosen.join(leaders, "sig").select("a", other.alias("b")).filter("a <> b").distinct()
+    return _described(_described(pairs, sets, "a", "r"), sets, "b", "s").filter(_may_be_similar()).select("a", "b")
 
 
-def _open_pairs(chosen: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_pairs(chosen: DataFrame, members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Sets and members of a group they look at that are still in different components and may be similar.
 
-    A set first meets the components of a group; one with a single member there is judged at once. Members are listed only
-    for components that are not the set's own.
+    Groups of two were judged when their leader was, and groups of one component are done. In the others a set first meets the
+    components; one with a single member there is judged at once. Members are listed only for components that are not the set's own.
     """
 
     def labelled(frame: DataFrame, column: str, out: str) -> DataFrame:
         named = frame.join(labels.select(F.col("node").alias(column), F.col("component").alias(out)), column, "left")
         return named.withColumn(out, F.coalesce(out, column))
 
-    own = labelled(members, "r", "other")
+    placed = checkpointed(labelled(members, "r", "other"))
+    several_parts = (F.count("*") > 2) & (F.min("other") < F.max("other"))
+    still = checkpointed(placed.groupBy("sig").agg(several_parts.alias("open")).filter("open").select("sig"))
+    own = checkpointed(_described(placed.join(still, "sig", "left_semi"), sets, "r", "r"))
+    looking = _described(labelled(chosen.join(still, "sig", "left_semi"), "s", "one"), sets, "s", "s")
     about = ["r", "n_r", *(f"r_{k}" for k in _SKETCH)]
     parts = own.groupBy("sig", "other").agg(F.count("*").alias("many"), *(F.min(c).alias(c) for c in about))
     wanted = _may_be_similar() & (F.col("sure") | (F.col("n_r") <= F.col("n_s")))
-    sides = labelled(chosen, "s", "one").alias("c").join(
+    sides = looking.alias("c").join(
         parts.alias("p"), (F.col("c.sig") == F.col("p.sig")) & (F.col("one") != F.col("other")) & ((F.col("many") > 1) | wanted)
     ).select("c.*", "other", "many", "r")
+    sides = checkpointed(sides)
     single = sides.filter("many = 1").select("s", "r")
     several = sides.filter("many > 1").drop("r").alias("c").join(
         own.alias("m"), (F.col("c.sig") == F.col("m.sig")) & (F.col("c.other") == F.col("m.other")) & wanted
@@ -352,13 +349,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     entries = own.mapInArrow(_entries(buckets), "bucket int, blob binary")
     entries.groupBy("bucket").applyInArrow(_groups(buckets), _DECIDED).write.parquet(path)
     found = spark.read.schema(_DECIDED).parquet(path)
-    chosen = checkpointed(_chosen(found))
+    sets = checkpointed(_own_sets(found).select("doc_id", "n", "units", *_SKETCH))
+    chosen = checkpointed(_chosen(found, sets))
     members = checkpointed(_members(found, chosen))
-    first = checkpointed(_leader_pairs(chosen, members))
+    first = checkpointed(_leader_pairs(found, chosen, members, sets))
     links = checkpointed(_links(own, first))
     labels = checkpointed(components(links))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = checkpointed(_open_pairs(chosen, members, labels).join(tried, ["a", "b"], "left_anti"))
+    second = checkpointed(_open_pairs(chosen, members, sets, labels).join(tried, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more = checkpointed(_links(own, second))
         labels = checkpointed(components(links.unionByName(more)))

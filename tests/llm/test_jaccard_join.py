@@ -101,3 +101,14 @@ def test_components(spark):
     assert {n: c for n, c in want.items() if n in found} == found
     assert all(want[n] == n for n in want if n not in found)
     assert components(links.limit(0)).count() == 0
+
+
+def test_a_leader_that_alone_looks_at_a_group_of_two_meets_the_other_member(spark):
+    """Set 1 leads the group of signature 7 and is the only one to look at it; in group 8, of three, the leader is not the one that looks."""
+    entry = lambda sig, doc, size: (jj._ENTRY_ROW, doc, sig, size)
+    rows = [entry(7, 1, 2), entry(7, 2, 2), entry(8, 1, 3), entry(8, 3, 3), entry(8, 4, 3)]
+    found = spark.createDataFrame(rows, "kind int, doc_id long, sig long, size int")
+    chosen = spark.createDataFrame([(7, 1, False), (8, 3, False)], "sig long, s long, sure boolean")
+    sets = spark.createDataFrame([(d, 10, 11, *[0] * jj._WORDS) for d in (1, 2, 3, 4)], "doc_id long, n int, units int, " + ", ".join(f"{k} long" for k in jj._SKETCH))
+    pairs = jj._leader_pairs(found, chosen, jj._members(found, chosen), sets)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3)]
