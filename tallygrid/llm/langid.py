@@ -248,11 +248,14 @@ def _scorer(model: Model) -> _Scorer:
     return _scorers[key]
 
 
-def _predictions(model: Model):
+def _predictions(model: Model, text_of: str | None = None):
+    """Judgements of the last column, a text, in its place; with ``text_of``, of that field of the rows in the only column, which stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            last = batch.column(batch.num_columns - 1)
+            texts = (last if text_of is None else last.field(last.type.get_field_index(text_of))).cast(pa.string()).to_pylist()
             found, scores = [UNKNOWN_LANGUAGE] * len(texts), [0.0] * len(texts)
             known = [i for i, text in enumerate(texts) if text and model.languages and _LETTER.search(text)]
             for at in range(0, len(known), _TEXTS_AT_ONCE):
@@ -261,8 +264,9 @@ def _predictions(model: Model):
                     best = int(np.argmax(likelihood))
                     found[i] = model.languages[best]
                     scores[i] = round(float(1.0 / np.exp(likelihood - likelihood[best]).sum()), 6)
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            kept = batch.num_columns if text_of else batch.num_columns - 1
+            columns = [*batch.columns[:kept], pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:kept], "lang_pred", "score"])
 
     return run
 
@@ -277,9 +281,9 @@ def judged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` as a struct ``row``, with ``lang_pred`` and ``score``: whatever the columns of ``docs`` are called, nothing clashes."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     schema = StructType([packed.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return packed.mapInArrow(_predictions(model), schema)
+    return packed.mapInArrow(_predictions(model, text_col), schema)
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
