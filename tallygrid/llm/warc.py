@@ -4,8 +4,10 @@ The writer marks, of records with equal payloads of ``least_bytes`` or more, the
 revisits of it. Every record is a gzip member of its own. A task writes its files under names that no other attempt uses, and only
 the files listed in the manifest, which Spark commits, belong to the archive; so a lost executor leaves no half-written file in it.
 
-The reader goes through a file member by member (or record by record if it is not compressed). A record passes if its member
-decompresses, its header parses, its block has the stated length and its digests match. After a failed check it searches for
+The reader goes through a file member by member (or record by record if it is not compressed); a member may hold many records, which are
+parsed as it is decompressed. A record passes if its part of the member decompresses, its header (of any length) parses, its block has the
+stated length and its digests match, in hex or base32 of any case; digests of unknown kinds are not compared. The last record of a member
+needs the member's own checksum too. After a failed check it searches for
 the next place where a gzip member, or a version line, begins and passes, and goes on from there; the bytes between are logged as a
 quarantined gap with the reason. A task holds one record and a read buffer, not a file.
 
@@ -15,6 +17,7 @@ the id of the response are responses too. Extra columns are ignored. An empty ta
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -30,12 +33,14 @@ from ..session import new_work_dir
 LEAST_BYTES = 1000
 _FILE_BYTES = 32 << 20
 _CHUNK = 1 << 18
+_STEP = 1 << 14
+_LINE = 512
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _HEADER_END = b"\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
-#: A header longer than this is damage.
-_MOST_HEADER = 1 << 16
+#: Digests that are compared; records with others pass unchecked.
+_DIGESTS = ("md5", "sha1", "sha256", "sha512")
 _RECORDS = (
     "path string, start long, end long, problem string, page_id long, url string, record_type string, payload_bytes long, "
     "payload_digest string, refers_to long, payload binary"
@@ -128,6 +133,12 @@ class _File:
             self._chunk = self._file.read(max(n, _CHUNK))
         return self._chunk[at - self._at : at - self._at + n]
 
+    def some(self, at: int) -> bytes:
+        """Bytes from a place on, as many as are at hand; none at the end of the file."""
+        if not self._at <= at < self._at + len(self._chunk):
+            self.read(at, _CHUNK)
+        return self._chunk[at - self._at : at - self._at + _STEP]
+
     def find(self, what: re.Pattern, at: int, longest: int) -> int:
         """The first match at or after a place, or the file's size."""
         while at < self.size:
@@ -143,38 +154,114 @@ class Damage(Exception):
     """A record that fails a check."""
 
 
-def _member(file: _File, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a place, and where it ends."""
-    unpacker, parts, place = zlib.decompressobj(31), [], at
-    while not unpacker.eof:
-        chunk = file.read(place, _CHUNK)
-        if not chunk:
-            raise Damage("the file ends within a member")
-        try:
-            parts.append(unpacker.decompress(chunk))
-        except zlib.error as error:
-            raise Damage(f"a member does not decompress: {error}") from error
-        if place == at and parts[0] and not _VERSION.match(parts[0][:10]) and len(parts[0]) >= 10:
-            raise Damage("a member does not begin with a version line")
-        place += len(chunk)
-    return b"".join(parts), place - len(unpacker.unused_data)
-
-
-def _headers(raw: bytes) -> dict[str, str]:
-    lines = raw.split(b"\r\n")
-    if not _VERSION.match(lines[0] + b"\r\n"):
+class _Content:
+    """What a file holds from a place on, taken from the front; ``position`` is the place in the file up to which it was needed."""
+
+    def __init__(self, file: _File, at: int):
+        self._file, self._place, self._buffer = file, at, bytearray()
+
+    def _fill(self, n: int) -> bool:
+        """Takes in more, about ``n`` bytes if that can be told; false at the end."""
+        chunk = self._file.some(self._place)
+        self._place += len(chunk)
+        self._buffer += chunk
+        return bool(chunk)
+
+    @property
+    def position(self) -> int:
+        return self._place - len(self._buffer)
+
+    def holds(self, n: int) -> bool:
+        return self.position + n <= self._file.size
+
+    def more(self) -> bool:
+        return bool(self._buffer) or self._fill(1)
+
+    def take(self, n: int) -> bytes:
+        if not self.holds(n):
+            raise Damage("the file ends within a record")
+        while len(self._buffer) < n:
+            if not self._fill(n - len(self._buffer)):
+                raise Damage("the file ends within a record")
+        out = bytes(self._buffer[:n])
+        del self._buffer[:n]
+        return out
+
+    def line(self) -> bytes:
+        seen = 0
+        while (end := self._buffer.find(b"\r\n", seen)) < 0:
+            seen = max(0, len(self._buffer) - 1)
+            if not self._fill(_LINE):
+                raise Damage("a header does not end")
+        return self.take(end + 2)[:-2]
+
+
+class _Member(_Content):
+    """The content of the gzip member at a place."""
+
+    def __init__(self, file: _File, at: int):
+        super().__init__(file, at)
+        self._unpacker = zlib.decompressobj(31)
+
+    def _fill(self, n: int) -> bool:
+        size = len(self._buffer)
+        while len(self._buffer) == size and not self._unpacker.eof:
+            raw = self._unpacker.unconsumed_tail
+            if not raw:
+                raw = self._file.some(self._place)
+                self._place += len(raw)
+            try:
+                part = self._unpacker.decompress(raw, min(n, _CHUNK))
+            except zlib.error as error:
+                raise Damage(f"a member does not decompress: {error}") from error
+            if not raw and not part and not self._unpacker.eof:
+                raise Damage("the file ends within a member")
+            self._buffer += part
+        return len(self._buffer) > size
+
+    @property
+    def position(self) -> int:
+        return self._place - len(self._unpacker.unused_data if self._unpacker.eof else self._unpacker.unconsumed_tail)
+
+    def holds(self, n: int) -> bool:
+        return True
+
+
+def _headers(content: _Content) -> dict[str, str]:
+    """The header lines, however many; junk ends at its first line that is none."""
+    version = content.take(10)
+    if not _VERSION.match(version):
         raise Damage("no version line")
     found = {}
-    for line in lines[1:]:
+    while line := content.line():
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damage("a header line has no colon")
         found[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not found.get("content-length", "").isdigit() or "warc-type" not in found:
+    if not re.fullmatch("[0-9]+", found.get("content-length", "")) or "warc-type" not in found:
         raise Damage("no length or type in a header")
     return found
 
 
+def _digest(stated: str | None) -> tuple[str, str] | None:
+    """A labelled digest as algorithm and lower-case hex, from hex or base32 in any case; None if it cannot be read, which leaves it unchecked."""
+    algorithm, _, value = (stated or "").partition(":")
+    algorithm = algorithm.lower().replace("-", "")
+    if algorithm not in _DIGESTS:
+        return None
+    size = hashlib.new(algorithm).digest_size
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None
+    return (algorithm, raw.hex()) if len(raw) == size else None
+
+
+def _agrees(stated: str | None, content: bytes) -> bool:
+    known = _digest(stated)
+    return known is None or hashlib.new(known[0], content).hexdigest() == known[1]
+
+
 def _number(text: str | None) -> int | None:
     digits = (text or "").strip("<>").removeprefix(_ID)
     return int(digits) if digits.lstrip("-").isdigit() else None
@@ -182,71 +269,70 @@ def _number(text: str | None) -> int | None:
 
 def _checked(headers: dict[str, str], block: bytes) -> tuple:
     """A record's fields, after its digests were compared."""
-    digest = headers.get("warc-block-digest")
-    if digest and digest.startswith("sha1:") and digest[5:] != hashlib.sha1(block).hexdigest():
+    if not _agrees(headers.get("warc-block-digest"), block):
         raise Damage("the block does not match its digest")
-    kind, stated = headers["warc-type"], headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    kind, stated = headers["warc-type"], headers.get("warc-payload-digest")
+    known = _digest(stated)
+    digest = known[1] if known and known[0] == "sha1" else None
     payload = None
-    size = int(headers["x-payload-length"]) if headers.get("x-payload-length", "").isdigit() else None
+    size = int(headers["x-payload-length"]) if re.fullmatch("[0-9]+", headers.get("x-payload-length", "")) else None
     if kind == "response":
         payload = block.partition(_HEADER_END)[2] if block.startswith(b"HTTP/") else block
-        size, found = len(payload), hashlib.sha1(payload).hexdigest()
-        if stated and len(stated) == 40 and stated != found:
+        if not _agrees(stated, payload):
             raise Damage("the payload does not match its digest")
-        stated = found
-    return (_number(headers.get("warc-record-id")), headers.get("warc-target-uri"), kind, size, stated, _number(headers.get("warc-refers-to")), payload)
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    return (_number(headers.get("warc-record-id")), headers.get("warc-target-uri"), kind, size, digest, _number(headers.get("warc-refers-to")), payload)
 
 
-def _parsed(content: bytes) -> tuple:
-    head, end, rest = content.partition(_HEADER_END)
-    if not end or len(head) > _MOST_HEADER:
-        raise Damage("a header does not end")
-    headers = _headers(head)
-    length = int(headers["content-length"])
-    if rest[length:] != _HEADER_END:
+def _record(content: _Content) -> tuple:
+    headers = _headers(content)
+    block = content.take(int(headers["content-length"]))
+    if content.take(len(_HEADER_END)) != _HEADER_END:
         raise Damage("a block does not have the stated length")
-    return _checked(headers, rest[:length])
+    return _checked(headers, block)
 
 
-def _plain(file: _File, at: int) -> tuple[tuple, int]:
-    """The uncompressed record at a place, and where it ends."""
-    head, end, _ = file.read(at, _MOST_HEADER).partition(_HEADER_END)
-    if not end:
-        raise Damage("a header does not end")
-    length = _headers(head).get("content-length")
-    whole = len(head) + 4 + int(length) + 4
-    if at + whole > file.size:
-        raise Damage("the file ends within a record")
-    return _parsed(file.read(at, whole)), at + whole
+_BEGINNING = re.compile(re.escape(_MAGIC) + rb"|WARC/1\.[01]\r\n")
 
 
-_BEGINNING = re.compile(re.escape(_MAGIC) + rb"|WARC/1\.[01]\r\n")
+def _passing(file: _File, at: int) -> Iterator[tuple[int, tuple]]:
+    """Where they end, and the fields, of the records of the member, or the one plain record, at a place. Ends with :class:`Damage` where a check fails."""
+    start = file.read(at, 16)
+    if start.startswith(_MAGIC):
+        content = _Member(file, at)
+        more = True
+        while more:
+            fields = _record(content)
+            end = content.position
+            more = content.more()  # at the end of a member, its own checksum is compared here
+            yield end if more else content.position, fields
+    elif _VERSION.match(start):
+        content = _Content(file, at)
+        fields = _record(content)
+        yield content.position, fields
+    else:
+        raise Damage("neither a member nor a version line")
 
 
 def records_of(file: _File) -> Iterator[tuple]:
-    """(start, end, problem, fields) of every record and every gap of a file, in order."""
+    """(start, end, problem, fields) of every record and every gap of a file, in order.
+
+    Records that share a member share out its bytes: each ends where the bytes read for it end.
+    """
     at, gap, reason = 0, None, ""
     while at < file.size:
-        start = file.read(at, 16)
         try:
-            if start.startswith(_MAGIC):
-                content, end = _member(file, at)
-                fields = _parsed(content)
-            elif _VERSION.match(start):
-                fields, end = _plain(file, at)
-            else:
-                raise Damage("neither a member nor a version line")
+            for end, fields in _passing(file, at):
+                if gap is not None:
+                    yield gap, at, reason, None
+                    gap = None
+                yield at, end, None, fields
+                at = end
         except Damage as damage:
             if gap is None:
                 gap, reason = at, str(damage)
             at = file.find(_BEGINNING, at + 1, 10)
-            continue
-        if gap is not None:
-            yield gap, at, reason, None
-            gap = None
-        yield at, end, None, fields
-        at = end
-    if gap is not None:
+    if gap is not None and gap < file.size:
         yield gap, file.size, reason, None
 
 

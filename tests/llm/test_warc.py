@@ -1,3 +1,4 @@
+import base64
 import glob
 import gzip
 import hashlib
@@ -81,3 +82,35 @@ def test_archives_are_gzip_members_of_records(spark):
     for path in glob.glob(f"{folder}/archives/*.warc.gz"):
         with gzip.open(path) as archive:
             assert archive.read().startswith(b"WARC/1.1\r\n")
+
+
+def labelled(i, payload, block_digest, payload_digest, extra=""):
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\n{extra}"
+    head += f"WARC-Block-Digest: {block_digest}\r\nWARC-Payload-Digest: {payload_digest}\r\nContent-Length: {len(payload)}\r\n\r\n"
+    return head.encode() + payload + b"\r\n\r\n"
+
+
+def test_digests_in_any_usual_form_are_compared(spark, tmp_path):
+    payload = b"some payload" * 50
+    sha1, sha256 = hashlib.sha1(payload), hashlib.sha256(payload)
+    base32 = base64.b32encode(sha1.digest()).decode()
+    forms = [f"sha1:{base32}", f"sha1:{base32.lower()}", f"SHA1:{sha1.hexdigest().upper()}", f"sha-256:{sha256.hexdigest()}", f"sha256:{base64.b32encode(sha256.digest()).decode().rstrip('=')}", "blake3:unknown", "sha1:not a digest"]
+    content = b"".join(labelled(i, payload, form, form) for i, form in enumerate(forms))
+    assert read(spark, tmp_path, content) == (list(range(len(forms))), [])
+    wrong = base64.b32encode(hashlib.sha1(b"other").digest()).decode()
+    bad = labelled(50, payload, f"sha1:{wrong}", f"sha1:{base32}") + labelled(51, payload, f"sha1:{base32}", f"sha1:{wrong.lower()}")
+    assert read(spark, tmp_path, bad + content) == (list(range(len(forms))), [(0, len(bad))])
+
+
+def test_many_records_in_a_member_and_long_headers(spark, tmp_path):
+    parts = records(5)
+    long = labelled(9, b"x", "other:1", "other:1", "X-Long: " + "y" * 200_000 + "\r\n")
+    assert read(spark, tmp_path, gzip.compress(b"".join(parts))) == ([0, 1, 2, 3, 4], [])
+    assert read(spark, tmp_path, gzip.compress(parts[0] + long) + gzip.compress(parts[1]) + long) == ([0, 1, 9, 9], [])
+    big = [warc.record(i, None, random.Random(i).randbytes(400_000), "?", None) for i in range(4)]
+    packed = gzip.compress(b"".join(big))
+    good, gaps = read(spark, tmp_path, packed[: len(packed) * 3 // 5] + gzip.compress(parts[4]))
+    assert good[:2] == [0, 1] and good[-1] == 4 and 3 not in good and gaps
+    broken = bytearray(gzip.compress(parts[0]))
+    broken[-6] ^= 1  # the member's own checksum
+    assert read(spark, tmp_path, bytes(broken) + gzip.compress(parts[1])) == ([1], [(0, len(broken))])
