@@ -17,6 +17,22 @@ LEAST_BUCKETS = 64
 SLICE_BYTES = 8 << 20
 
 
+_kept: list[dict] = []
+
+
+def kept(name: dict) -> dict:
+    """A table that a Python worker keeps from task to task, until another operator calls :func:`let_go`."""
+    _kept.append(name)
+    return name
+
+
+def let_go() -> None:
+    """Empty all tables kept by earlier operators: Spark hands its Python workers on from stage to stage, with all they hold."""
+    for one in _kept:
+        one.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, new_work_dir
-from .common import SLICE_BYTES, bucket_count, by_bucket, documents, encoded, pack, slices, text_bytes, unpacked
+from .common import SLICE_BYTES, bucket_count, by_bucket, documents, encoded, let_go, pack, slices, text_bytes, unpacked
 from .components import components
 from .hashing import Runs, lower_ascii, mix, word_hashes
 
@@ -132,6 +132,7 @@ def sketch(values: np.ndarray) -> list[int]:
 
 def _entries(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(batches):
             docs = [(d, t) for d, t in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text"))) if d is not None]
             docs.sort(key=lambda x: x[0])

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_work_dir
+from .common import kept
 
 UNKNOWN_LANGUAGE = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -53,7 +54,7 @@ def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 4 == 2, F.lit(False))
 
 
-_tries: dict[str, dict] = {}
+_tries: dict[str, dict] = kept({})
 
 
 def _trie(path: str) -> dict:
@@ -237,7 +238,7 @@ class _Scorer:
         return np.array([self._score[np.fromiter(map(get, own), dtype=np.int64, count=len(own))].sum(axis=0) for own in words]).reshape(len(texts), -1)
 
 
-_scorers: dict[bytes, _Scorer] = {}
+_scorers: dict[bytes, _Scorer] = kept({})
 
 
 def _scorer(model: Model) -> _Scorer:
