@@ -36,6 +36,7 @@ from ..plans.spec import ViewSpec, total_sets
 from ..plans.view import BASELINE_TRANSFORM, baseline_factor, transformed
 from ..session import by_value
 from .cells import rate_interval
+from .pages import Pages, entries
 from .upsert import BASELINE, OWN, ROCKSDB, STATE_STORE, _body_type, bodies, signed_versions
 
 by_value(__name__)
@@ -46,7 +47,6 @@ OPEN, CLOSE = "open", "close"
 RECORDS = "view string, command string, is_total boolean, col_keys array<string>, row_keys array<string>, before double, value double"
 _CELL = "view string, cols array<string>, rows array<string>"
 _ADDED = "cell string, level int, epoch bigint, amount {kind}, marker string, bucket bigint"
-_HALF = 1 << 40
 _NO_EPOCH = -(1 << 63)
 
 
@@ -115,7 +115,7 @@ def _summed_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 class _LiveCells(StatefulProcessor):
-    """Sums and last published numbers of cells, in maps per bucket of cells.
+    """Sums and last published numbers of cells, in pages per bucket of cells.
 
     ``current`` has the cells of the epoch that is published, ``open`` the sums of epochs that are not closed yet, ``marks`` the number
     of the published epoch and whether a later one is open. A cell may be summed at several levels that read the same (a total
@@ -126,24 +126,15 @@ class _LiveCells(StatefulProcessor):
         self._width, self._hidden, self._scale, self._epochs = width, frozenset(hidden), scale, epochs
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        sums = "levels array<int>, highs array<bigint>, lows array<bigint>, sums array<double>"
-        self._current = handle.getMapState("current", "cell string", f"{sums}, shown double")
-        self._open = handle.getMapState("open", "epoch bigint, cell string", sums)
+        self._current = Pages(handle, "current")
+        self._open = Pages(handle, "open") if self._epochs else None
         self._marks = handle.getValueState("marks", "published bigint, opened bigint")
 
-    def _unpacked(self, state: tuple | None) -> dict[int, float]:
-        if state is None:
-            return {}
-        levels, highs, lows, sums = state[:4]
-        if self._scale is None:
-            return dict(zip(levels, sums))
-        return {n: high * _HALF + low for n, high, low in zip(levels, highs, lows)}
+    def _unpacked(self, state: list | None) -> dict[int, float]:
+        return {} if state is None else dict(zip(*state[:2]))
 
     def _packed(self, held: dict[int, float]) -> tuple:
-        levels = list(held)
-        if self._scale is None:
-            return levels, [], [], [held[n] for n in levels]
-        return levels, [held[n] // _HALF for n in levels], [held[n] % _HALF for n in levels], []
+        return list(held), list(held.values())
 
     def _record(self, cell: str, held: dict[int, float], shown: float | None, touched: bool) -> tuple[tuple | None, float | None]:
         """The record that tells the state of a cell, if one is due, and the number published after it."""
@@ -174,6 +165,9 @@ class _LiveCells(StatefulProcessor):
                     continue
                 own = added.setdefault((int(epoch), cell), {})
                 own[int(level)] = own.get(int(level), 0) + amount
+        self._current.open()
+        if self._epochs:
+            self._open.open()
         published, opened = self._marks.get() if self._marks.exists() else (_NO_EPOCH if self._epochs else 0, _NO_EPOCH)
         records = []
         opened = max([opened, *[e for e, m in markers if m == OPEN], *[e for e, _ in added if e > published]]) if self._epochs else opened
@@ -181,38 +175,41 @@ class _LiveCells(StatefulProcessor):
             if epoch < published:
                 continue
             live = epoch == published
-            state = self._current.getValue((cell,)) if live else self._open.getValue((epoch, cell))
+            state = self._current.get(cell) if live else self._open.get(f"{epoch}:{cell}")
             held = self._unpacked(state)
             for level, amount in more.items():
                 held[level] = held.get(level, 0) + amount
             if not live:
-                self._open.updateValue((epoch, cell), self._packed(held))
+                self._open.put(f"{epoch}:{cell}", self._packed(held))
                 continue
-            shown = state[4] if state is not None else None
+            shown = state[2] if state is not None else None
             if opened <= published:
                 record, shown = self._record(cell, held, shown, True)
                 if record is not None:
                     records.append(record)
-            self._current.updateValue((cell,), (*self._packed(held), shown))
+            self._current.put(cell, (*self._packed(held), shown))
         for epoch in sorted({e for e, m in markers if m == CLOSE and e > published}):
             records += self._closed(epoch)
             published = epoch
         if self._epochs:
             self._marks.update((published, opened))
+            self._open.save()
+        self._current.save()
         yield pd.DataFrame(records, columns=[c.split()[0] for c in RECORDS.split(", ")])
 
     def _closed(self, epoch: int) -> list[tuple]:
         """Replace the published cells by those of an epoch."""
         records, new = [], {}
-        for (own, cell), sums in list(self._open.iterator()):
-            if own <= epoch:
-                if own == epoch:
+        for key, sums in self._open.items():
+            own, cell = key.split(":", 1)
+            if int(own) <= epoch:
+                if int(own) == epoch:
                     new[cell] = self._unpacked(sums)
-                self._open.removeKey((own, cell))
-        before = {cell: state[4] for (cell,), state in self._current.iterator()}
+                self._open.remove(key)
+        before = {cell: state[2] for cell, state in self._current.items()}
         for cell, shown in before.items():
             if cell not in new:
-                self._current.removeKey((cell,))
+                self._current.remove(cell)
                 if shown is not None:
                     parsed = json.loads(cell)
                     records.append((parsed["view"], DELETE, False, parsed["cols"], parsed["rows"], shown, None))
@@ -220,7 +217,7 @@ class _LiveCells(StatefulProcessor):
             record, shown = self._record(cell, held, before.get(cell), False)
             if record is not None:
                 records.append(record)
-            self._current.updateValue((cell,), (*self._packed(held), shown))
+            self._current.put(cell, (*self._packed(held), shown))
         return records
 
     def close(self) -> None:
@@ -435,12 +432,14 @@ class Feed:
         return at
 
     def newest(self, batch: int) -> DataFrame:
-        """The newest versions that the feed's state holds after a micro-batch: ``key``, ``epoch``, the parts of the order, ``body``."""
+        """The newest versions that the feed's state holds after a micro-batch: ``key``, ``epoch``, ``order`` (its parts), ``body``."""
         checkpoint = self._path("checkpoint")
         operators = self._spark.read.format("state-metadata").load(checkpoint)
         holder = operators.filter(F.col("operatorProperties").contains('"stateName":"newest"')).first()["operatorId"]
         state = self._spark.read.format("statestore").option("operatorId", holder).option("stateVarName", "newest").option("batchId", batch).load(checkpoint)
-        return state.select("user_map_key.key", "user_map_value.*")
+        held = state.select(F.explode(entries(F.col("user_map_value.held"))).alias("e"))
+        order = F.slice("e", F.lit(3), F.size("e") - 3).cast("array<bigint>").alias("order")
+        return held.select(F.col("e")[0].alias("key"), F.col("e")[1].cast("bigint").alias("epoch"), order, F.element_at("e", -1).alias("body"))
 
 
 SHUFFLE = "spark.sql.shuffle.partitions"

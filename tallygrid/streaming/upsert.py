@@ -4,18 +4,22 @@ State is the newest version per key, kept in buckets of keys so that a task hand
 arrives, the old numbers leave with the opposite sign and the new ones enter, so a running sum over the log always
 equals the sum over the newest versions.
 
-Before the shuffle, each task reduces its rows to the newest version per key and batch of rows. Versions that are
+Before the shuffle, each task reduces its rows to the newest version per key and ``REDUCED`` rows. Versions that are
 already superseded there need no state: they enter and leave on their own, spread over ``SPREAD`` groups. A key with
-a large part of all input therefore sends only a few rows to the task that owns it.
+a large part of all input therefore sends only a few rows to the task that owns it. Versions travel in packs, as Spark hands single rows to a
+stateful function one by one.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +29,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..model import Layout
 from ..operators.elements import flatten
 from ..session import by_value, ship
+from .pages import Pages
 
 by_value(__name__)
 
 # Groups that share the versions superseded within a batch of rows.
 SPREAD = 256
+# Rows that a task reduces at a time, rows of one answer of a stateful function, and characters of a pack.
+REDUCED = 1 << 16
+ANSWER = 1 << 14
+PACK = 1 << 13
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,26 +74,65 @@ MISSING = -(1 << 63)
 OWN, BASELINE = 0, 1
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of rows put together to at least ``REDUCED`` rows, or what is left."""
+    held, count = [], 0
+    for rows in batches:
+        held.append(rows)
+        count += len(rows)
+        if count >= REDUCED:
+            yield pd.concat(held, ignore_index=True)
+            held, count = [], 0
+    if count:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _together(rows: pd.DataFrame, order: list[str]) -> pd.DataFrame:
+    """Sorted flat rows with the points of each version put together."""
+    same = (rows[["key", *order]] == rows[["key", *order]].shift()).all(axis=1).to_numpy()
+    if not same.any():
+        return rows
+    first = np.flatnonzero(~same)
+    texts, ends = rows["body"].tolist(), [*first[1:].tolist(), len(rows)]
+    joined = [BODY_SEPARATOR.join(texts[a:b]) for a, b in zip(first.tolist(), ends)]
+    return rows.iloc[first].assign(body=joined).reset_index(drop=True)
+
+
+def _packs(rows: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """Versions of one bucket put into packs of about ``PACK`` characters; superseded ones, without a bucket, are spread by pack."""
+    rows = rows.sort_values("bucket", kind="stable", ignore_index=True)
+    bucket = rows["bucket"].to_numpy()
+    part = rows["body"].str.len().to_numpy().cumsum() // PACK
+    first = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])))).tolist()
+    versions = list(zip(*[rows[c].tolist() for c in columns]))
+    packed = []
+    for a, b in zip(first, [*first[1:], len(rows)]):
+        own = int(bucket[a])
+        packed.append((own if own >= 0 else -1 - crc32(repr(versions[a]).encode("utf-8", "surrogatepass")) % SPREAD, pickle.dumps(versions[a:b], 5)))
+    return pd.DataFrame(packed, columns=["bucket", "versions"])
+
+
 def _newest_per_batch(order: list[str], nested: bool):
-    """Per batch of rows, leave the newest version of each key and epoch in its bucket and spread the others over
+    """Per ``REDUCED`` rows, leave the newest version of each key and epoch in its bucket and spread the others over
     negative buckets, whatever their key. The points of a version in flat input are put together first."""
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in _gathered(batches):
             rows = rows.sort_values(["key", *order], kind="stable", ignore_index=True)
-            if nested:
-                rows = rows.drop_duplicates(["key", *order], ignore_index=True)
-            else:
-                joined = rows.groupby(["key", *order, "bucket"], sort=False, as_index=False)["body"].agg(BODY_SEPARATOR.join)
-                rows = joined[["key", *order, "body", "bucket"]]
+            rows = rows.drop_duplicates(["key", *order], ignore_index=True) if nested else _together(rows, order)
             following = rows[["key", "epoch"]].shift(-1)
             replaced = rows["key"].eq(following["key"]) & rows["epoch"].eq(following["epoch"])
-            rows["bucket"] = rows["bucket"].mask(replaced, -1 - pd.Series(rows.index % SPREAD))
-            yield rows
+            rows["bucket"] = rows["bucket"].mask(replaced, -1)
+            yield _packs(rows, ["key", *order, "body"])
 
     return reduce
 
 
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    for batch in batches:
+        yield from map(pickle.loads, batch["versions"])
+
+
 def _further(held: str, more: str, by_position: bool) -> str:
     """The points of ``more`` that a version does not hold yet.
 
@@ -103,42 +151,48 @@ def _further(held: str, more: str, by_position: bool) -> str:
 
 
 class _KeepNewest(StatefulProcessor):
-    """The newest version per key, in a map per bucket of keys. A bucket is one call, so keys are handled in bulk.
+    """The newest version per key, in pages per bucket of keys. A bucket is one call, so keys are handled in bulk.
 
     With a ``suffix``, the element of a key and its baseline, the element of that key with the suffix, lie in the same bucket; keys that
     start with one of ``paired`` also emit the baseline's numbers, in the role ``BASELINE`` and under the element's key, whenever either of them changes.
     """
 
-    def __init__(self, order: list[str], state_schema: str, nested: bool, by_position: bool = False, suffix: str = "", paired: tuple[str, ...] = ()) -> None:
+    def __init__(self, order: list[str], nested: bool, by_position: bool = False, suffix: str = "", paired: tuple[str, ...] = ()) -> None:
         self._columns = ["key", *order, "body"]
         self._nested, self._by_position = nested, by_position
-        self._state_schema = state_schema
         self._suffix, self._paired = suffix, paired
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._newest = handle.getMapState("newest", "key string", self._state_schema)
+        self._newest = Pages(handle, "newest")
 
     def _held(self, owner: str) -> tuple | None:
-        held = self._newest.getValue((owner,)) if self._known else None
+        held = self._newest.get(owner)
         return None if held is None else tuple(held)
 
+    def _signed(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self._columns, "sign", "role"])
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        signed = []
         if key[0] < 0:
-            for superseded in rows:
-                yield superseded[self._columns].assign(sign=1, role=OWN)
-                yield superseded[self._columns].assign(sign=-1, role=OWN)
+            for versions in _unpacked(rows):
+                signed += [(*version, sign, OWN) for version in versions for sign in (1, -1)]
+                if len(signed) >= ANSWER:
+                    yield self._signed(signed)
+                    signed = []
+            if signed:
+                yield self._signed(signed)
             return
         arrived: dict[str, dict[tuple, tuple]] = {}
-        for batch in rows:
-            for owner, *version in zip(*[batch[c].tolist() for c in self._columns]):
+        for versions in _unpacked(rows):
+            for owner, *version in versions:
                 own, at = arrived.setdefault(owner, {}), tuple(version[:-1])
                 if at in own and not self._nested:
                     version[-1] = own[at][-1] + BODY_SEPARATOR + version[-1]
                 own.setdefault(at, tuple(version))
                 if not self._nested:
                     own[at] = tuple(version)
-        self._known = self._newest.exists()
-        signed = []
+        self._newest.open()
         changed: dict[str, tuple[tuple | None, tuple | None]] = {}
         for owner, versions in arrived.items():
             before = held = self._held(owner)
@@ -158,11 +212,13 @@ class _KeepNewest(StatefulProcessor):
                     held = (*held[:-1], _further("", held[-1], True))
                 signed.append((owner, *held, 1, OWN))
             if held is not before:
-                self._newest.updateValue((owner,), held)
+                self._newest.put(owner, held)
                 changed[owner] = before, held
         if self._suffix:
             signed += self._baselines(changed)
-        yield pd.DataFrame(signed, columns=[*self._columns, "sign", "role"])
+        self._newest.save()
+        for start in range(0, len(signed), ANSWER):
+            yield self._signed(signed[start:start + ANSWER])
 
     def _baselines(self, changed: dict[str, tuple[tuple | None, tuple | None]]) -> list[tuple]:
         """What the baselines of elements add and no longer add, after changes of either."""
@@ -243,9 +299,9 @@ def signed_versions(df: DataFrame, layout: Layout, epoch: str | None = None, buc
         F.pmod(F.xxhash64(root), F.lit(buckets)).alias("bucket"),
     )
     typed = ", ".join(f"{c} bigint" for c in order)
-    reduced = coded.mapInPandas(_newest_per_batch(order, nested), f"key string, {typed}, body string, bucket bigint")
+    reduced = coded.mapInPandas(_newest_per_batch(order, nested), "bucket bigint, versions binary")
     return reduced.groupBy("bucket").transformWithStateInPandas(
-        _KeepNewest(order, f"{typed}, body string", nested, not nested and layout.pos in df.columns, suffix, paired),
+        _KeepNewest(order, nested, not nested and layout.pos in df.columns, suffix, paired),
         outputStructType=f"key string, {typed}, body string, sign int, role int",
         outputMode="append",
         timeMode="none",

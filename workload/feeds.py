@@ -12,9 +12,12 @@ from .inputs import EVENTS, MONEY, events
 
 #: Parts that a feed arrives in, by the hour of the event; a missing time is in the first one.
 PARTS = 3
-BUCKETS = 32
-#: Tasks that share a feed's state; the tables here are small.
-TASKS = 2
+BUCKETS = 256
+
+
+def tasks(spark) -> int:
+    """Tasks that share a feed's state: as many as run at once."""
+    return max(2, spark.sparkContext.defaultParallelism)
 
 
 def part_of(parts: int = PARTS):
@@ -36,7 +39,7 @@ class Arriving:
         part.write.mode("append").parquet(f"{self.work}/in")
         source = stream_files(self.spark, f"{self.work}/in", part.schema)
         records = live.live_records(source, self.layout, self.specs, MONEY, fills=self.feed.fills(MONEY), buckets=BUCKETS, **self.options)
-        self.feed.start(records, partitions=TASKS).awaitTermination()
+        self.feed.start(records, partitions=tasks(self.spark)).awaitTermination()
 
 
 def fed(spark, sf, specs, layout=EVENTS, source=None, parts=2, **options):

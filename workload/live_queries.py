@@ -14,7 +14,7 @@ from tallygrid.sources.feeds import stream_files
 from tallygrid.sources.push import Producer, pushed
 from tallygrid.streaming import live, upsert
 
-from .feeds import TASKS, Arriving, fed, part_of, shown
+from .feeds import BUCKETS, Arriving, fed, part_of, shown, tasks
 from .inputs import EVENTS, EVENTS_SQL, MONEY, PAIRS, PAIRS_SQL, events, pairs, total
 from .registry import query
 from .store_queries import BASELINE_VIEW, NEWEST_SQL
@@ -186,7 +186,7 @@ def stream_counters(spark, sf):
         for part in range(3):
             rows.filter(part_of() == part).write.mode("append").parquet(f"{arriving.work}/in")
             source = live.counted(stream_files(spark, f"{arriving.work}/in", rows.schema), EVENTS)
-            query_ = arriving.feed.start(live.live_records(source, EVENTS, [DAYS], MONEY, buckets=8), partitions=TASKS)
+            query_ = arriving.feed.start(live.live_records(source, EVENTS, [DAYS], MONEY, buckets=BUCKETS), partitions=tasks(spark))
             query_.awaitTermination()
             counters.wait_for(query_)
     finally:
@@ -206,7 +206,7 @@ def stream_missing_keys(spark, sf):
     work = new_work_dir(spark, "missing")
     for part in (0, 1):
         rows.write.mode("append").parquet(f"{work}/in")
-        log = upsert.changelog_stream(stream_files(spark, f"{work}/in", rows.schema), EVENTS, buckets=32)
+        log = upsert.changelog_stream(stream_files(spark, f"{work}/in", rows.schema), EVENTS, buckets=BUCKETS)
         upsert.run_changelog(log, f"{work}/log", f"{work}/checkpoint").awaitTermination()
     left = spark.read.schema(log.schema).parquet(f"{work}/log").groupBy("user_id", "ts", "event_id", "event_type").agg(
         F.sum("sign").alias("sign"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
@@ -250,11 +250,11 @@ def stream_paced(spark, sf):
     rows = events(spark, sf)
 
     def records():
-        source = stream_files(spark, f"{arriving.work}/in", rows.schema, max_files=1)
-        return live.live_records(source, EVENTS, [ACTS], MONEY, buckets=8)
+        source = stream_files(spark, f"{arriving.work}/in", rows.schema, max_files=1).repartition(tasks(spark))
+        return live.live_records(source, EVENTS, [ACTS], MONEY, buckets=BUCKETS)
 
     rows.filter(part_of(2) == 0).repartition(2).write.mode("append").parquet(f"{arriving.work}/in")
-    running = arriving.feed.start(records(), 5, TASKS)
+    running = arriving.feed.start(records(), 5, tasks(spark))
     running.processAllAvailable()
     paused = arriving.feed.change_rate(running, records(), 0)
     rows.filter(part_of(2) == 1).write.mode("append").parquet(f"{arriving.work}/in")
