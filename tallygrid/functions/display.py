@@ -24,9 +24,9 @@ UNRANKED = 1 << 31
 
 
 def accounting(value: Column) -> Column:
-    """Whole number, thousands commas, half-even, negatives in parentheses; -0.4 shows as ``(0)``."""
+    """Whole number, thousands commas, half-even, negatives in parentheses; -0.4 shows as ``(0)``, a negative zero as ``0``."""
     text = F.format_number(value, 0)
-    return F.when(text.startswith("-"), F.concat(F.lit("("), F.substring(text, 2, 100), F.lit(")"))).otherwise(text)
+    return F.when(value == 0, F.lit("0")).when(text.startswith("-"), F.concat(F.lit("("), F.substring(text, 2, 100), F.lit(")"))).otherwise(text)
 
 
 def parse_accounting(text: Column) -> Column:
