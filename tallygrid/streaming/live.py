@@ -98,7 +98,9 @@ def cell_rows(versions: DataFrame, body_type: T.StructType, layout: Layout, grou
     rows = flatten(opened, layout, attributes_read(specs))
     entries = F.array(*[F.when(F.col("key").startswith(start), _entries(layout, s, rule)) for start, own in groups.items() for s in own])
     spread = rows.select("epoch", "sign", F.col(layout.value), F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("_entry"))
+    # What has entered and left adds nothing, be it infinite, and touches its cells.
     value = F.col(layout.value).cast("double") * F.col("_entry.factor") * F.col("sign")
+    value = F.when(F.col("sign") != 0, value).when(F.col(layout.value).cast("double").isNotNull(), 0.0)
     amount = measured(Layout(value="_value"), measure).alias("amount")
     return spread.withColumn("_value", value).select("epoch", amount, F.inline("_entry.cells")).filter("amount is not null")
 
@@ -280,7 +282,7 @@ def _versions(data: DataFrame, layout: Layout, specs: Sequence[ViewSpec], epoch:
             plain = plain.withColumn("_empty", F.lit(True)).unionByName(changed.select(*plain.columns))
         parts = plain if parts is None else parts.unionByName(plain)
     empty = F.col("_empty") if "_empty" in parts.columns else None
-    return signed_versions(parts, layout, epoch, buckets, F.col("_start"), empty, suffix, paired)
+    return signed_versions(parts, layout, epoch, buckets, F.col("_start"), empty, suffix, paired, tuple(groups))
 
 
 class Feed:

@@ -8,6 +8,9 @@ Before the shuffle, each task reduces its rows to the newest version per key and
 already superseded there need no state: they enter and leave on their own, spread over ``SPREAD`` groups. A key with
 a large part of all input therefore sends only a few rows to the task that owns it. Versions travel in packs, as Spark hands single rows to a
 stateful function one by one.
+
+Whoever only sums needs no numbers of a version that enters and leaves within a micro-batch, but may have to know which cells it has touched. For
+them, such versions are ``touches`` with the sign 0, told once per epoch and labels.
 """
 
 from __future__ import annotations
@@ -93,9 +96,20 @@ def _together(rows: pd.DataFrame, order: list[str]) -> pd.DataFrame:
     if not same.any():
         return rows
     first = np.flatnonzero(~same)
-    texts, ends = rows["body"].tolist(), [*first[1:].tolist(), len(rows)]
-    joined = [BODY_SEPARATOR.join(texts[a:b]) for a, b in zip(first.tolist(), ends)]
-    return rows.iloc[first].assign(body=joined).reset_index(drop=True)
+    ends = [*first[1:].tolist(), len(rows)]
+
+    def joined(texts: list[str]) -> list[str]:
+        return [BODY_SEPARATOR.join(texts[a:b]) for a, b in zip(first.tolist(), ends)]
+
+    return rows.iloc[first].assign(**{c: joined(rows[c].tolist()) for c in ("body", "touch") if c in rows}).reset_index(drop=True)
+
+
+def _touches(rows: pd.DataFrame, starts: tuple[str, ...]) -> pd.DataFrame:
+    """One of the superseded versions of each epoch, start of key and labels, with the labels as ``body``; equal ones meet in one of the groups that spread them."""
+    rows = rows[rows["touch"].str.strip(BODY_SEPARATOR) != ""]
+    rows = rows.assign(body=rows["touch"], start="" if len(starts) == 1 else [next(s for s in starts if k.startswith(s)) for k in rows["key"]])
+    rows = rows.drop_duplicates(["epoch", "start", "body"])
+    return rows.assign(bucket=[-1 - crc32(b.encode("utf-8", "surrogatepass")) % SPREAD for b in rows["body"]])
 
 
 def _packs(rows: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
@@ -112,9 +126,10 @@ def _packs(rows: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(packed, columns=["bucket", "versions"])
 
 
-def _newest_per_batch(order: list[str], nested: bool):
+def _newest_per_batch(order: list[str], nested: bool, touches: tuple[str, ...] = ()):
     """Per ``REDUCED`` rows, leave the newest version of each key and epoch in its bucket and spread the others over
-    negative buckets, whatever their key. The points of a version in flat input are put together first."""
+    negative buckets, whatever their key. The points of a version in flat input are put together first. With ``touches``, the
+    possible starts of keys, the others shrink to what they touch."""
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _gathered(batches):
@@ -122,7 +137,13 @@ def _newest_per_batch(order: list[str], nested: bool):
             rows = rows.drop_duplicates(["key", *order], ignore_index=True) if nested else _together(rows, order)
             following = rows[["key", "epoch"]].shift(-1)
             replaced = rows["key"].eq(following["key"]) & rows["epoch"].eq(following["epoch"])
-            rows["bucket"] = rows["bucket"].mask(replaced, -1)
+            if touches:
+                touched = _touches(rows[replaced], touches)
+                if len(touched):
+                    yield _packs(touched, ["key", *order, "body"])
+                rows = rows[~replaced]
+            else:
+                rows["bucket"] = rows["bucket"].mask(replaced, -1)
             yield _packs(rows, ["key", *order, "body"])
 
     return reduce
@@ -155,12 +176,15 @@ class _KeepNewest(StatefulProcessor):
 
     With a ``suffix``, the element of a key and its baseline, the element of that key with the suffix, lie in the same bucket; keys that
     start with one of ``paired`` also emit the baseline's numbers, in the role ``BASELINE`` and under the element's key, whenever either of them changes.
+    With ``touches``, the starts of keys, versions that enter and leave have the sign 0.
     """
 
-    def __init__(self, order: list[str], nested: bool, by_position: bool = False, suffix: str = "", paired: tuple[str, ...] = ()) -> None:
+    def __init__(self, order: list[str], nested: bool, by_position: bool = False, suffix: str = "", paired: tuple[str, ...] = (),
+                 touches: tuple[str, ...] = ()) -> None:
         self._columns = ["key", *order, "body"]
         self._nested, self._by_position = nested, by_position
         self._suffix, self._paired = suffix, paired
+        self._touches = touches
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._newest = Pages(handle, "newest")
@@ -175,8 +199,18 @@ class _KeepNewest(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         signed = []
         if key[0] < 0:
+            told: set[tuple] = set()
             for versions in _unpacked(rows):
-                signed += [(*version, sign, OWN) for version in versions for sign in (1, -1)]
+                if self._touches:
+                    for version in versions:
+                        touch = version[1], next(s for s in self._touches if version[0].startswith(s)), version[-1]
+                        if touch not in told:
+                            told.add(touch)
+                            signed.append((*version, 0, OWN))
+                else:
+                    signed += [(*version, sign, OWN) for version in versions for sign in (1, -1)]
+                if len(told) >= ANSWER:
+                    told = set()
                 if len(signed) >= ANSWER:
                     yield self._signed(signed)
                     signed = []
@@ -196,20 +230,26 @@ class _KeepNewest(StatefulProcessor):
         changed: dict[str, tuple[tuple | None, tuple | None]] = {}
         for owner, versions in arrived.items():
             before = held = self._held(owner)
+            entered = None  # where the whole version that is held has entered in this call
             for at in sorted(versions):
                 if held is not None and at == held[:-1] and not self._nested:
                     more = _further(held[-1], versions[at][-1], self._by_position)
                     if more:
                         signed.append((owner, *at, more, 1, OWN))
                         held = (*at, BODY_SEPARATOR.join(b for b in (held[-1], more) if b))
+                        entered = None
                     continue
                 if held is not None and at <= held[:-1]:
                     continue
                 if held is not None and held[0] == at[0]:
-                    signed.append((owner, *held, -1, OWN))
+                    if self._touches and entered is not None:
+                        signed[entered] = (owner, *held, 0, OWN)
+                    else:
+                        signed.append((owner, *held, -1, OWN))
                 held = versions[at]
                 if self._by_position:
                     held = (*held[:-1], _further("", held[-1], True))
+                entered = len(signed)
                 signed.append((owner, *held, 1, OWN))
             if held is not before:
                 self._newest.put(owner, held)
@@ -260,6 +300,14 @@ def _body_type(df: DataFrame, layout: Layout) -> T.StructType:
     return own.add("p", df.schema[layout.pos].dataType) if layout.pos in df.columns else own
 
 
+def _touch(df: DataFrame, layout: Layout) -> Column:
+    """The body of a version whose numbers do not matter: labels, and 0 for every number that is not missing."""
+    if layout.is_nested(df):
+        points = F.transform(layout.points, lambda p: p.withField(layout.value, F.when(p[layout.value].isNotNull(), 0)))
+        return F.to_json(F.struct(*[F.col(f"`{c}`") for c in layout.core], points.alias(layout.points)))
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in layout.attributes], F.when(F.col(f"`{layout.value}`").isNotNull(), 0).alias(layout.value)))
+
+
 def key_text(column: Column) -> Column:
     """A key as text that tells a missing one from any other."""
     return F.when(column.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), column.cast("string")))
@@ -272,12 +320,13 @@ def bodies(versions: DataFrame, body_type: T.StructType) -> DataFrame:
 
 
 def signed_versions(df: DataFrame, layout: Layout, epoch: str | None = None, buckets: int = 1024, prefix: Column | None = None,
-                    empty: Column | None = None, suffix: str = "", paired: tuple[str, ...] = ()) -> DataFrame:
+                    empty: Column | None = None, suffix: str = "", paired: tuple[str, ...] = (), touches: tuple[str, ...] = ()) -> DataFrame:
     """A stream of versions as signed ones: ``key`` (text), ``epoch``, the parts of the order as longs ``q0`` ..., ``body`` (JSON), ``sign``, ``role``.
 
     ``prefix`` keeps several kinds of elements apart that share their keys. Where ``empty`` holds, the version has no points and
     comes just before any other of the same order. Missing parts of an order count as before everything else, and a missing key is a key.
-    ``suffix`` and ``paired`` (prefixes) emit baselines too.
+    ``suffix`` and ``paired`` (prefixes) emit baselines too. With ``touches``, all values of ``prefix``, a version that enters and leaves within a
+    micro-batch comes with the sign 0, and may stand for others of its epoch, prefix and labels.
     """
     ship(df.sparkSession)
     order, nested = _order_names(layout, empty is not None), layout.is_nested(df)
@@ -293,15 +342,18 @@ def signed_versions(df: DataFrame, layout: Layout, epoch: str | None = None, buc
         none = F.to_json(F.struct(*[F.col(f"`{c}`") for c in layout.core], F.array().cast(df.schema[layout.points].dataType).alias(layout.points))) if nested else F.lit("")
         body = F.when(empty, none).otherwise(body)
         ties = [F.when(empty, 0).otherwise(1).cast("bigint").alias("tie")]
+    touch = _touch(df, layout) if touches else None
+    if touches and empty is not None:
+        touch = F.when(empty, F.lit("")).otherwise(touch)
     longs = [F.col(f"`{epoch}`").cast("bigint") if epoch else F.lit(0).cast("bigint"), *[_as_long(df, c) for c in layout.seq]]
     coded = df.select(
         text.alias("key"), *[F.coalesce(c, F.lit(MISSING).cast("bigint")).alias(n) for c, n in zip(longs, order)], *ties, body.alias("body"),
-        F.pmod(F.xxhash64(root), F.lit(buckets)).alias("bucket"),
+        *([touch.alias("touch")] if touches else []), F.pmod(F.xxhash64(root), F.lit(buckets)).alias("bucket"),
     )
     typed = ", ".join(f"{c} bigint" for c in order)
-    reduced = coded.mapInPandas(_newest_per_batch(order, nested), "bucket bigint, versions binary")
+    reduced = coded.mapInPandas(_newest_per_batch(order, nested, touches), "bucket bigint, versions binary")
     return reduced.groupBy("bucket").transformWithStateInPandas(
-        _KeepNewest(order, nested, not nested and layout.pos in df.columns, suffix, paired),
+        _KeepNewest(order, nested, not nested and layout.pos in df.columns, suffix, paired, touches),
         outputStructType=f"key string, {typed}, body string, sign int, role int",
         outputMode="append",
         timeMode="none",
