@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_work_dir
-from .common import kept
+from .common import kept, let_go
 
 UNKNOWN_LANGUAGE = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -151,6 +151,7 @@ def _expected(trie: dict, word: str, row: np.ndarray, weight: float, out: dict)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         counts: dict[str, Counter] = {}
         for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):

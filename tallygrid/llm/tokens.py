@@ -13,6 +13,8 @@ from array import array
 
 import numpy as np
 
+from .common import kept
+
 _RUN = re.compile(r"\s (?=\s|\Z)")
 _MOST = 300_000
 
@@ -79,7 +81,7 @@ class ByteBpe:
         return start + b"".join(map(known.__getitem__, parts))
 
 
-_loaded: dict[str, ByteBpe] = {}
+_loaded: dict[str, ByteBpe] = kept({})
 
 
 def byte_bpe(path: str) -> ByteBpe:
