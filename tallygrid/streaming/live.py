@@ -37,7 +37,7 @@ from ..plans.view import BASELINE_TRANSFORM, baseline_factor, transformed
 from ..session import by_value
 from .cells import rate_interval
 from .pages import Pages, entries
-from .upsert import BASELINE, OWN, ROCKSDB, STATE_STORE, _body_type, bodies, signed_versions
+from .upsert import BASELINE, OWN, SETTINGS, _body_type, bodies, configured, signed_versions
 
 by_value(__name__)
 
@@ -347,18 +347,8 @@ class Feed:
 
         writer = records.writeStream.outputMode("append").option("checkpointLocation", self._path("checkpoint")).foreachBatch(publish)
         writer = writer.trigger(availableNow=True) if rate is None else writer.trigger(processingTime=rate_interval(rate))
-        wanted = {STATE_STORE: ROCKSDB, **({SHUFFLE: str(partitions)} if partitions else {})}
-        configured = {name: spark.conf.get(name, None) for name in wanted}
-        for name, setting in wanted.items():
-            spark.conf.set(name, setting)
-        try:
+        with configured(spark, {**SETTINGS, **({SHUFFLE: str(partitions)} if partitions else {})}):
             return writer.start()
-        finally:
-            for name, setting in configured.items():
-                if setting is None:
-                    spark.conf.unset(name)
-                else:
-                    spark.conf.set(name, setting)
 
     def change_rate(self, query: StreamingQuery | None, records: DataFrame, rate: int) -> StreamingQuery | None:
         """Go on at another rate from where ``query`` is; a rate of 0 pauses."""

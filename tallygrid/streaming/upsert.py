@@ -20,11 +20,12 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -45,6 +46,25 @@ PACK = 1 << 13
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# What a Python worker gets at a time, in bytes: a pack is one row, so Spark's limit of rows alone would let batches grow with the input.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SETTINGS = {STATE_STORE: ROCKSDB, BATCH_BYTES: str(4 << 20)}
+
+
+@contextmanager
+def configured(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings for the queries that start meanwhile; the session keeps its own."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, setting in wanted.items():
+        spark.conf.set(name, setting)
+    try:
+        yield
+    finally:
+        for name, setting in before.items():
+            if setting is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, setting)
 
 
 def _as_long(df: DataFrame, name: str) -> Column:
@@ -401,17 +421,10 @@ def run_changelog(log: DataFrame, path: str, checkpoint: str, available_now: boo
     The state lives in RocksDB, which is set for this query only if the session names another store.
     """
     spark = ship(log.sparkSession)
-    configured = spark.conf.get(STATE_STORE, None)
     writer = log.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=every)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
+    with configured(spark, SETTINGS):
         return writer.start(path)
-    finally:
-        if configured is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, configured)
