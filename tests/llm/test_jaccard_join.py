@@ -112,3 +112,36 @@ def test_a_leader_that_alone_looks_at_a_group_of_two_meets_the_other_member(spar
     sets = spark.createDataFrame([(d, 10, 11, *[0] * jj._WORDS) for d in (1, 2, 3, 4)], "doc_id long, n int, units int, " + ", ".join(f"{k} long" for k in jj._SKETCH))
     pairs = jj._leader_pairs(found, chosen, jj._members(found, chosen), sets)
     assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3)]
+
+
+def test_sets_of_shingles_that_no_other_component_holds_are_not_compared(spark, monkeypatch):
+    """Near copies of one text and strays that differ from all by words of their own: after the first round, no pair is left to verify."""
+    rng = random.Random(5)
+    origin = [f"w{i}" for i in range(1500)]
+
+    def changed(name, edits):
+        words = list(origin)
+        for place in rng.sample(range(1, 299), edits):
+            words[place * 5] = f"{name}x{place}"
+        return " ".join(words)
+
+    rows = [(i, changed(f"n{i}", 3 if i < 30 else 60)) for i in range(42)]
+    asked, links = [], jj._links
+    monkeypatch.setattr(jj, "_links", lambda docs, pairs: asked.append(pairs.count()) or links(docs, pairs))
+    check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert asked[0] >= 29 and sum(asked[1:]) == 0
+
+
+def test_shingles_that_a_single_component_holds(spark):
+    """Documents 1 and 2 are one component; 3 shares half of its shingles with them, and a row that repeats counts once."""
+    texts = {1: "a b c d e f g h i j", 2: "a b c d e f g h i k", 3: "a b c d e f x y"}
+    docs = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string")
+    sets = {d: jj.shingles(t.encode()) for d, t in texts.items()}
+    described = spark.createDataFrame([(d, len(v), len(v), *jj.sketch(v)) for d, v in sets.items()], "doc_id long, n int, units int, " + ", ".join(f"{k} long" for k in jj._SKETCH))
+    asked = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "doc_id long, component long")
+    assert jj._still_possible(docs, described, asked).count() == 0
+    common = np.intersect1d(sets[1], sets[3])
+    near = spark.createDataFrame([(1, 1), (2, 2), (3, 2)], "doc_id long, component long")
+    found = {r["doc_id"]: r for r in jj._still_possible(docs, described, near).collect()}
+    kept = np.intersect1d(sets[1], np.union1d(sets[2], sets[3]))
+    assert len(common) == 2 and found[1]["shared"] == len(kept) == 5 and [found[1][k] for k in jj._SKETCH] == jj.sketch(kept)
