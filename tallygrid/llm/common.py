@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -27,10 +28,19 @@ def kept(name: dict) -> dict:
 
 
 def let_go() -> None:
-    """Empty all tables kept by earlier operators: Spark hands its Python workers on from stage to stage, with all they hold."""
+    """Empty all tables kept by earlier operators: Spark hands its Python workers on from stage to stage, with all they hold.
+
+    What the worker has freed goes back to the machine, as the allocators would hold on to it.
+    """
     for one in _kept:
         one.clear()
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+#: Only glibc has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

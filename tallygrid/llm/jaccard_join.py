@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, new_work_dir
+from ..session import BATCH_BYTES, checkpointed, configured, new_work_dir
 from .common import SLICE_BYTES, bucket_count, by_bucket, documents, encoded, let_go, pack, slices, text_bytes, unpacked
 from .components import components
 from .hashing import Runs, lower_ascii, mix, word_hashes
@@ -450,8 +450,13 @@ def _united(labels: DataFrame, more: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document ``doc_id``, ``n_shingles`` and ``component_id`` (the least document it reaches over links)."""
-    spark = docs.sparkSession
-    own = documents(docs, id_col, text_col)
+    # A worker cuts what it gets into slices of this size anyway; larger batches would only lie in memory, in the JVM as well.
+    with configured(docs.sparkSession, {BATCH_BYTES: str(SLICE_BYTES)}):
+        return _labelled(documents(docs, id_col, text_col))
+
+
+def _labelled(own: DataFrame) -> DataFrame:
+    spark = own.sparkSession
     buckets = bucket_count(text_bytes(own))
     path = new_work_dir(spark, "jaccard")
     entries = own.mapInArrow(_entries(buckets), "bucket int, blob binary")

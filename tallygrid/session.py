@@ -9,11 +9,15 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: What a Python worker gets at a time, in bytes.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -46,6 +50,22 @@ def local_session(cpus: int | str = "*", app: str = "tallygrid", **extra: str) -
     return builder.getOrCreate()
 
 
+@contextmanager
+def configured(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings for the queries that start meanwhile; the session keeps its own."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, setting in wanted.items():
+        spark.conf.set(name, setting)
+    try:
+        yield
+    finally:
+        for name, setting in before.items():
+            if setting is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, setting)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 

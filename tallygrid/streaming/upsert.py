@@ -20,7 +20,6 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 from zlib import crc32
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..model import Layout
 from ..operators.elements import flatten
-from ..session import by_value, ship
+from ..session import BATCH_BYTES, by_value, configured, ship
 from .pages import Pages
 
 by_value(__name__)
@@ -46,27 +45,10 @@ PACK = 1 << 13
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# What a Python worker gets at a time, in bytes: a pack is one row, so Spark's limit of rows alone would let batches grow with the input.
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+# A pack is one row, so Spark's limit of rows alone would let what a Python worker gets at a time grow with the input.
 SETTINGS = {STATE_STORE: ROCKSDB, BATCH_BYTES: str(4 << 20)}
 
 
-@contextmanager
-def configured(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
-    """Settings for the queries that start meanwhile; the session keeps its own."""
-    before = {name: spark.conf.get(name, None) for name in wanted}
-    for name, setting in wanted.items():
-        spark.conf.set(name, setting)
-    try:
-        yield
-    finally:
-        for name, setting in before.items():
-            if setting is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, setting)
-
-
 def _as_long(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     column = F.col(f"`{name}`")

@@ -5,8 +5,10 @@ import pytest
 
 from edge_cases import classes, edge_docs, edge_rows, no_docs
 from tallygrid.llm import jaccard_join as jj
+from tallygrid.llm.common import SLICE_BYTES
 from tallygrid.llm.components import components
 from tallygrid.llm.hashing import lower_ascii
+from tallygrid.session import BATCH_BYTES
 
 
 def shingle_set(text):
@@ -145,3 +147,13 @@ def test_shingles_that_a_single_component_holds(spark):
     found = {r["doc_id"]: r for r in jj._still_possible(docs, described, near).collect()}
     kept = np.intersect1d(sets[1], np.union1d(sets[2], sets[3]))
     assert len(common) == 2 and found[1]["shared"] == len(kept) == 5 and [found[1][k] for k in jj._SKETCH] == jj.sketch(kept)
+
+
+def test_workers_get_texts_in_batches_of_a_slice(spark, monkeypatch):
+    """Spark's limit of rows alone would send far more than a slice at once; the session's own setting stays."""
+    before, seen = spark.conf.get(BATCH_BYTES, None), []
+    real = jj._links
+    monkeypatch.setattr(jj, "_links", lambda *args: seen.append(spark.conf.get(BATCH_BYTES).removesuffix("b")) or real(*args))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jj.similar_documents(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert set(seen) == {str(SLICE_BYTES)} and spark.conf.get(BATCH_BYTES, None) == before
