@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_work_dir
 from . import rans
-from .common import documents, text_bytes
+from .common import documents, slices, text_bytes
 from .tokens import byte_bpe
 
 _BLOCK_TOKENS = 1 << 18
@@ -63,9 +63,9 @@ def _tokenized(path: str, end_id: int):
 def _counts(kind: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, dtype=kind), minlength=size)
+        for batch in slices(batches, column="ids"):
+            # One count over many documents: the vocabulary is larger than most of them.
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=kind), minlength=size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["token", "n"])
 

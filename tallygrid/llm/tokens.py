@@ -13,10 +13,14 @@ from array import array
 
 import numpy as np
 
-from .common import kept
+from .common import kept, let_go
 
 _RUN = re.compile(r"\s (?=\s|\Z)")
+#: What the pre-tokenizer makes of printable ASCII without white space and apostrophes (those have rules of their own).
+_PLAIN = re.compile(r"[!-&(-~]+")
+_PIECES = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 _MOST = 300_000
+_MOST_BARE = 100_000
 
 
 def _byte_table() -> dict[int, str]:
@@ -26,6 +30,17 @@ def _byte_table() -> dict[int, str]:
     return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+class _Alphabet(dict):
+    """Characters by their code, as the byte-level alphabet prints them; made when first met."""
+
+    def __init__(self):
+        self._bytes = _byte_table()
+
+    def __missing__(self, code: int) -> str:
+        found = self[code] = "".join(self._bytes[b] for b in chr(code).encode())
+        return found
+
+
 class ByteBpe:
     """A byte-level BPE with a table of the parts it has met."""
 
@@ -36,34 +51,51 @@ class ByteBpe:
         # The strings of added tokens stand for their tokens wherever they are; texts that hold one are encoded whole.
         self._added = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._model = self._whole.model
-        self._bytes = _byte_table()
         self.size = self._whole.get_vocab_size()
         self.kind, self._code = (np.dtype("<u2"), "H") if self.size <= 1 << 16 else (np.dtype("<u4"), "I")
-        self._lead = self._bytes[ord(" ")]
-        self._signs = {sign: self._model_ids(sign) for sign in ",.\n"}
+        self._alphabet = _Alphabet()
+        self._lead = self._alphabet[ord(" ")]
+        self._line_end = self._printed_ids(self._alphabet[ord("\n")])
+        #: Parts by their text, each with the space before it, and parts without one.
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._bare: dict[str, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self._code, ids).tobytes()
 
-    def _model_ids(self, word: str) -> bytes:
-        text = self._lead + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(self._bytes)
-        return self._packed([t.id for t in self._model.tokenize(text)])
-
-    def _word(self, space: str, word: str) -> bytes:
-        """The ids of letters only."""
-        return (self._known.get(word) or self._older.get(word) if space else None) or self._model_ids(space + word)
+    def _model_ids(self, lead: str, word: str) -> bytes:
+        """The ids of what the pre-tokenizer keeps as one."""
+        return self._printed_ids(lead + (word if word.isascii() else word.translate(self._alphabet)))
+
+    def _printed_ids(self, text: str) -> bytes:
+        return array(self._code, [t.id for t in self._model.tokenize(text)]).tobytes()
+
+    def _piece(self, space: str, word: str) -> bytes:
+        """The same from the tables, where it is kept."""
+        if not space:
+            found = self._bare.get(word)
+            if found is None:
+                if len(self._bare) > _MOST_BARE:
+                    self._bare.clear()
+                found = self._bare[word] = self._model_ids("", word)
+            return found
+        found = self._known.get(word) or self._older.get(word) or self._model_ids(self._lead, word)
+        self._known[word] = found
+        return found
 
     def _part(self, space: str, part: str) -> bytes:
         """The ids of a part without white space at its ends, or of any part by the whole tokenizer."""
         if part.isalpha():
-            return self._word(space, part)
+            return self._model_ids(self._lead, part) if space else self._piece(space, part)
         if part[:-1].isalpha() and part[-1] in ",.":
-            return self._word(space, part[:-1]) + self._signs[part[-1]]
+            return self._piece(space, part[:-1]) + self._piece("", part[-1])
+        if _PLAIN.fullmatch(part):
+            first, *rest = _PIECES.findall(part)
+            return self._piece(space, first) + b"".join([self._piece("", p) for p in rest])
         line, found, rest = part.partition("\n")
         if found and line and rest and not line[-1].isspace() and not rest[0].isspace():
-            return self._part(space, line) + self._signs[found] + self._part("", rest)
+            return self._part(space, line) + self._line_end + self._part("", rest)
         return self._packed(self._whole.encode(space + part, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
@@ -87,5 +119,6 @@ _loaded: dict[str, ByteBpe] = kept({})
 def byte_bpe(path: str) -> ByteBpe:
     """The tokenizer of a file, once per worker."""
     if path not in _loaded:
+        let_go()
         _loaded[path] = ByteBpe(path)
     return _loaded[path]

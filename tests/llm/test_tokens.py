@@ -2,14 +2,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from edge_cases import edge_docs, edge_rows, no_docs
-from tallygrid.llm import rans
+from tallygrid.llm import rans, token_output
 from tallygrid.llm.queries import TOKENIZER, public_file
 from tallygrid.llm.token_output import read_tokens, token_digests, write_tokens
-from tallygrid.llm.tokens import byte_bpe
+from tallygrid.llm.tokens import ByteBpe, byte_bpe
 from tallygrid.session import new_work_dir
 
 
@@ -31,6 +32,26 @@ def test_strings_of_added_tokens_are_those_tokens():
     assert np.frombuffer(own.ids("a <|endoftext|> b"), own.kind).tolist() == [64, 220, 50256, 275]
 
 
+def test_plain_parts_need_no_whole_tokenizer():
+    own, tokenizer = ByteBpe(public_file(TOKENIZER)), whole()
+    text = "x9 b1.$$$ (017) 555-7713 end.\nNext12 \u00dcber,\nna\u00efve a_b \"04db\" |"
+    expected = tokenizer.encode(text, add_special_tokens=False).ids
+    own._whole = None
+    assert np.frombuffer(own.ids(text), own.kind).tolist() == expected
+
+
+def test_ids_are_counted_over_many_documents_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 500, n).astype("<u2") for n in rng.integers(0, 9, 300)]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([d.tobytes() for d in docs], pa.binary())})
+    calls, real = [], np.bincount
+    monkeypatch.setattr(token_output.np, "bincount", lambda *a, **k: calls.append(1) or real(*a, **k))
+    (found,) = token_output._counts("<u2", 500)(iter([batch]))
+    total = np.zeros(500, dtype=np.int64)
+    total[found.column("token").to_numpy()] = found.column("n").to_numpy()
+    assert total.tolist() == real(np.concatenate(docs), minlength=500).tolist() and len(calls) == 1
+
+
 @pytest.mark.parametrize("lanes", [1, 3, 16, 64])
 def test_coding_round_trip_and_checkpoints(lanes):
     rng = np.random.default_rng(lanes)
