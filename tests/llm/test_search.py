@@ -61,6 +61,56 @@ def test_the_index_stops_only_on_proof():
             assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == want
 
 
+def test_queries_meet_blocks_without_a_broadcast(spark, monkeypatch):
+    """The copies of the queries for all blocks are no matter of the driver, however small the queries are."""
+    rows = vectors()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(topk, "_BLOCK", 64)
+    found = topk.search(frame, frame.filter("vec_id % 100 = 0").dropDuplicates(["vec_id"]))
+    assert sorted(map(tuple, found.collect())) == sorted({r for group in brute(rows, 10) for r in group})
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held, pairs, most", [(1 << 22, 1 << 22, 1 << 30), (64, 1, 1 << 30), (1 << 22, 100, 20), (1, 1, 1)])
+def test_any_grid_gives_the_same(spark, monkeypatch, held, pairs, most):
+    rng = np.random.default_rng(6)
+    rows = vectors(300) + [(5000 + 50 * i, [float(x) for x in (rng.normal(size=4) * 10.0**i).astype(np.float32)], 1, 2, 3) for i in range(6)] + [(200, vectors()[7][1], 1, 2, 3)]
+    want = []
+    known = [(i, topk.whole_numbers(v)) for i, v, *_ in rows if i is not None]
+    known = [(i, v) for i, v in known if v is not None]
+    for q in {i for i, _ in known if i % 100 == 0}:  # a repeated id asks once per row, and its answers are ranked together
+        scores = sorted(x for i, own in known if i == q for x in sorted((-int(own @ v), j) for j, v in known if j != q and len(v) == len(own))[:10])
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scores[:10])]
+    for name, value in (("_BLOCK", 200), ("_BATCH", 16), ("_HELD", held), ("_LEAST_PAIRS", pairs), ("_MOST_PAIRS", most)):
+        monkeypatch.setattr(topk, name, value)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, topk.search(frame, frame.filter("vec_id % 100 = 0")).collect())) == sorted(want)
+
+
+def test_the_best_of_earlier_blocks_count(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(topk, "_RUN", 150)
+    read = []
+    monkeypatch.setattr(topk.ImpactIndex, "_read", lambda self, part, *rest, do=topk.ImpactIndex._read: (read.append(len(part)), do(self, part, *rest)))
+    for dims, scale, same in ((1, 2**31 - 2000, 1), (16, 2**28, 1), (16, np.array([2000, 2000] + [3] * 14), 1), (16, 50, 40), (3, 1, 1)):
+        n, none = 2000, np.zeros(0, dtype=np.int64)
+        data = np.repeat((rng.uniform(-1, 1, (n // same, dims)) * scale).astype(np.int64), same, axis=0)
+        queries, owners = np.concatenate([data[:4], data[-3:], np.zeros((1, dims), dtype=np.int64)]), np.array([0, 1, 2, 3, n - 3, n - 2, n - 1, -5])
+        ids = rng.permutation(n)
+        best = [(none, none)] * len(owners)
+        segments = 0
+        for a in range(0, n, 500):
+            index = topk.ImpactIndex(ids[a : a + 500], data[a : a + 500])
+            segments += len(index.dimension) * len(index.runs)
+            best = index.improved(queries, owners, 10, best)
+        for q, (found, scores) in enumerate(best):
+            want = sorted((-int(data[i].astype(object) @ queries[q].astype(object)), int(ids[i])) for i in range(n) if ids[i] != owners[q])[:10]
+            assert [(-int(s), int(i)) for i, s in zip(found, scores)] == want
+        if np.ndim(scale):  # two dimensions tell most, so the reading stops before the end
+            assert sum(read) < segments
+        read.clear()
+
+
 def words(rng, count):
     return [f"t{rng.randrange(5000)}" for _ in range(count)]
 
