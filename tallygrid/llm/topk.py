@@ -35,11 +35,9 @@ _RUN = 2048
 _BLOCK = 1 << 19
 _BATCH = 1 << 14
 #: Components of the queries that a task holds.
-_HELD = 1 << 22
-#: Pairs of a query and a vector from which a task of its own is worth while, as long as tasks are few, and from which there are more than few.
-_LEAST_PAIRS = 1 << 22
-_MOST_PAIRS = 1 << 30
-_FEW_TASKS = 32
+_HELD = 1 << 23
+#: Pairs of a query and a vector that a task is worth while for, and up to how many tasks. Every task moves queries or vectors once more.
+_TASKS = ((1 << 22, 32), (1 << 28, 256), (1 << 33, 1 << 20))
 
 
 def whole_rows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,15 +115,16 @@ class ImpactIndex:
             parts.append((np.sort(part), frontier))
         total, possible = np.zeros((n, len(queries)), dtype=kind), np.empty((n, len(queries)), dtype=bool)
         for rows, first, postings in self.runs:
-            own, open_dims = total[rows], np.ones((len(total[rows]), dims), dtype=exact)
+            sums = total[rows]
+            open_dims = np.ones((len(sums), dims), dtype=exact)
             for part, frontier in parts:
-                self._read(part, first, postings, impact, own, open_dims)
+                self._read(part, first, postings, impact, sums, open_dims)
                 if frontier is not None:
-                    possible[rows] = own + open_dims @ frontier >= need
-                    if np.count_nonzero(possible[rows]) <= max(8 * k, len(own) // 32) * len(queries):
+                    possible[rows] = sums + open_dims @ frontier >= need
+                    if np.count_nonzero(possible[rows]) <= max(8 * k, len(sums) // 32) * len(queries):
                         break
             else:
-                possible[rows] = own >= need
+                possible[rows] = sums >= need
         for q in lacking:
             top = np.argpartition(total[:, q], n - min(n, 2 * k))[n - min(n, 2 * k) :]
             scores = np.append(best[q][1], self.vectors[top[self.ids[top] != owners[q]]] @ queries[q])
@@ -202,7 +201,7 @@ def _searched(k: int):
 def _grid(vectors: tuple[int, int], queries: tuple[int, int]) -> tuple[int, int]:
     """Into how many parts blocks are dealt and into how many shares queries, from the rows and components of both."""
     pairs = vectors[0] * queries[0]
-    tasks = max(1, min(pairs // _LEAST_PAIRS, _FEW_TASKS), pairs // _MOST_PAIRS)
+    tasks = max(1, *(min(pairs // least, most) for least, most in _TASKS))
     # Vectors travel once per share and queries once per part: this share moves least.
     shares = max(1, round(math.sqrt(tasks * queries[1] / max(1, vectors[1]))), -(-queries[1] // _HELD))
     return max(1, min(-(-tasks // shares), -(-vectors[1] // _BLOCK))), shares

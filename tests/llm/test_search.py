@@ -71,8 +71,8 @@ def test_queries_meet_blocks_without_a_broadcast(spark, monkeypatch):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("held, pairs, most", [(1 << 22, 1 << 22, 1 << 30), (64, 1, 1 << 30), (1 << 22, 100, 20), (1, 1, 1)])
-def test_any_grid_gives_the_same(spark, monkeypatch, held, pairs, most):
+@pytest.mark.parametrize("held, tasks", [(1 << 22, ((1 << 22, 32),)), (64, ((1, 16),)), (1 << 22, ((100, 8), (200, 12))), (1, ((1, 20),))])
+def test_any_grid_gives_the_same(spark, monkeypatch, held, tasks):
     rng = np.random.default_rng(6)
     rows = vectors(300) + [(5000 + 50 * i, [float(x) for x in (rng.normal(size=4) * 10.0**i).astype(np.float32)], 1, 2, 3) for i in range(6)] + [(200, vectors()[7][1], 1, 2, 3)]
     want = []
@@ -81,7 +81,7 @@ def test_any_grid_gives_the_same(spark, monkeypatch, held, pairs, most):
     for q in {i for i, _ in known if i % 100 == 0}:  # a repeated id asks once per row, and its answers are ranked together
         scores = sorted(x for i, own in known if i == q for x in sorted((-int(own @ v), j) for j, v in known if j != q and len(v) == len(own))[:10])
         want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scores[:10])]
-    for name, value in (("_BLOCK", 200), ("_BATCH", 16), ("_HELD", held), ("_LEAST_PAIRS", pairs), ("_MOST_PAIRS", most)):
+    for name, value in (("_BLOCK", 200), ("_BATCH", 16), ("_HELD", held), ("_TASKS", tasks)):
         monkeypatch.setattr(topk, name, value)
     frame = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, topk.search(frame, frame.filter("vec_id % 100 = 0")).collect())) == sorted(want)
